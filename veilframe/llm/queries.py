@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chunking, leakage, lookalike, neardup
+from veilframe.llm import chunking, leakage, lookalike, mixing, mojibake, neardup, pii, sentences
 from veilframe.session import table
 
 VAULT_THRESHOLD = 0.6  # the vault's own threshold
@@ -48,8 +48,44 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_leaks(spark, sf_dir).where("kind = 'exact'").select("doc_id", "item_id")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "extractions").select("text").union(table(spark, sf_dir, "scan_results").select("text"))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pii.fit(_texts(spark, sf_dir))
+    made = [pii.redact(table(spark, sf_dir, name), model, record_id).select(F.lit(name).alias("origin"), F.col("id").alias("record_id"), "findings", "redacted_text") for name, record_id in (("extractions", "extraction_id"), ("scan_results", "result_id"))]
+    return made[0].union(made[1])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p3_redacted(spark, sf_dir).select("origin", "record_id", F.explode("findings").alias("f"))
+    return found.select("origin", "record_id", "f.kind", "f.span_start", "f.span_end").distinct()
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = mojibake.fit(table(spark, sf_dir, "documents"))
+    return mojibake.repair(table(spark, sf_dir, "extractions"), model).withColumnRenamed("id", "extraction_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_restored(spark, sf_dir).select("extraction_id").distinct()
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, sf_dir, "documents")).select("doc_id", "span_start", "span_end")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p5_found, p5_forms, p6_found, p6_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_restored, p5_found, p5_forms, p6_found, p6_leaks, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
