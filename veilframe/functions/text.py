@@ -90,4 +90,4 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
 
 def initials(c: Column) -> Column:
     """First letters of the words, in capitals."""
-    return F.upper(F.array_join(F.transform(F.filter(F.split(c, r"\s+"), lambda x: x != ""), lambda x: F.left(x, F.lit(1))), ""))
+    return F.upper(F.array_join(F.transform(F.filter(F.split(c, r"\s+"), lambda x: x.rlike("^[A-Za-z]")), lambda x: F.left(x, F.lit(1))), ""))
