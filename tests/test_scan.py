@@ -1,0 +1,67 @@
+"""The scan against a plain statement of its rules."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from veilframe.operators import scan as S
+
+
+def test_findings_and_spans(spark):
+    rows = [(1, "My SSN is 219-09-9999 ok"), (2, "card 4111-1111-1111-1111"), (3, "é mail %61bc@example.com"), (4, ""), (5, None), (6, "nothing here"), (7, "My SSN is 219-09-9999 ok")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {(r.doc_id, r.sub_category): r for r in S.scan(docs).collect()}
+    assert set(got) == {(1, "USA SSN"), (2, "Visa"), (3, "Email Address"), (7, "USA SSN")}
+    for (doc, _), r in got.items():
+        raw = dict(rows)[doc].encode()
+        assert raw[r.span_start : r.span_end].decode() == r.text
+    assert got[1, "USA SSN"].confidence == 0.9 and got[2, "Visa"].has_context
+    states = {r.doc_id: r.status for r in S.statuses(docs).collect()}
+    assert states[4] == states[5] == "empty" and states[1] == "ok"
+
+
+def test_configuration_narrows(spark):
+    docs = spark.createDataFrame([(1, "card 4111-1111-1111-1111 mail a@example.com")], "doc_id int, text string")
+    only = S.scan(docs, S.ScanConfig(categories=frozenset(["Contact Information"]))).collect()
+    assert [r.sub_category for r in only] == ["Email Address"]
+    off = S.scan(docs, S.ScanConfig(disabled=frozenset([("Contact Information", "Email Address")]))).collect()
+    assert [r.sub_category for r in off] == ["Visa"]
+    assert S.scan(docs, S.ScanConfig(min_confidence=1.01)).count() == 0
+    assert S.scan(docs.limit(0)).count() == 0
+
+
+def fold(matches):
+    kept = []
+    for m in sorted(matches, key=lambda m: (m["span_start"], -(m["span_end"] - m["span_start"]), m["order"])):
+        if kept and m["span_start"] < kept[-1]["span_end"]:
+            p = kept[-1]
+            gate = lambda x: x["context_required"] and x["has_context"]
+            size = lambda x: x["span_end"] - x["span_start"]
+            if m["confidence"] > p["confidence"]:
+                kept[-1] = m
+            elif m["confidence"] == p["confidence"]:
+                if gate(m) != gate(p):
+                    kept[-1] = m if gate(m) else p
+                elif m["specificity"] != p["specificity"]:
+                    kept[-1] = m if m["specificity"] > p["specificity"] else p
+                elif size(m) > size(p):
+                    kept[-1] = m
+        else:
+            kept.append(m)
+    return [m["order"] for m in kept]
+
+
+def test_overlap_fold_against_a_loop(spark):
+    rnd = random.Random(3)
+    groups = []
+    for g in range(60):
+        for order in range(rnd.randrange(1, 9)):
+            a = rnd.randrange(0, 30)
+            groups.append((g, a, a + rnd.randrange(1, 12), order, rnd.choice([0.4, 0.5, 0.9]), rnd.choice([0.4, 0.7]), rnd.random() < 0.5, rnd.random() < 0.5))
+    df = spark.createDataFrame(groups, "g int, span_start int, span_end int, order int, confidence double, specificity double, context_required boolean, has_context boolean")
+    struct = F.struct("span_start", "span_end", "order", "confidence", "specificity", "context_required", "has_context")
+    got = {r.g: [m.order for m in r.kept] for r in df.groupBy("g").agg(F.collect_list(struct).alias("m")).select("g", S.resolve(F.col("m")).alias("kept")).collect()}
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.g, []).append(r.asDict())
+    assert got == {g: fold(ms) for g, ms in by.items()}

@@ -135,7 +135,7 @@ def attribution_pairs(files: DataFrame) -> DataFrame:
         found = pairs if found is None else found.union(pairs)
     ids = files.select("path", F.explode(F.array_distinct("rsids")).alias("rsid"))
     shared = ids.alias("x").join(ids.alias("y"), F.col("x.rsid") == F.col("y.rsid")).where("x.path < y.path").groupBy(F.col("x.path").alias("a"), F.col("y.path").alias("b")).agg(F.count("*").alias("common"))
-    sizes = files.select("path", F.size(F.array_distinct("rsids")).alias("n"), F.element_at("rsids", 1).alias("root"))
+    sizes = files.select("path", F.size(F.array_distinct("rsids")).alias("n"), F.try_element_at("rsids", F.lit(1)).alias("root"))
     both = shared.join(sizes.select(F.col("path").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), "a").join(sizes.select(F.col("path").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), "b")
     jaccard = both.select("a", "b", F.lit("rsids").alias("signal"), (0.25 * F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("score"))
     root = both.where("ra = rb").select("a", "b", F.lit("root").alias("signal"), F.lit(0.50).alias("score"))
