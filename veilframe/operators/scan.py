@@ -22,6 +22,7 @@ from veilframe.catalog.patterns import Pattern, catalogue
 from veilframe.functions import scoring, text
 from veilframe.functions.checks import passes
 from veilframe.functions.normalize import alternatives, normalize
+from veilframe.session import spread
 
 MOST_BYTES = 10 * 1024 * 1024
 PER_PATTERN = 10_000
@@ -193,6 +194,7 @@ def scan(documents: DataFrame, config: ScanConfig = ScanConfig(), doc_id: str =
     spark = documents.sparkSession
     patterns = config.active()
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(column).alias("text")).where("text is not null and text <> ''")
+    rows = spread(rows)
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.mapInPandas(candidates(patterns), f"doc_id {kind}, pattern_id int, seq int, alt int, norm_text string, span_start bigint, span_end bigint, match_text string, has_context boolean")
     dimension = spark.createDataFrame([(p.pattern_id, p.category, p.sub_category, p.specificity, p.context_required) for p in patterns], "pattern_id int, category string, sub_category string, specificity double, context_required boolean")

@@ -45,6 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, per_core: int = 8 << 20) -> DataFrame:
+    """Small inputs over all cores, for stages where the work is in Python; larger ones as they are.
+
+    A table of a few megabytes is one split; it is moved once, at most ``per_core`` bytes a core.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < per_core * cores else df
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitioned by the keys into the session's number of shuffle partitions, which AQE then leaves alone;
+    a distinct or group on these keys needs no further shuffle, and Python stages behind it keep their width."""
+    return df.repartition(shuffle_width(df), *keys)
+
+
 def shuffle_width(df: DataFrame) -> int:
     """The session's number of shuffle partitions, for explicit repartitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
