@@ -50,7 +50,7 @@ def spread(df: DataFrame, per_core: int = 8 << 20) -> DataFrame:
 
     A table of a few megabytes is one split; it is moved once, at most ``per_core`` bytes a core.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if size < per_core * cores else df
 
