@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.session import cut  # noqa: F401  (re-exported for callers that cut before reuse)
+from veilframe.session import by_key
 
 LEAST_LIMIT, DEFAULT_LIMIT = 1024, 4096
 
@@ -104,7 +104,8 @@ def with_limits(records: DataFrame, streams: DataFrame, stream_id: str = "stream
 def split_oversized(records: DataFrame, streams: DataFrame, record_id: str = "extraction_id", text: str = "text", stream_id: str = "stream_id") -> DataFrame:
     """(id, piece_no, pieces, span_start, span_end, overlap_chars, piece, limit_bytes), repeated rows counted once."""
     rows = with_limits(records.select(F.col(record_id).alias("id"), F.col(text).alias("text"), F.col(stream_id).alias("stream_id")), streams)
-    rows = rows.where("id is not null and text is not null").select("id", "text", "limit_bytes", "overlap_bytes").distinct()
+    rows = rows.where("id is not null and text is not null").select("id", "text", "limit_bytes", "overlap_bytes")
+    rows = by_key(rows, "id").distinct()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["id", "piece_no", "pieces", "span_start", "span_end", "overlap_chars", "piece", "limit_bytes"]

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.session import by_key, cut
+
 # Letters that look like a letter of another script, by prototype.
 LOOK_ALIKE = {
     "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ",
@@ -106,7 +108,8 @@ def same_look_pairs(records: DataFrame, record_id: str, text: str = "text") -> D
     rows = records.select(F.col(record_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     spelling: Column = F.sha2(F.encode("text", "UTF-8"), 256)
     members = rows.select("id", spelling.alias("spelling")).distinct()
-    forms = with_form(rows.select("text").distinct(), "text").select(spelling.alias("spelling"), F.sha2("uniform_text", 256).alias("look"))
+    forms = with_form(by_key(rows.select("text"), "text").distinct(), "text").select(spelling.alias("spelling"), F.sha2("uniform_text", 256).alias("look"))
+    forms = cut(forms)  # hashes only; read three times below
     several = forms.groupBy("look").count().where("count > 1").select("look")
     forms = forms.join(several, "look")
     other = forms.select("look", F.col("spelling").alias("spelling_b"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.session import cut
+from veilframe.session import by_key, cut
 
 BUCKETS = 4096
 
@@ -121,7 +121,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     known = rows.where(F.col("source").isin(list(repeats)))
     patterns = known.groupBy("key").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.min("doc_id").alias("doc_id"))
     # one text per key for the tokenizer, picked without moving texts twice
-    first = rows.join(patterns.select("key", "doc_id"), ["key", "doc_id"], "left_semi").dropDuplicates(["key"]).select("key", "text")
+    first = by_key(rows.join(patterns.select("key", "doc_id"), ["key", "doc_id"], "left_semi").select("key", "text"), "key").dropDuplicates(["key"])
     sizes = first.mapInPandas(count_tokens(tokenizer or tokenizer_path()), "key string, n_tokens bigint")
     units = cut(patterns.join(sizes, "key").where("n_tokens > 0").select("doc_id", F.concat_ws("|", "sources").alias("pattern"), "n_tokens", F.xxhash64(F.lit(seed), "key").alias("turn"), F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(buckets)).alias("bucket")))
     held = units.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).limit(most_patterns + 1).collect()

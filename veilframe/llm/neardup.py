@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.session import cut, shuffle_width
+from veilframe.session import by_key, cut, shuffle_width
 
 # Fixed values of the signature rules.
 SIGNATURE_VALUES = 128
@@ -272,7 +272,7 @@ def classes_of(entries: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         entries.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), F.col(signature).alias("signature"), key.alias("key"))
         .where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     )
-    one = rows.groupBy("key").agg(F.first("text", True).alias("text"), F.first("signature", True).alias("signature"))
+    one = by_key(rows, "key").groupBy("key").agg(F.first("text", True).alias("text"), F.first("signature", True).alias("signature"))
     classes = cut(one.mapInArrow(signed, "key string, signature array<bigint>, sketch array<bigint>, runs array<bigint>"))
     return classes, rows.select("key", "doc_id").distinct()
 

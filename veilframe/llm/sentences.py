@@ -17,6 +17,7 @@ repeated row gives its sentences again; texts are taken whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.session import spread
+
 BLANK_LINE = re.compile(r"\r?\n(?:[^\S\n]*\n)+")
 MARK = re.compile(r"[^\S\n]*([-*•‣▪◦·–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][)])[^\S\n]+\S")
 TERMINATOR = re.compile(r"[.!?…‽]+|[。！？｡]+|[।॥]+|[؟۔]+|[;;]")
@@ -38,6 +41,7 @@ LONGEST_QUOTE = 2000
 #: Anchors of the training data as (text before, text after, is a boundary).
 ANCHORS = [
     *((f"saw {t}.", "Nestwick came", 0) for t in "Dr Mr Mrs Ms Prof Sr Sra Dra St Inc Nr No Vol Fig Abb Abs art pág p cf vs ca approx Ver ดร डॉ د κ г т рис стр Ing Hr Fr Mme Mlle bzw zzgl env éd Gen Col Capt Rev Hon".split()),
+    *((f"saw {t}.", "36 files", 0) for t in "Nr No Vol Fig Abb Abs art pág p ca approx Ver стр рис Sec n env éd vs".split()),
     *((f"from {i}.", "Vashetti came", 0) for i in "ABCDEFGHJKLMV"),
     *(("am 3.", f"{m} kam", 0) for m in "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()),
     *((f"meets at 3:33 {t}.", "on Tuesday", 0) for t in ("a.m", "p.m")),
@@ -45,6 +49,11 @@ ANCHORS = [
     *((f"labels, owners, {t}.", n, b) for t in ("etc",) for n, b in (("The next", 1), ("and so", 0))),
     *((f"the file was {w}.", n, 1) for w in ("closed", "gelöscht", "fermé", "cerrado", "закрыт") for n in ("The next", "Der nächste", "Le prochain", "El otro", "Новый", "¿Por qué", "«Halt", "(See below", "5 files")),
     *((f"the file was {w}.", "and then", 0) for w in ("closed", "open")),
+    *((f"it was {w}.", n, 1) for w, n in zip("here files late day house done work moved lists team sample office closed today reader geöffnet Verträge geprüft blieb wurde hatte fermé lecture notes dossiers vide plazo archivo revisión falta noche fecha índice правил окна списку аудита записей ناقصة يتابعه مفتوحا αρχεία απευθείας".split(), "The It A Der Die Das Le La El Los Он Лишь Nobody Only Since Two When If We На لا كتب Η Το".split() * 3)),
+    *((f"{w} went out.", n, 1) for w, n in (("Half", "Two"), ("All", "One"))),
+    *((f"up to {x}.", n, 1) for x in ("12", "3.50", "2021", "76.48", "9,5") for n in ("The", "Der", "El", "Only")),
+    *((f"the {w}.", n, 0) for w in "Jan Feb Sept Oct Nov Dec approx env min sec tel ext dept est max cf bzw ca ff Nr Tel Str zzgl inkl MwSt ej núm aprox тыс млн руб сек стр рис см e.g i.e z.B d.h p.ej т.е т.д π.χ".split() for n in ("of the", "and the", "in the")),
+    *((f"{w}", n, 0) for w in "บริษัท ประเทศ ข้อมูล รายงาน ระบบ เอกสาร สำหรับ จำนวน เรื่อง ของ และ ว่า ใน อ่าน ตรวจ".split() for n in ("ข้อมูล", "36 รายการ", "/data", "ยัง")),
     *((f"รายการ{p}", "คำขอ", 1) for p in ("ครับ", "ค่ะ", "คะ")),
 ]
 
@@ -157,6 +166,9 @@ def features(mark: str, kind: str, before: str, after: str, quote: str) -> list[
         "t=" + mark, "w=" + left, size, "case=" + case, "t,case=" + mark + case, "w,case=" + left + case, "next=" + word, "w,next=" + left + "," + word,
         "q=" + quote, "q,case=" + quote + case, "script=" + (script(before.rstrip()[-1]) if before.strip() else "none"),
     ]
+    if case == "caseless":
+        first = after.lstrip()[:1]
+        out += ["nc=" + first, "q,nc=" + quote + first]
     if left[:1] != "<" and "." in left:
         out.append("inner stop")
     return out
@@ -213,26 +225,31 @@ def candidates(text: str, following_text: str = "") -> list[tuple[int, str, str,
 def labelled(texts: list[str]) -> list[tuple[list[str], int, float]]:
     """Training examples (features, label, weight) from boundaries that are reliable."""
     begins, ends, seen, held = Counter(), Counter(), Counter(), []
+    bodies: set[str] = set()
     for text in texts:
         blocks = [(a, b) for a, b, split in blocks_of(text) if split]
         for i, (a, b) in enumerate(blocks):
             body = text[a:b].rstrip()
             nxt = text[blocks[i + 1][0] : blocks[i + 1][1]].lstrip()[:60] if i + 1 < len(blocks) else ""
             found = candidates(body, nxt)
-            if not found:
+            if not found or body in bodies:  # copies of a block prove nothing
                 continue
+            bodies.add(body)
             begins[following(body)[0]] += 1
             for place, left, case, fs in found:
                 seen[left] += 1
                 ends[left] += case == "end"
                 held.append((place, left, case, fs))
     out: list[tuple[list[str], int, float]] = []
+    # a token that ends sentences ends a block with about the share of all tokens; enough misses make it an abbreviation
+    share = min(0.5, max(0.05, sum(ends.values()) / max(sum(seen.values()), 1)))
+    enough = max(12, math.ceil(math.log(0.002) / math.log(1 - share)))
     for _, left, case, fs in held:
         nxt = next((f[5:] for f in fs if f.startswith("next=")), "")
         quoted = not any(f == "q=none" for f in fs) and "blank" not in fs
         if case == "end":
             out.append((fs, 1, 1.0))
-        elif seen[left] >= 12 and not ends[left]:
+        elif seen[left] >= enough and not ends[left]:
             out.append((fs, 0, 1.0))
         elif quoted:
             continue
@@ -244,15 +261,19 @@ def labelled(texts: list[str]) -> list[tuple[list[str], int, float]]:
             out.append((fs, 1, 0.5))
     for before, after, label in ANCHORS:
         if before.endswith("."):
-            out += [(features(".", "mark", before[:-1], after, "none"), label, 2.0)]
+            out += [(features(".", "mark", before[:-1], after, "none"), label, 4.0)]
         else:
-            out += [(features("", "blank", before, after, ""), label, 2.0)]
+            out += [(features("", "blank", before, after, ""), label, 4.0)]
+    for mark in "!?。":
+        for left in ("the file was closed", "厳しすぎた", "太严格", "खुला है", "مفتوحا", "no lo envíen"):
+            out += [(features(mark, "mark", left, after, "none"), 1, 3.0) for after in ("The next", "しきい値", "阈值", "टिकट", "الطلب", "«Halt", "„Halt", "「止め", "5 files", "(See")]
     for quote, case_text, label in (
-        ("first", "wrote the", 0), ("first", ", escribió", 0), ("first", "— написал", 0), ("first caseless", "कहा", 0), ("first caseless", "كتب", 0), ("first caseless", "说", 0), ("first", "と言", 0), ("first", "The next", 1),
+        ("first", "wrote the", 0), ("first", ", escribió", 0), ("first", "— написал", 0), ("first caseless", "कहा", 0), ("first caseless", "كتب", 0), ("first caseless", "说", 0), ("first", "と言", 0), ("inside", "と言", 0), ("first", "とA課が", 0), ("inside", "と伝え", 0), ("colon", "と伝え", 0), ("comma", "と伝え", 0), ("first", "The next", 1),
         ("colon", "The next", 1), ("colon", "阈值", 1), ("colon", "と書", 0), ("comma", "The next", 1), ("comma", "before the", 0), ("comma", "and the", 0), ("colon", "before the", 0), ("inside", "and the", 0), ("inside", "before the", 0), ("inside", "The next", 1), ("bracket first", "The next", 1), ("bracket inside", "were", 0), ("bracket inside", "The next", 0), ("inside", "と書", 0),
     ):
         for mark in ".!?。":
-            out += [(features(mark, "mark", "the file was closed", case_text, quote), label, 3.0)]
+            for left in ("the file was closed", "it ran", "已删除", "消した", "ho finito"):
+                out += [(features(mark, "mark", left, case_text, quote), label, 3.0)]
     return out
 
 
@@ -314,6 +335,7 @@ def split_sentences(documents: DataFrame, model: dict[str, float] | None = None,
     """(doc_id, sentence_no, span_start, span_end[, sentence]) of every sentence of every document."""
     model = fit(documents, text) if model is None else model
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    rows = spread(rows)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
