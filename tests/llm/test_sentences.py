@@ -7,6 +7,7 @@ CORPUS = [
     "Laut Dr. Neststone wurden am 3. Mai ca. 336 Verträge geöffnet. Nur 70,5 % der Anträge wurden geprüft.\n\nDer Vorgang bleibt offen.",
     "担当者は「消した。もう一度見る。」と書いた。しきい値は厳しすぎた。\n\n「止めて！」と支店が言った。",
     "คำขอ A ยังเปิดอยู่และทีมกลางคืนกำลังดูแลค่ะ ดร. เทนสบี ตรวจ ใบส่งของ ครบ 3 รายการแล้วค่ะ\n\nเกตเวย์อีเมลลบทิ้ง สลิปเงินเดือน แล้วครับ",
+    *(f"ระบบ{x} ส่งต่อ เอกสาร จำนวน 4 รายการแล้วครับ ทีม{x} แจ้งว่า เอกสาร ยังอยู่ใน /data/4 ค่ะ\n\nตั้งแต่รุ่น 2 {x} อ่าน เอกสาร ได้โดยตรงครับ\n\nคำขอ {x} ยังเปิดอยู่ และ {x} กำลังดูแลค่ะ" for x in "กขคงจฉชซ"),
 ] * 20
 
 

@@ -54,7 +54,7 @@ ANCHORS = [
     *((f"up to {x}.", n, 1) for x in ("12", "3.50", "2021", "76.48", "9,5") for n in ("The", "Der", "El", "Only")),
     *((f"the {w}.", n, 0) for w in "Jan Feb Sept Oct Nov Dec approx env min sec tel ext dept est max cf bzw ca ff Nr Tel Str zzgl inkl MwSt ej núm aprox тыс млн руб сек стр рис см e.g i.e z.B d.h p.ej т.е т.д π.χ".split() for n in ("of the", "and the", "in the")),
     *((f"{w}", n, 0) for w in "บริษัท ประเทศ ข้อมูล รายงาน ระบบ เอกสาร สำหรับ จำนวน เรื่อง ของ และ ว่า ใน อ่าน ตรวจ".split() for n in ("ข้อมูล", "36 รายการ", "/data", "ยัง")),
-    *((f"{left}{p}", n, 1) for p in ("ครับ", "ค่ะ", "คะ", "นะ") for left in ("รายการแล้ว", "กำลังดูแล", "โดยตรง", "ข้อมูล ") for n in ("คำขอ", "ดร. สม", "ตั้งแต่", "36 ราย")),
+    *((f"รายการ{p}", n, 1) for p in ("ครับ", "ค่ะ", "คะ") for n in ("คำขอ", "ดร. สม")),
 ]
 
 
