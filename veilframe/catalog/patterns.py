@@ -198,8 +198,118 @@ GDPR Personal Data ; 0.40 ; CI ; \bpersonal data\b ; gdpr, controller, processor
 HIPAA ; 0.40 ; C ; \bHIPAA\b ; health, phi
 """
 
-PASSPORTS = "France Germany Italy Spain Netherlands Poland Sweden Portugal Switzerland Austria Belgium Ireland Denmark Finland Norway India China Japan Canada Australia Brazil Mexico".split()
-LICENCES = "California Texas Florida Ohio Illinois Michigan Georgia Virginia Arizona Colorado".split()
+#: National numbers by region and country: "Name expression" pairs; all need one of their keywords (country and name) in the text.
+NATIONAL = r"""
+Europe - Germany: ID [CFGHJKLMNPRTVWXYZ0-9]{9}; Social Insurance [0-9]{8}[A-Z][0-9]{3}; DL [A-Z0-9]{11}
+Europe - France: CNI [0-9]{12}; DL [0-9]{12}
+Europe - Italy: Partita IVA [0-9]{11}; DL [A-Z]{2}[0-9]{7}[A-Z]
+Europe - Spain: NIE [XYZ][0-9]{7}[A-Z]; NSS [0-9]{12}
+Europe - Poland: NIP [0-9]{10}; REGON [0-9]{9}; ID Card [A-Z]{3}[0-9]{6}
+Europe - Sweden: Organisation Number [0-9]{10}
+Europe - Portugal: NIF [0-9]{9}; CC [0-9]{9}[A-Z]{2}[0-9]; NISS [0-9]{11}
+Europe - Switzerland: AHV 756[0-9]{10}; UID CHE[0-9]{9}
+Europe - Turkey: TC Kimlik [1-9][0-9]{10}; Tax ID [0-9]{10}
+Europe - Austria: SVN [0-9]{10}; Tax Number [0-9]{9}; ID Card [A-Z]?[0-9]{7}
+Europe - Belgium: VAT BE0?[0-9]{9}
+Europe - Ireland: PPS [0-9]{7}[A-W][A-IW]?; Eircode [A-Z][0-9][0-9W][A-Z0-9]{4}
+Europe - Finland: HETU [0-9]{6}[A+]?[0-9]{3}[0-9A-Y]
+Europe - Norway: FNR [0-7][0-9]{10}; D-Number [4-7][0-9]{10}
+Europe - Czech Republic: Birth Number [0-9]{9,10}; ICO [0-9]{8}
+Europe - Hungary: Personal ID [1-8][0-9]{10}; TAJ [0-9]{9}; Tax Number [0-9]{10}
+Europe - Romania: CNP [1-8][0-9]{12}; CIF (?:RO)?[0-9]{2,10}
+Europe - Greece: AFM [0-9]{9}; AMKA [0-9]{11}; ID Card [A-Z]{2}[0-9]{6}
+Europe - Croatia: OIB [0-9]{11}; ID Card [0-9]{9}
+Europe - Bulgaria: EGN [0-9]{10}; LNC [0-9]{10}; ID Card [0-9]{9}
+Europe - Slovakia: Birth Number [0-9]{9,10}
+Europe - Lithuania: Asmens Kodas [3-6][0-9]{10}
+Europe - Latvia: Personas Kods [0-9]{11}
+Europe - Estonia: Isikukood [1-6][0-9]{10}
+Europe - Slovenia: EMSO [0-9]{13}; Tax Number [0-9]{8}
+Europe - Luxembourg: NIN [0-9]{13}
+Europe - Malta: ID Card [0-9]{7}[A-Z]; TIN [0-9]{9}
+Europe - Cyprus: ID Card [0-9]{10}; TIN [0-9]{8}[A-Z]
+Europe - Iceland: Kennitala [0-9]{10}
+Europe - Liechtenstein: PIN [0-9]{12}
+Europe - United Kingdom: UTR [0-9]{10}; Sort Code [0-9]{6}; DL [A-Z9]{5}[0-9]{6}[A-Z0-9]{5}
+Asia-Pacific - India: Voter ID [A-Z]{3}[0-9]{7}; DL [A-Z]{2}[0-9]{13}; Ration Card [0-9]{10}
+Asia-Pacific - China: Macau ID [157][0-9]{7}; Taiwan National ID [A-Z][12][0-9]{8}
+Asia-Pacific - Japan: DL [0-9]{12}; Juminhyo Code [0-9]{11}; Health Insurance [0-9]{8}; Residence Card [A-Z]{2}[0-9]{8}[A-Z]{2}
+Asia-Pacific - South Korea: DL [0-9]{12}
+Asia-Pacific - New Zealand: IRD [0-9]{8,9}; NHI [A-HJ-NP-Z]{3}[0-9]{4}; DL [A-Z]{2}[0-9]{6}
+Asia-Pacific - Philippines: PhilSys [0-9]{12}; TIN [0-9]{9,12}; SSS [0-9]{10}; PhilHealth [0-9]{12}; UMID [0-9]{12}
+Asia-Pacific - Thailand: National ID [0-9]{13}; DL [0-9]{8}; Tax ID [0-9]{13}
+Asia-Pacific - Malaysia: MyKad [0-9]{12}
+Asia-Pacific - Indonesia: NIK [0-9]{16}; NPWP [0-9]{15}
+Asia-Pacific - Vietnam: CCCD [0-9]{12}; Tax Code [0-9]{10}
+Asia-Pacific - Pakistan: CNIC [0-9]{13}; NICOP [0-9]{13}
+Asia-Pacific - Bangladesh: NID [0-9]{10}(?:[0-9]{3}|[0-9]{7})?; TIN [0-9]{12}
+Asia-Pacific - Sri Lanka: NIC Old [0-9]{9}[VX]; NIC New [0-9]{12}
+Latin America - Brazil: RG [0-9]{8}[0-9X]; CNH [0-9]{11}; SUS Card [1-2789][0-9]{14}
+Latin America - Argentina: DNI [0-9]{7,8}
+Latin America - Colombia: Cedula [0-9]{6,10}; NIT [0-9]{9,10}; NUIP [0-9]{10}
+Latin America - Peru: DNI [0-9]{8}; RUC [12][0-9]{10}; Carnet Extranjeria [0-9]{9}
+Latin America - Venezuela: Cedula [VE][0-9]{6,8}; RIF [VEJPG][0-9]{9}
+Latin America - Ecuador: Cedula [0-9]{10}; RUC [0-9]{13}
+Latin America - Uruguay: Cedula [0-9]{7,8}; RUT [0-9]{12}
+Latin America - Paraguay: Cedula [0-9]{6,7}; RUC [0-9]{6,9}
+Latin America - Costa Rica: Cedula [1-9][0-9]{8}; DIMEX [0-9]{11,12}
+North America - Mexico: RFC [A-Z&]{3,4}[0-9]{6}[A-Z0-9]{3}; Clave Elector [A-Z]{6}[0-9]{8}[HM][0-9]{3}; INE CIC [0-9]{9}; INE OCR [0-9]{13}; NSS [0-9]{11}
+Middle East - Saudi Arabia: National ID [12][0-9]{9}
+Middle East - UAE: Visa Number [0-9]{9,12}
+Middle East - Qatar: QID [23][0-9]{10}
+Middle East - Kuwait: Civil ID [1-3][0-9]{11}
+Middle East - Bahrain: CPR [0-9]{9}
+Middle East - Jordan: National ID [0-9]{10}
+Middle East - Lebanon: ID [0-9]{7,12}
+Middle East - Iraq: National ID [0-9]{12}
+Middle East - Iran: Melli Code [0-9]{10}
+Africa - Nigeria: NIN [0-9]{11}; BVN 22[0-9]{9}; TIN [0-9]{12}; Voter Card [A-Z0-9]{19}; Driver Licence [A-Z]{3}[0-9]{5}[A-Z]{2}[0-9]{2}
+Africa - Kenya: National ID [0-9]{7,8}; KRA PIN [AP][0-9]{9}[A-Z]; NHIF [0-9]{6,9}
+Africa - Egypt: National ID [23][0-9]{13}; Tax ID [0-9]{9}
+Africa - Ghana: Card GHA[0-9]{10}; TIN [CGPV][0-9]{10}; NHIS [0-9]{8}
+Africa - Ethiopia: National ID [0-9]{12}; TIN [0-9]{10}
+Africa - Tanzania: NIDA [0-9]{20}; TIN [0-9]{9}
+Africa - Morocco: CIN [A-Z]{1,2}[0-9]{5,6}; Tax ID [0-9]{8}
+Africa - Tunisia: CIN [0-9]{8}
+Africa - Uganda: NIN [CP][MF][0-9]{8}[A-Z0-9]{4}
+"""
+#: Countries by region whose passports are a letter or two and six to nine digits.
+PASSPORTS = {
+    "Europe": "Germany France Italy Netherlands Spain Poland Sweden Portugal Switzerland Turkey Austria Belgium Ireland Denmark Finland Norway Czech Hungary Romania Greece Croatia Bulgaria Slovakia Lithuania Latvia Estonia Slovenia Luxembourg Malta Cyprus Iceland Liechtenstein UK",
+    "Asia-Pacific": "India China Japan South_Korea Singapore Australia New_Zealand Philippines Thailand Malaysia Indonesia Vietnam Pakistan Bangladesh Sri_Lanka",
+    "Latin America": "Brazil Argentina Colombia Chile Peru Venezuela Ecuador Uruguay Paraguay Costa_Rica",
+    "Middle East": "Saudi_Arabia UAE Israel Qatar Kuwait Bahrain Jordan Lebanon Iraq Iran",
+    "Africa": "South_Africa Nigeria Kenya Egypt Ghana Ethiopia Tanzania Morocco Tunisia Uganda",
+    "North America": "Canada Mexico",
+}
+#: States, provinces and countries whose driving licences are letters and digits of a bounded length.
+LICENCES = {
+    "North America - United States": "Alabama Alaska Arizona Arkansas California Colorado Connecticut Delaware DC Florida Georgia Hawaii Idaho Illinois Indiana Iowa Kansas Kentucky Louisiana Maine Maryland Massachusetts Michigan Minnesota Mississippi Missouri Montana Nebraska Nevada New_Hampshire New_Jersey New_Mexico New_York North_Carolina North_Dakota Ohio Oklahoma Oregon Pennsylvania Rhode_Island South_Carolina South_Dakota Tennessee Texas Utah Vermont Virginia Washington West_Virginia Wisconsin Wyoming",
+    "North America - Canada": "Ontario Quebec British_Columbia Alberta Saskatchewan Manitoba New_Brunswick Nova_Scotia PEI Newfoundland Yukon NWT Nunavut",
+    "Europe": "Netherlands Sweden Switzerland Turkey Austria Belgium Ireland Denmark Finland Norway Czech Hungary Romania Greece Croatia Slovakia Lithuania Latvia Estonia Slovenia Luxembourg",
+}
+HEALTH_CARDS = "Ontario BC Alberta Saskatchewan Manitoba New_Brunswick Nova_Scotia PEI Newfoundland"
+
+
+def families() -> list[tuple]:
+    """Rows of the families: (category, name, expression, specificity, always, context, keywords, distance)."""
+    rows = []
+    for line in NATIONAL.strip().splitlines():
+        category, _, items = line.partition(": ")
+        country = category.partition(" - ")[2]
+        for item in items.split("; "):
+            name, _, shape = item.rpartition(" ")
+            own = name if name.startswith(("Macau", "Taiwan")) else f"{country} {name}"
+            words = tuple(dict.fromkeys([own.lower(), name.lower() if len(name) > 3 else f"{name.lower()} no", f"{name.lower()} number"]))
+            rows.append((category, own.replace("Czech Republic", "Czech").replace("United Kingdom", "UK"), rf"\b{shape}\b", 0.40, False, True, words, 50))
+    for region, countries in PASSPORTS.items():
+        for c in [x.replace("_", " ") for x in countries.split()]:
+            rows.append((f"{region} - {c}", f"{c} Passport", r"\b[A-Z]{0,2}[0-9]{6,9}\b", 0.40, False, True, (f"{c.lower()} passport", "passport no", "passport number"), 50))
+    for region, places in LICENCES.items():
+        for c in [x.replace("_", " ") for x in places.split()]:
+            rows.append((region if " - " in region else f"{region} - {c}", f"{c} DL", r"\b[A-Z]{0,2}[0-9]{6,13}\b", 0.40, False, True, (f"{c.lower()} driver", f"{c.lower()} licen", "driver licen", "driving licen"), 50))
+    rows += [("North America - Canada", f"{x.replace('_', ' ')} HC", r"\b[0-9]{8,12}[A-Z]{0,2}\b", 0.40, False, True, (f"{x.replace('_', ' ').lower()} health", "health card"), 50) for x in HEALTH_CARDS.split()]
+    return rows
 
 
 @cache
@@ -213,8 +323,7 @@ def catalogue() -> tuple[Pattern, ...]:
         name, specificity, flags, rest = (x.strip() for x in line.split(" ; ", 3))
         regex, _, keywords = rest.rpartition(" ; ")
         rows.append((category, name, ("(?i)" if "I" in flags else "") + regex, float(specificity), "A" in flags, "C" in flags, tuple(k.strip() for k in keywords.split(",")), distance))
-    rows += [("Passports", f"{c} Passport", r"\b[A-Z]{1,2}[0-9]{6,8}\b", 0.40, False, True, (f"{c.lower()} passport", "passport no", "passport number"), 50) for c in PASSPORTS]
-    rows += [("Driving Licences", f"{c} DL", r"\b[A-Z]?[0-9]{7,9}\b", 0.40, False, True, (f"{c.lower()} driver", "driver licen", "driving licen"), 50) for c in LICENCES]
+    rows += families()
     return tuple(Pattern(i, *row) for i, row in enumerate(rows))
 
 
