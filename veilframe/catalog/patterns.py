@@ -63,11 +63,15 @@ LEI ; 0.80 ; A ; \b[A-Z0-9]{18}[0-9]{2}\b ; lei, legal entity
 # Loan and Mortgage Data ; 50
 MERS MIN ; 0.50 ; A ; \b[0-9]{18}\b ; mers, mortgage, min
 Universal Loan Identifier ; 0.75 ; A ; \b[A-Z0-9]{18}[0-9]{2}[A-Z0-9]{3,25}\b ; uli, loan
+# North America - United States ; 50
+US Phone Number ; 0.40 ; A ; (?:\+?\b1|(?<![0-9+])\+1)?\(?[2-9][0-9]{2}\)?[2-9][0-9]{6}\b ; phone, call, tel, mobile, contact, reach
+# Europe - United Kingdom ; 50
+UK Phone Number ; 0.40 ; A ; (?:\+44|\b0)[1-9][0-9]{8,9}\b ; phone, call, tel, mobile
 # Contact Information ; 50
 Email Address ; 0.90 ; A ; \b[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}\b ; email, e-mail, mail, contact
 E.164 Phone Number ; 0.40 ; A ; \+[1-9][0-9]{7,14}\b ; phone, tel, mobile, call
 IPv4 Address ; 0.60 ; A ; \b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b ; ip, address, host, server
-IPv6 Address ; 0.80 ; A ; (?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:]) ; ipv6, address
+IPv6 Address ; 0.80 ; A ; (?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:]) ; ipv6, address
 MAC Address ; 0.80 ; A ; \b[0-9A-Fa-f]{2}(?:[:][0-9A-Fa-f]{2}){5}\b ; mac, hardware
 # Generic Secrets ; 80
 Bearer Token ; 0.80 ; AI ; \bbearer\s+[A-Za-z0-9._~+/\-]{8,}=* ; bearer, authorization
@@ -80,6 +84,9 @@ Database Connection String ; 0.90 ; AI ; \b(?:postgres(?:ql)?|mysql|mongodb(?:\+
 Ethereum Address ; 0.80 ; A ; \b0x[0-9A-Fa-f]{40}\b ; ethereum, wallet, eth
 Bitcoin Address (Legacy) ; 0.80 ; A ; \b[13][1-9A-HJ-NP-Za-km-z]{25,34}\b ; bitcoin, wallet, btc
 Bitcoin Address (Bech32) ; 0.80 ; A ; \bbc1[02-9ac-hj-np-z]{11,71}\b ; bitcoin, wallet, btc
+Bitcoin Cash Address ; 0.75 ; A ; \b(?:bitcoincash:)?[qp][02-9ac-hj-np-z]{41}\b ; bitcoin cash, bch
+Litecoin Address ; 0.80 ; A ; \b[LM3][1-9A-HJ-NP-Za-km-z]{26,33}\b ; litecoin, ltc
+Ripple Address ; 0.80 ; A ; \br[1-9A-HJ-NP-Za-km-z]{24,34}\b ; ripple, xrp
 Monero Address ; 0.85 ; A ; \b4[0-9AB][1-9A-HJ-NP-Za-km-z]{93}\b ; monero, xmr
 # Vehicle Identification ; 50
 VIN ; 0.70 ; A ; \b[A-HJ-NPR-Z0-9]{17}\b ; vin, vehicle, chassis
@@ -113,9 +120,8 @@ Slack Bot Token ; 0.95 ; A ; \bxoxb-?[0-9]{8,}-?[0-9A-Za-z\-]{16,} ; slack
 Slack Webhook ; 0.40 ; A ; https://hooks\.slack\.com/services/T[A-Za-z0-9]+/B[A-Za-z0-9]+/[A-Za-z0-9]+ ; slack, webhook
 SendGrid API Key ; 0.95 ; A ; \bSG\.[0-9A-Za-z_\-]{16,32}\.[0-9A-Za-z_\-]{16,64} ; sendgrid
 # North America - United States ; 50
-USA SSN ; 0.70 ; AC ; \b[0-9]{9}\b ; ssn, social security, tax, taxpayer, employee, records of, identity number, id on file
+USA SSN ; 0.70 ; AC ; \b[0-9]{9}\b ; ssn, ss#, social security, taxpayer id
 US NPI ; 0.40 ; A ; \b[12][0-9]{9}\b ; npi, provider
-US Phone Number ; 0.40 ; A ; \b1?\(?[2-9][0-9]{2}\)?[2-9][0-9]{6}\b ; phone, call, tel, mobile, contact, reach
 USA Passport ; 0.40 ; C ; \b[A-Z]?[0-9]{8,9}\b ; passport
 USA EIN ; 0.40 ; C ; \b[0-9]{9}\b ; ein, employer identification
 USA ITIN ; 0.40 ; AC ; \b9[0-9]{2}[5-9][0-9]{5}\b ; itin
@@ -127,7 +133,6 @@ Mexico CURP ; 0.70 ; A ; \b[A-Z]{4}[0-9]{6}[HM][A-Z]{5}[0-9A-Z][0-9]\b ; curp
 # Europe - United Kingdom ; 50
 UK NIN ; 0.65 ; A ; \b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z][0-9]{6}[A-D]\b ; national insurance, nino
 British NHS ; 0.65 ; A ; \b[0-9]{10}\b ; nhs
-UK Phone Number ; 0.40 ; A ; (?:\+44|\b0)[1-9][0-9]{8,9}\b ; phone, call, tel, mobile
 # Europe - Germany ; 50
 Germany Tax ID ; 0.65 ; A ; \b[1-9][0-9]{10}\b ; steuer-id, steuernummer, tax id, idnr
 # Europe - France ; 50
@@ -151,7 +156,7 @@ India PAN ; 0.65 ; A ; \b[A-Z]{5}[0-9]{4}[A-Z]\b ; pan, income tax
 India Aadhaar ; 0.65 ; A ; \b[2-9][0-9]{11}\b ; aadhaar, uidai
 # Asia-Pacific - China ; 50
 China Resident ID ; 0.70 ; A ; \b[1-9][0-9]{16}[0-9X]\b ; resident id, shenfenzheng
-Hong Kong ID ; 0.65 ; A ; \b[A-Z]{1,2}[0-9]{6}\(?[0-9A]\)? ; hkid
+Hong Kong ID ; 0.65 ; A ; \b[A-Z]{1,2}[0-9]{6}(?:\([0-9A]\)|[0-9A](?![0-9A-Za-z])) ; hkid
 # Asia-Pacific - Japan ; 50
 Japan My Number ; 0.65 ; A ; \b[0-9]{12}\b ; my number
 # Asia-Pacific - South Korea ; 50
@@ -291,6 +296,10 @@ LICENCES = {
 HEALTH_CARDS = "Ontario BC Alberta Saskatchewan Manitoba New_Brunswick Nova_Scotia PEI Newfoundland"
 
 
+#: Names that many countries use; they need the country beside them.
+GENERIC = frozenset(["ID", "DL", "Tax ID", "Tax Number", "Tax Code", "TIN", "National ID", "ID Card", "VAT", "PIN", "NIN", "CIN", "NID", "DNI", "Cedula", "RUC", "RUT", "Card", "CPR", "NSS", "Birth Number", "Personal ID", "Social Insurance", "Health Insurance", "Visa Number", "Voter ID", "Voter Card", "UID", "CC", "RG", "NIC Old", "NIC New", "Civil ID", "Driver Licence"])
+
+
 def families() -> list[tuple]:
     """Rows of the families: (category, name, expression, specificity, always, context, keywords, distance)."""
     rows = []
@@ -300,14 +309,14 @@ def families() -> list[tuple]:
         for item in items.split("; "):
             name, _, shape = item.rpartition(" ")
             own = name if name.startswith(("Macau", "Taiwan")) else f"{country} {name}"
-            words = tuple(dict.fromkeys([own.lower(), name.lower() if len(name) > 3 else f"{name.lower()} no", f"{name.lower()} number"]))
+            words = (own.lower(),) if name in GENERIC else (own.lower(), name.lower() if len(name) > 3 else f"{name.lower()} no", f"{name.lower()} number")
             rows.append((category, own.replace("Czech Republic", "Czech").replace("United Kingdom", "UK"), rf"\b{shape}\b", 0.40, False, True, words, 50))
     for region, countries in PASSPORTS.items():
         for c in [x.replace("_", " ") for x in countries.split()]:
-            rows.append((f"{region} - {c}", f"{c} Passport", r"\b[A-Z]{0,2}[0-9]{6,9}\b", 0.40, False, True, (f"{c.lower()} passport", "passport no", "passport number"), 50))
+            rows.append((f"{region} - {c}", f"{c} Passport", r"\b[A-Z]{0,2}[0-9]{6,9}\b", 0.40, False, True, (f"{c.lower()} passport",), 50))
     for region, places in LICENCES.items():
         for c in [x.replace("_", " ") for x in places.split()]:
-            rows.append((region if " - " in region else f"{region} - {c}", f"{c} DL", r"\b[A-Z]{0,2}[0-9]{6,13}\b", 0.40, False, True, (f"{c.lower()} driver", f"{c.lower()} licen", "driver licen", "driving licen"), 50))
+            rows.append((region if " - " in region else f"{region} - {c}", f"{c} DL", r"\b[A-Z]{0,2}[0-9]{6,13}\b", 0.40, False, True, (f"{c.lower()} driver", f"{c.lower()} licen", f"{c.lower()} dl"), 50))
     rows += [("North America - Canada", f"{x.replace('_', ' ')} HC", r"\b[0-9]{8,12}[A-Z]{0,2}\b", 0.40, False, True, (f"{x.replace('_', ' ').lower()} health", "health card"), 50) for x in HEALTH_CARDS.split()]
     return rows
 

@@ -13,9 +13,10 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
-from veilframe.functions.validators import CODICE_ODD, IBAN_LENGTHS, LONG_TLDS, PLACEHOLDERS, verhoeff_tables
+from veilframe.functions.validators import CODICE_ODD, E164_PLANS, SWIFT_COUNTRIES, SWIFT_WORDS, IBAN_LENGTHS, LONG_TLDS, PLACEHOLDERS, verhoeff_tables
 
 PRODUCT, TURNS = verhoeff_tables()
+PHONE_PLANS = [(p.partition(":")[0], *map(int, p.partition(":")[2].split("-"))) for p in E164_PLANS]
 LENGTHS = {x[:2]: int(x[2:]) for x in IBAN_LENGTHS}
 
 
@@ -124,7 +125,11 @@ def plausible_phone(s: str) -> bool:
 
 def e164(s: str) -> bool:
     t = "".join(map(str, digits(s)))
-    return s.startswith("+") and plausible_phone(s) and (us_phone(t) and len(t) == 11 if t[0] == "1" else len(t) >= 9)
+    if not s.startswith("+") or not plausible_phone(s):
+        return False
+    if t[0] == "1":
+        return len(t) == 11 and us_phone(t) and t[1:4] != "555"
+    return any(t.startswith(code) and low <= len(t) - len(code) <= high for code, low, high in PHONE_PLANS)
 
 
 def dea(s: str) -> bool:
@@ -135,7 +140,7 @@ def dea(s: str) -> bool:
 def vin(s: str) -> bool:
     s = alnum(s)
     plain = s.translate(str.maketrans("ABCDEFGHJKLMNPRSTUVWXYZ", "12345678123457923456789"))
-    return len(s) == 17 and plain.isdigit() and "0123456789X"[dot(digits(plain), [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2]) % 11] == s[8]
+    return len(s) == 17 and len(set(s)) > 1 and plain.isdigit() and "0123456789X"[dot(digits(plain), [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2]) % 11] == s[8]
 
 
 def public_ip(s: str) -> bool:
@@ -266,7 +271,7 @@ def nric(s: str) -> bool:
 
 def hkid(s: str) -> bool:
     s = alnum(s)
-    return bool(re.fullmatch("[A-Z]{1,2}[0-9]{6}[0-9A]", s)) and dot([36] * (9 - len(s)) + [int(c, 36) for c in s], [9, 8, 7, 6, 5, 4, 3, 2, 1]) % 11 == 0
+    return bool(re.fullmatch("[A-Z]{1,2}[0-9]{6}[0-9A]", s)) and dot([36] * (9 - len(s)) + [ord(c) - 64 if c.isalpha() else int(c) for c in s[:-1]], [8, 7, 6, 5, 4, 3, 2, 1]) % 11 == -int(s[-1], 36) % 11
 
 
 def steuer(s: str) -> bool:
@@ -314,6 +319,24 @@ def bech32(s: str) -> bool:
     return chk in (1, 0x2BC830A3)
 
 
+def swift(s: str) -> bool:
+    return bool(re.fullmatch("[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?", s)) and s[4:6] in SWIFT_COUNTRIES and s[:8] not in SWIFT_WORDS
+
+
+def cash_address(s: str) -> bool:
+    """Base-32 body with a 40-bit checksum over the prefix and the body."""
+    body = s.lower().rpartition(":")[2]
+    if len(body) != 42 or any(c not in BECH32 for c in body):
+        return False
+    chk = 1
+    for v in [*(ord(c) & 31 for c in "bitcoincash"), 0, *(BECH32.index(c) for c in body)]:
+        top = chk >> 35
+        chk = (chk & 0x07FFFFFFFF) << 5 ^ v
+        for i, g in enumerate((0x98F2BC8E61, 0x79B76D99E2, 0xF33E5FB3C4, 0xAE2EABE2A8, 0x1E4F43E470)):
+            chk ^= g if top >> i & 1 else 0
+    return chk == 1 or chk ^ 1 == 0
+
+
 def jwt(s: str) -> bool:
     head = s.split(".")[0]
     try:
@@ -334,9 +357,10 @@ CHECKS: dict[str, Callable[[str], bool]] = {
     "India Aadhaar": aadhaar, "Japan My Number": my_number, "Italy Codice Fiscale": codice, "Italy SSN": codice, "Spain DNI": dni, "British NHS": nhs, "Brazil CNPJ": cnpj, "China Resident ID": china, "South Korea RRN": rrn, "France NIR": nir, "Mexico CURP": curp,
     "Denmark CPR": lambda s: len(d := digits(s)) == 10 and varied(d) and 1 <= whole(d, 0, 2) <= 31 and 1 <= whole(d, 2, 4) <= 12, "Argentina CUIL/CUIT": cuil, "Singapore NRIC": nric, "Singapore FIN": nric, "Hong Kong ID": hkid,
     "US NPI": lambda s: len(d := digits(s)) == 10 and varied(d) and d[0] in (1, 2) and luhn_ok([8, 0, 8, 4, 0, *d]), "Germany Tax ID": steuer, "Chile RUN/RUT": rut, "India PAN": lambda s: bool(re.fullmatch("[A-Z]{3}[PCHABGJLFT][A-Z][0-9]{4}[A-Z]", s)),
+    "SWIFT/BIC": swift,
     "Fedwire IMAD": lambda s: len(t := alnum(s)) == 26 and t[:8].isdigit() and 1990 <= int(t[:4]) <= 2099 and month_day(digits(t), 4), "Slack Webhook": lambda s: bool(re.fullmatch(r"https://hooks\.slack\.com/services/T[A-Za-z0-9]{8,}/B[A-Za-z0-9]{8,}/[A-Za-z0-9]{16,}/?", s)),
     "Australia Medicare": lambda s: len(d := digits(s)) in (10, 11) and 2 <= d[0] <= 6 and dot(d, [1, 3, 7, 9, 1, 3, 7, 9]) % 10 == d[8], "Quebec HC": lambda s: bool(re.fullmatch("[A-Z]{4}[0-9]{8}", t := alnum(s))) and (1 <= int(t[6:8]) <= 12 or 51 <= int(t[6:8]) <= 62) and 1 <= int(t[8:10]) <= 31,
-    "Bitcoin Address (Legacy)": lambda s: base58check(s, (0, 5)), "Litecoin Address": lambda s: base58check(s, (0x30, 0x32, 5)), "Ripple Address": lambda s: base58check(s, (0,), RIPPLE58), "Bitcoin Address (Bech32)": bech32, "JWT Token": jwt,
+    "Bitcoin Address (Legacy)": lambda s: base58check(s, (0, 5)), "Litecoin Address": lambda s: base58check(s, (0x30, 0x32, 5)), "Ripple Address": lambda s: base58check(s, (0,), RIPPLE58), "Bitcoin Address (Bech32)": bech32, "Bitcoin Cash Address": cash_address, "JWT Token": jwt,
 }
 
 

@@ -56,12 +56,12 @@ ENTITY = re.compile(r"&#(?:[xX]([0-9A-Fa-f]{1,9})|([0-9]{1,9}));")
 COMMENT = re.compile(r"/\*\*/|<!---->")
 HEX_SPACED = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{2}(?: [0-9A-Fa-f]{2}){2,}(?![0-9A-Za-z])")
 HEX_ESCAPE = re.compile(r"\\x([0-9A-Fa-f]{2})")
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{12,}={0,6}(?![A-Za-z0-9+/_=.-])")
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{12,}={0,6}(?![A-Za-z0-9+/_=.-])")
 PADDING = re.compile(r"(?<=[^A-Za-z\s])\s+(?=[^A-Za-z\s])")
 RUNS = re.compile(r"(?<=[0-9A-Za-z])([-./_\\])\1+(?=[0-9A-Za-z])")
 BETWEEN = re.compile(r"(?<=[0-9A-Za-z])[-/\\_](?=[0-9A-Za-z])")
 ADDRESS = re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.])")
-DOTTED = re.compile(r"(?<!\d)\d{1,6}(?:\.\d{1,6})+(?!\d)")
+DOTTED = re.compile(r"(?<![\d.])\d{1,6}(?:[./-]\d{1,6}){2,}(?![\d])")
 MARKERS = re.compile(r"%[0-9A-Fa-f]{2}|&#|/\*\*/|<!---->|[^A-Za-z\s]\s+[^A-Za-z\s]|[-.]{2}|(?:[0-9A-Fa-f]{2} ){2}|\\x|[0-9A-Z][-/\\_.][0-9A-Za-z]|[0-9A-Za-z][-/\\_][0-9A-Z]|[A-Za-z0-9+/_-]{12}|[^\x00-\x7f]")
 
 
@@ -127,7 +127,7 @@ def normalize(text: str) -> Marked:
     marked = rewrite(marked, PADDING, lambda m: "")
     marked = rewrite(marked, RUNS, lambda m: m.group(1))
     kept = [m.span() for m in ADDRESS.finditer(marked[0])]
-    marked = rewrite(marked, DOTTED, lambda m: None if any(a <= m.start() and m.end() <= b for a, b in kept) else m.group().replace(".", "") if m.group().count(".") > 1 else None) if kept or "." in marked[0] else marked
+    marked = rewrite(marked, DOTTED, lambda m: None if any(a <= m.start() and m.end() <= b for a, b in kept) else m.group().replace(".", "")) if "." in marked[0] else marked
     before = marked[0]
     side = lambda c: c.isdigit() or c.isupper()
     marked = rewrite(marked, BETWEEN, lambda m: "" if side(before[m.start() - 1]) or side(before[m.end()]) else None)

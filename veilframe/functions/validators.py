@@ -137,12 +137,14 @@ def iban(c: Column) -> Column:
     return s.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & F.coalesce(F.try_element_at(sizes, F.substring(s, 1, 2)) == F.length(s), F.lit(False)) & (mod_string(expanded(F.when(s.rlike("^[A-Z0-9]*$"), turned).otherwise(F.lit(""))), 97) == 1)
 
 
+#: Country codes, and words that look like a code.
+SWIFT_COUNTRIES = "AD AE AF AG AI AL AM AO AR AT AU AZ BA BB BD BE BF BG BH BI BJ BM BN BO BR BS BT BW BY BZ CA CD CG CH CI CL CM CN CO CR CU CV CY CZ DE DJ DK DM DO DZ EC EE EG ER ES ET FI FJ FR GA GB GD GE GH GI GM GN GQ GR GT GW GY HK HN HR HT HU ID IE IL IN IQ IR IS IT JM JO JP KE KG KH KM KN KR KW KY KZ LA LB LC LI LK LR LS LT LU LV LY MA MC MD ME MG MK ML MM MN MO MR MT MU MV MW MX MY MZ NA NE NG NI NL NO NP NZ OM PA PE PG PH PK PL PT PY QA RO RS RU RW SA SB SC SD SE SG SI SK SL SM SN SO SR SV SY SZ TD TG TH TJ TL TM TN TO TR TT TW TZ UA UG US UY UZ VA VC VE VN VU WS XK YE ZA ZM ZW".split()
+SWIFT_WORDS = "DEADBEEF CAFEBABE BUSINESS PRODUCTS SERVICES DOCUMENT RESEARCH ANALYSIS TRAINING SECURITY PERSONAL CUSTOMER".split()
+
+
 def swift(c: Column) -> Column:
     s = F.coalesce(c, F.lit(""))
-    #: Country codes.
-    countries = "AD AE AF AG AI AL AM AO AR AT AU AZ BA BB BD BE BF BG BH BI BJ BM BN BO BR BS BT BW BY BZ CA CD CG CH CI CL CM CN CO CR CU CV CY CZ DE DJ DK DM DO DZ EC EE EG ER ES ET FI FJ FR GA GB GD GE GH GI GM GN GQ GR GT GW GY HK HN HR HT HU ID IE IL IN IQ IR IS IT JM JO JP KE KG KH KM KN KR KW KY KZ LA LB LC LI LK LR LS LT LU LV LY MA MC MD ME MG MK ML MM MN MO MR MT MU MV MW MX MY MZ NA NE NG NI NL NO NP NZ OM PA PE PG PH PK PL PT PY QA RO RS RU RW SA SB SC SD SE SG SI SK SL SM SN SO SR SV SY SZ TD TG TH TJ TL TM TN TO TR TT TW TZ UA UG US UY UZ VA VC VE VN VU WS XK YE ZA ZM ZW".split()
-    words = "BUSINESS PRODUCTS SERVICES DOCUMENT RESEARCH ANALYSIS TRAINING SECURITY PERSONAL CUSTOMER".split()
-    return s.rlike("^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$") & F.substring(s, 5, 2).isin(*countries) & ~F.substring(s, 1, 8).isin(*words)
+    return s.rlike("^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$") & F.substring(s, 5, 2).isin(*SWIFT_COUNTRIES) & ~F.substring(s, 1, 8).isin(*SWIFT_WORDS)
 
 
 def tfn(c: Column) -> Column:
@@ -176,17 +178,19 @@ def plausible_phone(c: Column) -> Column:
     return n.between(8, 15) & not_same(d) & (longest < n / 2) & ~rising
 
 
+#: Country code and the least and largest number of digits behind it.
+E164_PLANS = "7:10-10 20:8-10 27:9-9 30:10-10 31:9-9 32:8-9 33:9-9 34:9-9 36:8-9 39:6-11 40:9-9 41:9-9 43:4-13 44:9-10 45:8-8 46:7-9 47:8-8 48:9-9 49:6-11 51:8-9 52:10-10 54:10-11 55:10-11 56:9-9 57:10-10 60:8-10 61:9-9 62:8-12 63:10-10 64:8-10 65:8-8 66:8-9 81:9-10 82:8-10 84:9-10 86:10-11 90:10-10 91:10-10 92:9-10 351:9-9 353:7-9 358:5-10 380:9-9 420:9-9 852:8-8 966:8-9 971:8-9 972:8-9".split()
+
+
 def e164(c: Column) -> Column:
     """A plus sign, a known country code and a subscriber number of that code's length (NANP rules for +1)."""
-    #: Country code and the least and largest number of digits behind it.
-    plans = "7:10-10 20:8-10 27:9-9 30:10-10 31:9-9 32:8-9 33:9-9 34:9-9 36:8-9 39:6-11 40:9-9 41:9-9 43:4-13 44:9-10 45:8-8 46:7-9 47:8-8 48:9-9 49:6-11 51:8-9 52:10-10 54:10-11 55:10-11 56:9-9 57:10-10 60:8-10 61:9-9 62:8-12 63:10-10 64:8-10 65:8-8 66:8-9 81:9-10 82:8-10 84:9-10 86:10-11 90:10-10 91:10-10 92:9-10 351:9-9 353:7-9 358:5-10 380:9-9 420:9-9 852:8-8 966:8-9 971:8-9 972:8-9".split()
     s, d = F.coalesce(c, F.lit("")), only_digits(c)
     ok = F.lit(False)
-    for plan in plans:
+    for plan in E164_PLANS:
         code, span = plan.split(":")
         low, high = map(int, span.split("-"))
         ok = ok | (d.startswith(code) & (F.length(d) - len(code)).between(low, high))
-    nanp = d.startswith("1") & (F.length(d) == 11) & us_phone(d)
+    nanp = d.startswith("1") & (F.length(d) == 11) & us_phone(d) & (F.substring(d, 2, 3) != "555")
     return s.startswith("+") & plausible_phone(c) & (ok | nanp)
 
 
@@ -231,7 +235,7 @@ def vin(c: Column) -> Column:
     plain = F.translate(s, "ABCDEFGHJKLMNPRSTUVWXYZ", "12345678123457923456789")
     remainder = weighted(cells(F.when(plain.rlike("^[0-9]{17}$"), plain).otherwise("")), [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2]) % 11
     mark = F.when(remainder == 10, F.lit("X")).otherwise(remainder.cast("string"))
-    return s.rlike("^[0-9A-HJ-NPR-Z]{17}$") & (mark == F.substring(s, 9, 1))
+    return s.rlike("^[0-9A-HJ-NPR-Z]{17}$") & not_same(s) & (mark == F.substring(s, 9, 1))
 
 
 def ipv4(c: Column) -> Column:
@@ -457,9 +461,10 @@ def nric(c: Column) -> Column:
 def hkid(c: Column) -> Column:
     s = only_alnum(c)
     nine = F.when(F.length(s) == 8, F.concat(F.lit(" "), s)).otherwise(s)
-    value = lambda x: F.when(x == " ", 36).otherwise(F.conv(x, 36, 10).cast("int"))
-    a = F.transform(F.filter(F.split(nine, ""), lambda x: x != ""), value)
-    return s.rlike("^[A-Z]{1,2}[0-9]{6}[0-9A]$") & ((weighted(a, [9, 8, 7, 6, 5, 4, 3, 2, 1])) % 11 == 0)
+    number = lambda x: F.conv(x, 36, 10).cast("int")
+    # the pad counts 36, letters count from A = 1, the check mark counts from A = 10
+    a = F.transform(F.filter(F.split(nine, ""), lambda x: x != ""), lambda x, i: F.when(x == " ", 36).when((number(x) > 9) & (i < 8), number(x) - 9).otherwise(number(x)))
+    return s.rlike("^[A-Z]{1,2}[0-9]{6}[0-9A]$") & (weighted(a, [8, 7, 6, 5, 4, 3, 2, 1, 1]) % 11 == 0)
 
 
 def npi(c: Column) -> Column:

@@ -119,7 +119,7 @@ CASES: list[tuple[str, V.Predicate, str, str]] = [
     ("v_cuil", V.cuil, f"concat('20', {d(9)})", f"{wsum([5, 4, 3, 2, 7, 6, 5, 4, 3, 2])} % 11 <> 1 and (case when {wsum([5, 4, 3, 2, 7, 6, 5, 4, 3, 2])} % 11 = 0 then 0 else 11 - {wsum([5, 4, 3, 2, 7, 6, 5, 4, 3, 2])} % 11 end) = {digit(11)}"),
     ("v_nric", V.nric, f"concat(case o_orderkey % 2 when 0 then 'S' else 'T' end, {d(7)}, {letters(1, 8)})", f"substr('JZIHGFEDCBA', ({wsum([2, 7, 6, 5, 4, 3, 2], 2)} + case when substr(v, 1, 1) = 'T' then 4 else 0 end) % 11 + 1, 1) = substr(v, 9, 1)"),
     ("v_fin", V.nric, f"concat(case o_orderkey % 2 when 0 then 'F' else 'G' end, {d(7)}, translate({d(1, 8)}, '0123456789', 'XWUTRQPNML'))", f"substr('XWUTRQPNMLK', ({wsum([2, 7, 6, 5, 4, 3, 2], 2)} + case when substr(v, 1, 1) = 'G' then 4 else 0 end) % 11 + 1, 1) = substr(v, 9, 1)"),
-    ("v_hkid", V.hkid, f"concat({letters(1)}, {d(7, 2)})", "(9 * 36 + " + " + ".join(f"{w} * {c36(i)}" for i, w in enumerate([8, 7, 6, 5, 4, 3, 2, 1], 1)) + ") % 11 = 0"),
+    ("v_hkid", V.hkid, f"concat({letters(1)}, {d(7, 2)})", "(8 * 36 + 7 * (ascii(substr(v, 1, 1)) - 64) + " + " + ".join(f"{w} * {digit(i)}" for i, w in enumerate([6, 5, 4, 3, 2, 1, 1], 2)) + ") % 11 = 0"),
     ("v_steuer", V.steuer_id, d(11), f"not {SAME} and len(list_distinct(string_split(substr(v, 1, 10), ''))) >= 7 and list_max(list_transform(string_split(substr(v, 1, 10), ''), lambda x: 10 - length(replace(substr(v, 1, 10), x, '')))) <= 3 and (11 - list_reduce(list_prepend(10, list_transform(string_split(substr(v, 1, 10), ''), lambda x: cast(x as int))), lambda p, x: (case when (p + x) % 10 = 0 then 10 else (p + x) % 10 end) * 2 % 11)) % 10 = {digit(11)}"),
     ("v_rut", V.rut, f"concat({d(8)}, case o_orderkey % 11 when 10 then 'K' else cast(o_orderkey % 11 as string) end)", f"length(replace(substr(v, 1, 8), substr(v, 1, 1), '')) > 0 and (case 11 - {wsum([3, 2, 7, 6, 5, 4, 3, 2])} % 11 when 11 then '0' when 10 then 'K' else cast(11 - {wsum([3, 2, 7, 6, 5, 4, 3, 2])} % 11 as varchar) end) = substr(v, 9, 1)"),
     ("v_ramq", V.ramq, f"concat({letters(4)}, {d(2, 5)}, lpad(cast(o_orderkey % 70 as string), 2, '0'), lpad(cast(o_orderkey % 37 as string), 2, '0'), {d(2, 7)})", f"({int_at(7, 2)} between 1 and 12 or {int_at(7, 2)} between 51 and 62) and {int_at(9, 2)} between 1 and 31"),
