@@ -11,6 +11,9 @@ import binascii
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
 
 from veilframe.functions.text import LEET_FROM, LEET_TO, SPACES, ZERO_WIDTH
 
@@ -24,11 +27,9 @@ Marked = tuple[str, list[int]]
 def start(text: str) -> Marked:
     if text.isascii():
         return text, list(range(len(text)))
-    places, at = [], 0
-    for c in text:
-        places.append(at)
-        at += len(c.encode("utf-8", "surrogatepass"))
-    return text, places
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+    return text, (np.cumsum(width) - width).tolist()
 
 
 def rewrite(marked: Marked, pattern: re.Pattern, replace: Callable[[re.Match], str | None]) -> Marked:
@@ -108,6 +109,14 @@ def unbase(token: str) -> str | None:
     return None
 
 
+@lru_cache(maxsize=1 << 16)
+def plain_char(c: str) -> str:
+    """What a character stands for: nothing, a blank, or its compatibility form with look-alikes replaced."""
+    if c in ZERO_SET:
+        return ""
+    return " " if c in SPACE_SET else "".join(HOMOGLYPHS.get(x, x) for x in unicodedata.normalize("NFKC", c))
+
+
 def normalize(text: str) -> Marked:
     """(normalized text, original byte place of each of its characters)."""
     marked = start(text)
@@ -133,14 +142,12 @@ def normalize(text: str) -> Marked:
     marked = rewrite(marked, BETWEEN, lambda m: "" if side(before[m.start() - 1]) or side(before[m.end()]) else None)
     if not marked[0].isascii():
         text, places = marked
-        out, new = [], []
-        for c, p in zip(text, places):
-            if c in ZERO_SET:
-                continue
-            for x in " " if c in SPACE_SET else unicodedata.normalize("NFKC", c):
-                out.append(HOMOGLYPHS.get(x, x))
-                new.append(p)
-        marked = "".join(out), new
+        changed = {c: p for c in set(text) if not c.isascii() and (p := plain_char(c)) != c}
+        if all(len(p) == 1 for p in changed.values()):
+            marked = text.translate({ord(c): p for c, p in changed.items()}) if changed else text, places
+        else:
+            put = [changed.get(c, c) for c in text]
+            marked = "".join(put), [p for x, p in zip(put, places) for _ in x]
     return marked
 
 

@@ -104,9 +104,6 @@ class Guarded:
         self.pattern, self.expression = p, re.compile(p.regex)
         self.needs, self.run = NEEDS.get(p.sub_category, ""), digit_run(p.regex)
 
-    def matches(self, norm: str, low: str, run: int) -> Iterator[re.Match]:
-        return iter(()) if run < self.run or self.needs not in low else self.expression.finditer(norm)
-
 
 DIGIT_RUN = re.compile("[0-9]+")
 
@@ -121,6 +118,9 @@ def candidates(patterns: tuple[Pattern, ...]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keywords = Keywords(patterns)
         compiled = [Guarded(p) for p in patterns]
+        always = [i for i, g in enumerate(compiled) if g.pattern.always_run]
+        second = [g for g in compiled if g.pattern.always_run and not g.pattern.context_required]
+        place_of = {g.pattern.pattern_id: i for i, g in enumerate(compiled)}
         columns = ["doc_id", "pattern_id", "seq", "alt", "norm_text", "span_start", "span_end", "match_text", "has_context"]
         for frame in frames:
             out = []
@@ -133,13 +133,14 @@ def candidates(patterns: tuple[Pattern, ...]):
                 hits = keywords.hits(low)
                 seq = 0
                 run = longest_run(norm)
-                for guarded in compiled:
+                active = sorted({*always, *(place_of[p] for p in hits)}) if hits else always
+                for guarded in (compiled[i] for i in active):
+                    if run < guarded.run or guarded.needs not in low:
+                        continue
                     p = guarded.pattern
                     near = hits.get(p.pattern_id, [])
-                    if not p.always_run and not near:
-                        continue
                     n = 0
-                    for m in guarded.matches(norm, low, run):
+                    for m in guarded.expression.finditer(norm):
                         a, b = m.span()
                         if a == b or not passes(p.sub_category, m.group()):
                             continue
@@ -157,12 +158,12 @@ def candidates(patterns: tuple[Pattern, ...]):
                         if other == norm:
                             continue
                         other_low, run = other.translate(ASCII_LOWER), longest_run(other)
-                        for guarded in compiled:
+                        for guarded in second:
+                            if run < guarded.run or guarded.needs not in other_low:
+                                continue
                             p = guarded.pattern
-                            if p.always_run and not p.context_required:
-                                for m in guarded.matches(other, other_low, run):
-                                    if not passes(p.sub_category, m.group()):
-                                        continue
+                            for m in guarded.expression.finditer(other):
+                                if passes(p.sub_category, m.group()):
                                     out.append((doc_id, p.pattern_id, seq, k, m.group(), 0, len(raw), m.group(), False))
                                     seq += 1
             yield pd.DataFrame(out, columns=columns)
