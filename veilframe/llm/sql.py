@@ -14,4 +14,22 @@ item_runs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(l
 SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (run)
 """
 
-ORACLES = {"p2_found": P2_FOUND, "p6_found": P6_FOUND}
+
+
+def look(column: str) -> str:
+    """The consistent form of a column, stated for whole tables."""
+    from veilframe.llm.lookalike import INVISIBLE, tables
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    width_from, width_to, ligatures, alike_from, alike_to = tables()
+    spelled = f"regexp_replace({column}, '[{INVISIBLE}]', '', 'g')"
+    for x, y in ligatures:
+        spelled = f"replace({spelled}, {quoted(x)}, {quoted(y)})"
+    return f"nfc_normalize(translate(nfc_normalize(translate({spelled}, {quoted(width_from)}, {quoted(width_to)})), {quoted(alike_from)}, {quoted(alike_to)}))"
+
+
+RECORDS = "(SELECT DISTINCT 'extractions' AS origin, extraction_id AS record_id, text FROM extractions UNION ALL SELECT DISTINCT 'scan_results', result_id, text FROM scan_results)"
+P5_FORMS = f"SELECT origin, record_id, {look('text')} AS uniform_text FROM {RECORDS}"
+P5_FOUND = f"WITH r AS (SELECT origin, record_id, text, {look('text')} AS look FROM {RECORDS} WHERE text IS NOT NULL) SELECT DISTINCT a.origin, a.record_id AS id_a, b.record_id AS id_b FROM r a JOIN r b ON a.origin = b.origin AND a.look = b.look AND a.record_id < b.record_id AND a.text <> b.text"
+
+ORACLES = {"p2_found": P2_FOUND, "p5_found": P5_FOUND, "p5_forms": P5_FORMS, "p6_found": P6_FOUND}
