@@ -35,6 +35,9 @@ TERMINATOR = re.compile(r"[.!?…‽]+|[。！？｡]+|[।॥]+|[؟۔]+|[;;]")
 TOKEN = re.compile(r"\S+")
 WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 PAIRS = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "‘": "’", "‚": "‘", "‹": "›"}
+SIGN = re.compile("[\"'«»“”„‘’‚‹›「」『』()（）\\[\\]]")
+THAI_BLANK = re.compile(r"(?<=[\u0e00-\u0e7e])\s+")
+THAI = re.compile("[\u0e00-\u0e7e]")
 CLOSERS = set("»”“\"'’‘」』)）]›")
 LONGEST_QUOTE = 2000
 
@@ -100,7 +103,8 @@ def enclosed(text: str) -> list[tuple[int, int]]:
     stack: list[tuple[str, int]] = []
     spans: list[tuple[int, int]] = []
     n = len(text)
-    for i, c in enumerate(text):
+    for m in SIGN.finditer(text):
+        i, c = m.start(), m.group()
         if c in "\"'":
             before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
             held = [k for k, (x, _) in enumerate(stack) if x == c]
@@ -125,18 +129,22 @@ def enclosed(text: str) -> list[tuple[int, int]]:
     return outer
 
 
+LAST = re.compile(r"[^\s(（\[\"“”«»„'‘「『/]+$")
+NUMBER, FILE = re.compile(r"[\d.,:/%-]+"), re.compile(r"\w{2,}[.]\w{2,5}")
+
+
 def token_type(before: str) -> str:
     """Normalised token in front of a terminator."""
     tail = before[-60:]
-    m = re.search(r"[^\s(（\[\"“”«»„'‘「『/]+$", tail)
+    m = LAST.search(tail)
     word = m.group() if m else ""
     if not word:
         return "<none>"
-    if re.fullmatch(r"[\d.,:/%-]+", word):
+    if NUMBER.fullmatch(word):
         return "<num>"
     if len(word) == 1 and word.isupper():
         return "<initial>"
-    if re.fullmatch(r"\w{2,}[.]\w{2,5}", word):
+    if FILE.fullmatch(word):
         return "<file>"
     if any(c.isdigit() for c in word):
         return "<mixed>"
@@ -155,12 +163,12 @@ def following(after: str) -> tuple[str, str]:
     return word, kind
 
 
-def features(mark: str, kind: str, before: str, after: str, quote: str) -> list[str]:
+def features(mark: str, kind: str, before: str, after: str, quote: str, left: str | None = None) -> list[str]:
     word, case = following(after)
     if kind == "blank":
         left = before.rstrip()
         return ["blank", "s3=" + left[-3:], "s4=" + left[-4:], "next=" + word, "b:" + case]
-    left = token_type(before)
+    left = token_type(before) if left is None else left
     size = "len=" + str(min(len(left), 6))
     out = [
         "t=" + mark, "w=" + left, size, "case=" + case, "t,case=" + mark + case, "w,case=" + left + case, "next=" + word, "w,next=" + left + "," + word,
@@ -200,7 +208,7 @@ def candidates(text: str, following_text: str = "") -> list[tuple[int, str, str,
         else:
             while place < len(text) and text[place] in "”»」』’" and not any(a <= place <= b for a, b in spans[k : k + 2]):
                 place += 1
-        rest = text[place:]
+        rest = text[place : place + 80]
         wide = mark[0] in "。！？｡" or (rest[:1] and script(rest[0]) == "cjk")
         if rest and not rest[0].isspace() and not wide:
             continue
@@ -210,9 +218,13 @@ def candidates(text: str, following_text: str = "") -> list[tuple[int, str, str,
         caseless = rest.strip() and following(rest)[1] in ("caseless",)
         if quote == "first" and caseless:
             quote = "first caseless"
-        out.append((place, token_type(text[:start].rstrip()), following(rest)[1], features(kind, "mark", text[:start].rstrip(), after, quote)))
-    if any("฀" <= c < "๿" for c in text):
-        for m in re.finditer(r"(?<=[฀-๿])\s+", text):
+        if rest and not rest.strip() and text[place:].strip():
+            after = rest = text[place:].lstrip()[:80]
+        before = text[max(0, start - 80) : start].rstrip()
+        left = token_type(before)
+        out.append((place, left, following(rest)[1], features(kind, "mark", before, after, quote, left)))
+    if THAI.search(text):
+        for m in THAI_BLANK.finditer(text):
             if any(a < m.start() < b for a, b in spans):
                 continue
             rest = text[m.end() :]
