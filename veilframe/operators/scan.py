@@ -13,6 +13,7 @@ import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from re._parser import parse as sre_parse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,19 +98,38 @@ def digit_run(regex: str) -> int:
     return 0 if not runs else min(runs) if "|" in plain else max(runs)
 
 
+def code_length(regex: str) -> tuple[int, int]:
+    """Least length of the one run of letters and digits that every match lies in, as (with a digit for certain, without); 0 where unknown."""
+    plain = re.sub(r"\\b|\(\?<?[!=][^()]*\)", "", regex)
+    classes, rest = re.findall(r"\[([^\]]*)\]", plain), re.sub(r"\[[^\]]*\]", "", plain)
+    bare = re.sub(r"\{[^}]*\}|[?*](?!:)", "", rest.replace("(?:", "("))
+    if not all(re.fullmatch("[A-Za-z0-9-]+", c) for c in classes) or not re.fullmatch(r"[A-Za-z0-9()|]*", bare):
+        return 0, 0
+    size = int(sre_parse(regex).getwidth()[0])
+    fixed = re.sub(r"\(\?:[^()]*\)(?:\?|\*|\{0,\d*\})|\[[^\]]*\](?:\?|\*|\{0,\d*\})", "", plain)
+    literal = re.sub(r"\{[^}]*\}|\[[^\]]*\]", "", fixed)
+    digit = "|" not in fixed and ("[0-9]" in fixed or bool(re.search("[0-9]", literal)))
+    return (size, 0) if digit else (0, size)
+
+
 class Guarded:
     """An expression with what a text needs to have for it."""
 
     def __init__(self, p: Pattern) -> None:
         self.pattern, self.expression = p, re.compile(p.regex)
         self.needs, self.run = NEEDS.get(p.sub_category, ""), digit_run(p.regex)
+        self.code, self.token = code_length(p.regex)
+
+    def possible(self, low: str, run: int, code: int, token: int) -> bool:
+        return run >= self.run and code >= self.code and token >= self.token and self.needs in low
 
 
-DIGIT_RUN = re.compile("[0-9]+")
+DIGIT_RUN, CODE, ANY_CODE = re.compile("[0-9]+"), re.compile("[A-Za-z]*[0-9][A-Za-z0-9]*"), re.compile("[A-Za-z0-9]+")
 
 
-def longest_run(s: str) -> int:
-    return max(map(len, DIGIT_RUN.findall(s)), default=0)
+def longest(s: str) -> tuple[int, int, int]:
+    """Longest run of digits, of letters and digits with a digit, and of letters and digits."""
+    return tuple(max(map(len, e.findall(s)), default=0) for e in (DIGIT_RUN, CODE, ANY_CODE))
 
 
 def candidates(patterns: tuple[Pattern, ...]):
@@ -132,10 +152,10 @@ def candidates(patterns: tuple[Pattern, ...]):
                 low = norm.translate(ASCII_LOWER)
                 hits = keywords.hits(low)
                 seq = 0
-                run = longest_run(norm)
+                runs = longest(norm)
                 active = sorted({*always, *(place_of[p] for p in hits)}) if hits else always
                 for guarded in (compiled[i] for i in active):
-                    if run < guarded.run or guarded.needs not in low:
+                    if not guarded.possible(low, *runs):
                         continue
                     p = guarded.pattern
                     near = hits.get(p.pattern_id, [])
@@ -157,9 +177,9 @@ def candidates(patterns: tuple[Pattern, ...]):
                         other = normalize(other)[0]
                         if other == norm:
                             continue
-                        other_low, run = other.translate(ASCII_LOWER), longest_run(other)
+                        other_low, runs = other.translate(ASCII_LOWER), longest(other)
                         for guarded in second:
-                            if run < guarded.run or guarded.needs not in other_low:
+                            if not guarded.possible(other_low, *runs):
                                 continue
                             p = guarded.pattern
                             for m in guarded.expression.finditer(other):
