@@ -13,6 +13,7 @@ import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from re._parser import parse as sre_parse
 
 import pandas as pd
@@ -132,12 +133,17 @@ def longest(s: str) -> tuple[int, int, int]:
     return tuple(max(map(len, e.findall(s)), default=0) for e in (DIGIT_RUN, CODE, ANY_CODE))
 
 
+@lru_cache(maxsize=8)
+def prepared(patterns: tuple[Pattern, ...]) -> tuple[Keywords, list[Guarded]]:
+    """Automaton and expressions of a catalogue, once per worker."""
+    return Keywords(patterns), [Guarded(p) for p in patterns]
+
+
 def candidates(patterns: tuple[Pattern, ...]):
     """Partition function: (doc_id, text) to candidate matches of the first and the second pass."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keywords = Keywords(patterns)
-        compiled = [Guarded(p) for p in patterns]
+        keywords, compiled = prepared(patterns)
         always = [i for i, g in enumerate(compiled) if g.pattern.always_run]
         second = [g for g in compiled if g.pattern.always_run and not g.pattern.context_required]
         place_of = {g.pattern.pattern_id: i for i, g in enumerate(compiled)}
