@@ -77,3 +77,20 @@ def test_operator_edges(spark, model):
     assert got[1].redacted_text == "mail <EMAIL> now" and (got[1].findings[0].span_start, got[1].findings[0].span_end) == (5, 18)
     assert got[4].redacted_text == "<EMAIL>" and got[3].findings == []
     assert P.redact(df.limit(0), model, "rid").count() == 0
+
+
+def test_names_outside_the_lexicons_are_judged_by_the_model(model):
+    lexicon = P.Lexicon(P.GIVEN, set(model["family"]), {"annual", "report"})
+    names = [(a, b) for a, b, k, _ in P.segments("Signed by Zorvik Plenkaru.", lexicon) if k == "name"]
+    assert (10, 25) in names
+    assert ("Zorvik Plenkaru", "name") in found("The file was closed. Signed by Zorvik Plenkaru on +1-415-555-0176.", model)
+    for text in ("Ticket REQ-112276 covers the cabinet.", "The Annual Report was printed.", "Ð¾Ð², ÐºÐ¾Ð³Ð´Ð° Ð¾Ñ‡ÐµÑ€ÐµÐ´ÑŒ 65"):
+        assert not [x for x in P.find(text, lexicon, model["weights"]) if x[2] == "name"], text
+
+
+def test_lexicon_grows_from_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(P, "train", lambda lexicon: {})
+    rows = [("Alice Quorvane met us. Bruno Quorvane left. " + "some words here. " * 1000,), ("Greta Plimsworth wrote.",), ("Hugo Plimsworth wrote.",), (None,)]
+    rows += [(f"Please call {n}.",) for n in range(200)] + [("To Anna Please call.",), ("To Emma Please call.",)]
+    model = P.fit(spark.createDataFrame(rows * 2, "text string"))
+    assert {"Quorvane", "Plimsworth"} <= set(model["family"]) and "Please" not in model["family"]

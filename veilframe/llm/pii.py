@@ -7,8 +7,9 @@ sides, whether it could be longer); the weights are learned by conditional likel
 non-overlapping spans, and dynamic programming over bounded spans picks boundaries and kinds jointly.
 
 The training texts are composed here from public formats; the lexicons of given and family names
-grow from a bounded sample of the texts themselves (``sample_rows``).  Identity numbers must satisfy
-their scheme's check.
+grow from all of the texts themselves.  A pair of words that no lexicon holds is a candidate too, which the
+model judges by its cues and by whether the words are also written small.  Identity numbers must
+satisfy their scheme's check.
 
 Spans count code points of the original text; full-width characters, odd blanks and invisible
 characters are folded for matching and mapped back.  A null text has no finding and stays null; repeated
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.session import by_key
+from veilframe.session import by_key, cut
 
 KINDS = ("email", "phone", "id_number", "street_address", "name")
 
@@ -194,6 +195,9 @@ GIVEN = frozenset(
 PARTICLES = r"(?:(?:van|von|de|der|den|la|del|di|da|dos|bin|al|el|Van|Von|De)[ ]){0,2}"
 TOKEN = re.compile(rf"(?<![\w@.+-]){UP}[^\W\d_]+(?:['’]{UP}[^\W\d_]+)?(?:-{UP}[^\W\d_]+)*(?![\w@])")
 FULL = re.compile(rf"(?<![\w@.+-])({UP}[^\W\d_]+(?:-{UP}[^\W\d_]+)*)((?: {UP}\.){{0,2}}) ({PARTICLES}{UP}[^\W\d_]+(?:['’]{UP}[^\W\d_]+)?(?:-{UP}[^\W\d_]+)*)(?![\w@])")
+SHOUTED = re.compile(rf"{UP}{{2,}}[^\w.!?|;\t\n]+$")  # a word in capitals before, in the same sentence
+LOWER = re.compile(r"(?<![\w@.+-])[a-zà-ÿ]{2,}(?![\w@])")
+COUNTED = re.compile(rf"({UP}[a-zà-ÿ]+) \d")
 LISTED = re.compile(rf"(?<![\w@.+-])({PARTICLES}{UP}[^\W\d_]+(?:-{UP}[^\W\d_]+)*), ?({UP}[^\W\d_]+(?:-{UP}[^\W\d_]+)*)((?: {UP}\.){{0,2}})(?![\w@])")
 
 
@@ -246,8 +250,8 @@ Segment = tuple[int, int, str, list[str]]
 
 
 class Lexicon:
-    def __init__(self, given: frozenset[str] | set[str], family: frozenset[str] | set[str]) -> None:
-        self.given, self.family = frozenset(given), frozenset(family)
+    def __init__(self, given: frozenset[str] | set[str], family: frozenset[str] | set[str], common: frozenset[str] | set[str] = frozenset()) -> None:
+        self.given, self.family, self.common = frozenset(given), frozenset(family), frozenset(common)
 
     def has_given(self, word: str) -> bool:
         return all(part.title() in self.given for part in word.split("-"))
@@ -256,6 +260,11 @@ class Lexicon:
         last = word.split(" ")[-1]
         return all(part.title() in self.family for part in last.split("-"))
 
+    def known(self, given: str, family: str) -> tuple[bool, bool] | str:
+        """Which part the lexicons hold; where they hold none, which part is an everyday word."""
+        known = self.has_given(given), self.has_family(family)
+        return known if any(known) else "none," + ",".join(str(any(part in self.common for part in re.split("[ -]", x.lower()))) for x in (given, family))
+
 
 def segments(text: str, lexicon: Lexicon) -> list[Segment]:
     """All candidate spans of a folded text with their features."""
@@ -304,17 +313,19 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
                     add("street_address", a, b - len(tail), ["shape=" + name, "flat=none", "tail=left out"])
     for m in overlapping(FULL, text):
         given, middle, family = m.groups()
-        known = lexicon.has_given(given), lexicon.has_family(family)
-        if any(known):
-            case = "upper" if given.isupper() and family.isupper() else "mixed" if given.isupper() != family.isupper() else "title"
-            add("name", m.start(), m.end(), [f"known={known}", f"known,case={known},{case}", "middle=" + str(bool(middle)), "order=given"])
+        known = lexicon.known(given, family)
+        case = "upper" if given.isupper() and family.isupper() else "mixed" if given.isupper() != family.isupper() else "title"
+        if case == "upper" and SHOUTED.search(text[max(0, m.start() - 24) : m.start()]):
+            case = "shouted"
+        add("name", m.start(), m.end(), [f"known={known}", f"known,case={known},{case}", "middle=" + str(bool(middle)), "order=given"])
     for m in overlapping(LISTED, text):
         family, given, middle = m.groups()
-        known = lexicon.has_given(given), lexicon.has_family(family)
-        if any(known):
-            case = "upper" if given.isupper() and family.isupper() else "mixed" if given.isupper() != family.isupper() else "title"
-            longer = bool(re.match(rf" {UP}\.(?!\w)", text[m.end() : m.end() + 4]))
-            add("name", m.start(), m.end(), [f"known={known}", f"listed known,case={known},{case}", "middle=" + ("left out" if longer else str(bool(middle))), "order=family"])
+        known = lexicon.known(given, family)
+        case = "upper" if given.isupper() and family.isupper() else "mixed" if given.isupper() != family.isupper() else "title"
+        if case == "upper" and SHOUTED.search(text[max(0, m.start() - 24) : m.start()]):
+            case = "shouted"
+        longer = bool(re.match(rf" {UP}\.(?!\w)", text[m.end() : m.end() + 4]))
+        add("name", m.start(), m.end(), [f"known={known}", f"listed known,case={known},{case}", "middle=" + ("left out" if longer else str(bool(middle))), "order=family"])
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
@@ -461,6 +472,23 @@ def composed(rnd: random.Random, lexicon: Lexicon) -> tuple[str, list[tuple[int,
             say(pick(["Signed by ", "Firmado por "])), say(f"{pick(family)}, {pick(given)}", "name"), say(pick([" The next file ", " Between 14:59 and 20:00 ", " In copy.pdf ", " Half of them "])), say("was closed. ")
         elif turn == 15:
             say(f"Nobody in {pick(['Section', 'Room', 'Hall', 'Building'])} {num(90)} saw it, {pick(given)} said. In {pick(['Berlin', 'Madrid', 'Summary', 'Background'])}, {pick(given)} stopped. ")
+        elif turn == 16:
+            say(f"{pick(['Ticket', 'Case', 'Order', 'Vorgang', 'Dossier'])} {pick(['ABC', 'TKT', 'HR', 'FIN'])}-{num(10**5, 10**6)} covers the rest. {pick(['Annual Report', 'New Zealand', 'Grand Hotel', 'Version History', 'Data Protection', 'Bad Homburg'])} {pick(['was', 'had', 'and'])} more. ")
+        elif turn == 17:
+            garbled = pick(["Записи, вместо копий, когда", "очередь писем, всего", "Τα αρχεία, στις επιστολές", "Größe, Übermaß und Ärger"]).encode().decode(pick(["cp1252", "latin-1"]), "replace")
+            say(f"{garbled} {num(9999)} {garbled}. ")
+        elif turn == 18:
+            say(pick(["Deliver to ", "The parcel goes to ", "Lieferung an ", "Le courrier part au ", "El envío va a "])), say(name(), "name"), say(pick([", ", " ("])), say(address(), "street_address"), say(pick([". ", ", second floor. ", "\n"]))
+        elif turn == 19:
+            say(pick(["Caller ", "mobile ", "Tel. "])), say(phone(), "phone"), say(f" The {pick(['Quillmoor', 'Oxley', 'Ember'])} {pick(ROADS.split('|'))} depot closed. ")
+        elif turn == 20:
+            shout = pick(["ACHTUNG: DIE PRÜFUNG VON {} IST NICHT FERTIG", "NOTE: THE SETUP OF {} IS NOT COMPLETE", "ATTENTION : LA MISE À JOUR DE {} EST TERMINÉE", "ATENCIÓN: LA REVISIÓN DE {} NO ESTÁ LISTA"]).format(f"{pick(['ABC', 'TKT', 'JOB'])}-{num(10**5, 10**6)}")
+            after = pick([f"Project {pick(['Amber', 'Golden', 'Northern'])} {pick(['Heron', 'Falcon', 'Willow'])} ends on {num(10, 28)} May. ", f"On {pick(['Monday', 'Tuesday', 'Friday'])} the desk moved. ", f"The {pick(['Quillmoor', 'Oxley', 'Ember'])} Lane depot closed. ", "Amber Heron Ltd. sent it. ", f"Bitte {pick(family)}, {pick(given)} unter "])
+            say(f"{shout}. "), say(pick(["moved to ", "wohnt jetzt ", "Deliver to "])), say(address(), "street_address"), say(pick([" in spring. ", ". ", "\n"])), say(after if not after.startswith("Bitte") else "Bitte ")
+            if after.startswith("Bitte"):
+                say(after[6:-7], "name"), say(" unter "), say(phone(), "phone"), say(" zurückrufen. ")
+        elif turn == 21:
+            say(f"The {pick(['board', 'front office', 'first team', 'field group'])} {pick(['met', 'called', 'asked', 'thanked'])} "), say(name(), "name"), say(pick([" and ", ", ", " or "])), say(name(), "name"), say(pick([" at noon. ", " left the gate on Friday. ", ". "])), say(name(), "name"), say(pick([" wrote from ", " called. "]))
         else:
             say(pick(["Only 17.6% of the stock counts carried a label. ", "The file copy.final_2703.pdf was moved twice. ", "Rows 359 to 1424 of notes_6365.pdf were released. ", "Nur 70,5 % der Anträge wurden geprüft. "]))
     text, spans = "", []
@@ -477,8 +505,9 @@ def train(lexicon: Lexicon, texts: int = 3000, rounds: int = 8, rate: float = 0.
     data = []
     for _ in range(texts):
         text, spans = composed(rnd, lexicon)
-        # one name in eight is unknown to each lexicon, so that shape and cues carry weight too
-        seen = Lexicon({g for g in lexicon.given if rnd.random() > 0.12}, {f for f in lexicon.family if rnd.random() > 0.2})
+        # one name in eight is unknown to each lexicon, in some texts most are, so that shape and cues carry weight too
+        gone = (0.6, 0.6) if rnd.random() < 0.1 else (0.12, 0.2)
+        seen = Lexicon({g for g in lexicon.given if rnd.random() > gone[0]}, {f for f in lexicon.family if rnd.random() > gone[1]}, lexicon.common)
         found = segments(folded(text)[0], seen)
         gold = {(a, b, k) for a, b, k in spans}
         data.append((found, [float((a, b, k) in gold) for a, b, k, _ in found]))
@@ -499,48 +528,88 @@ def train(lexicon: Lexicon, texts: int = 3000, rounds: int = 8, rate: float = 0.
     return {f: round(x, 4) for f, x in w.items() if abs(x) > 1e-3}
 
 
-def grown_lexicon(texts: list[str]) -> Lexicon:
-    """Lexicons grown from the texts: family names follow given names and the other way round."""
+#: A family name follows a known given name at least once in so many times that it is written.
+RARELY = 50
+
+
+def evidence_of(text: str) -> Iterator[tuple[str, str, str]]:
+    """What a text tells about names, as (what, given name or word, family name)."""
+    plain = folded(text)[0]
+    for word in LOWER.findall(plain):
+        yield "lower", word, ""
+    for word in TOKEN.findall(plain):
+        for part in word.title().split("-"):
+            yield "written", part, ""
+    for word in COUNTED.findall(plain):
+        yield "counted", word, ""
+    for m in FULL.finditer(plain):
+        yield "pair", m.group(1).title(), m.group(3).title()
+    for m in LISTED.finditer(plain):
+        before = re.search(rf"({UP}[^\W\d_]+)(?: {UP}\.)? $", plain[max(0, m.start() - 30) : m.start()])
+        if not before or before.group(1).title() not in GIVEN:
+            yield "listed", m.group(2).title(), m.group(1).title()
+
+
+def evidence(texts: DataFrame) -> DataFrame:
+    """(what, given, family, n) over all distinct texts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            counts = Counter(e for t in frame["text"] for e in evidence_of(t))
+            yield pd.DataFrame([(*e, n) for e, n in counts.items()], columns=["what", "given", "family", "n"])
+
+    return texts.distinct().mapInPandas(run, "what string, given string, family string, n bigint").groupBy("what", "given", "family").agg(F.sum("n").alias("n"))
+
+
+def grown_lexicon(texts: DataFrame) -> Lexicon:
+    """Lexicons grown from all texts: family names follow given names and the other way round.
+
+    Pairs and counts stay in Spark; the driver sees the names and those common words that stand in pairs.
+    """
+    counts = cut(evidence(texts))
+    pairs = counts.where("what in ('pair', 'listed')")
+    words = pairs.select(F.explode(F.split(F.lower(F.concat_ws(" ", "given", "family")), "[ -]")).alias("word")).distinct()
+    common = counts.where("what = 'lower' and n >= 2").select(F.col("given").alias("word")).join(words, "word", "left_semi")
+    numbered = counts.where("what = 'counted'").select(F.col("given").alias("part"))
+    written = counts.where("what = 'written'").select(F.col("given").alias("part"), F.col("n").alias("written"))
+    common_words = {r.word for r in common.collect()}
+
+    def partners(known: set[str], given_known: bool) -> DataFrame:
+        """(part, what, partner, n): parts of the names whose partner is known as a whole."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                made = []
+                for what, g, f, n in zip(frame["what"], frame["given"], frame["family"], frame["n"]):
+                    gs, fs = g.split("-"), f.split(" ")[-1].split("-")
+                    if all(x in known for x in (gs if given_known else fs)):
+                        made += [(part, what, g if given_known else f, n) for part in (fs if given_known else gs)]
+                yield pd.DataFrame(made, columns=["part", "what", "partner", "n"])
+
+        return pairs.mapInPandas(run, "part string, what string, partner string, n bigint").where("length(part) > 2")
+
     given, family = set(GIVEN), set()
-    pairs, listed, lower, counted = Counter(), Counter(), Counter(), Counter()
-    for text in texts:
-        plain = folded(text)[0]
-        lower.update(re.findall(r"(?<![\w@.+-])[a-zà-ÿ]{2,}(?![\w@])", plain))
-        for m in FULL.finditer(plain):
-            pairs[(m.group(1).title(), m.group(3).title())] += 1
-        counted.update(re.findall(rf"({UP}[a-zà-ÿ]+) \d", plain))
-        for m in LISTED.finditer(plain):
-            before = re.search(rf"({UP}[^\W\d_]+)(?: {UP}\.)? $", plain[max(0, m.start() - 30) : m.start()])
-            if not before or before.group(1).title() not in given:
-                listed[(m.group(2).title(), m.group(1).title())] += 1
-    pairs_all = pairs + listed
-    common = {w for w, n in lower.items() if n >= 2}
     for _ in range(3):
-        partners: dict[str, set[str]] = defaultdict(set)
-        for g, f in pairs_all:
-            if all(x in given for x in g.split("-")):
-                for part in f.split(" ")[-1].split("-"):
-                    partners[part].add(g)
-        family = {f for f, gs in partners.items() if len(gs) >= 2 and f.lower() not in common and len(f) > 2}
-        both = []
-        for seen in (pairs, listed):  # a given name stands before families as well as behind them
-            partners = defaultdict(set)
-            for g, f in seen:
-                if all(x in family for x in f.split(" ")[-1].split("-")):
-                    for part in g.split("-"):
-                        partners[part].add(f)
-            both.append({g for g, fs in partners.items() if len(fs) >= 2})
-        given |= {g for g in both[0] & both[1] if g.lower() not in common and len(g) > 2 and not counted[g]}
+        followed = partners(given, True).groupBy("part").agg(F.countDistinct("partner").alias("partners"), F.sum("n").alias("n")).where("partners >= 2")
+        # a word that begins sentences follows a given name now and then, in many texts more than twice
+        followed = followed.join(written, "part").where(f"n * {RARELY} >= written")
+        family = {r.part for r in followed.collect() if r.part.lower() not in common_words}
+        # a given name stands before families as well as behind them
+        sides = partners(family, False).groupBy("part").agg(*(F.countDistinct(F.when(F.col("what") == w, F.col("partner"))).alias(w) for w in ("pair", "listed")))
+        both = sides.where("pair >= 2 and listed >= 2").join(numbered, "part", "left_anti")
+        new = {r.part for r in both.collect() if r.part.lower() not in common_words} - given
+        if not new:
+            break
+        given |= new
     if len(family) < 30:
         family |= set("Smith Johnson Williams Brown Jones Miller Davis Garcia Martinez Lopez Müller Schmidt Schneider Fischer Weber Meyer Dupont Moreau Laurent Rossi Russo Bianchi Silva Santos Ferreira Novak Ivanov Petrov Kim Tanaka Singh Patel Khan Hassan Larsen".split())
-    return Lexicon(given, family)
+    return Lexicon(given, family, common_words)
 
 
-def fit(texts: DataFrame, text: str = "text", sample_rows: int = 12_000, most_chars: int = 8000) -> dict:
-    """Lexicon and weights; the lexicon from at most ``sample_rows`` texts of at most ``most_chars`` characters."""
-    usable = texts.select(F.col(text).alias("text")).where(F.length("text").between(5, most_chars) & F.col("text").rlike("[A-Z]"))
-    lexicon = grown_lexicon(usable.orderBy(F.xxhash64("text")).limit(sample_rows).toPandas()["text"].tolist())
-    return {"given": sorted(lexicon.given), "family": sorted(lexicon.family), "weights": train(lexicon)}
+def fit(texts: DataFrame, text: str = "text") -> dict:
+    """Lexicon and weights; the lexicon from all texts."""
+    lexicon = grown_lexicon(texts.select(F.col(text).alias("text")).where("text is not null"))
+    return {"given": sorted(lexicon.given), "family": sorted(lexicon.family), "common": sorted(lexicon.common), "weights": train(lexicon)}
 
 
 QUICK = re.compile(r"[@＠]|\d[\d\W]{5,}\d|\d{8}|[(\[{]\s?(?:at|a)\s?[)\]}]| (?:at|AT) |\d|[^\W\d_a-z]")
@@ -572,7 +641,7 @@ def redact(records: DataFrame, model: dict, record_id: str, text: str = "text")
     rows = by_key(rows, "id").distinct()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(set(model["given"]), set(model["family"]))
+        lexicon = Lexicon(set(model["given"]), set(model["family"]), set(model.get("common", ())))
         for frame in frames:
             found = [find(t, lexicon, model["weights"]) for t in frame["text"]]
             yield pd.DataFrame(
