@@ -34,3 +34,11 @@ def test_limits_and_edges(spark):
     assert all(len(r.piece.encode()) <= r.limit_bytes for v in got.values() for r in v)
     assert got[7][0].limit_bytes == 1024 and max(r.overlap_chars for r in got[7]) > 0
     assert C.split_oversized(df.limit(0), streams).count() == 0
+
+
+def test_overlap_reaches_over_short_pieces():
+    text = "".join("word " * n + "\n\n" for n in (299, 299, 20, 289, 280))
+    cuts = C.pieces_of(text, 3000, 1500)
+    assert len(cuts) > 2 and all(C.width_of(text[a:b]) <= 3000 for a, b, _ in cuts)
+    for (_, before, _), (a, _, _) in zip(cuts, cuts[1:]):
+        assert 1490 <= C.width_of(text[a:before]) <= 1500

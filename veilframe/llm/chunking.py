@@ -84,7 +84,7 @@ def pieces_of(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]
         size = width_of(part)
         if end > fresh and used + size > limit:
             out.append((start, end, fresh - start))
-            start, fresh = tail_of(text, end, overlap, fresh), end
+            start, fresh = tail_of(text, end, overlap, start), end
             used = width_of(text[start:end])
         end += len(part)
         used += size
