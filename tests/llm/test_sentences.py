@@ -54,3 +54,12 @@ def test_edges(spark, model):
     counts = {r.doc_id: r["count"] for r in got}
     assert counts[5] == 1 and counts[1] in (2, 4) and not {2, 3, 4} & counts.keys()
     assert S.split_sentences(df.limit(0), model).count() == 0
+
+
+def test_copies_do_not_fill_the_training_sample(spark, monkeypatch):
+    monkeypatch.setattr(S, "labelled", lambda texts: texts)
+    monkeypatch.setattr(S, "train", lambda texts: {t: 1.0 for t in texts})
+    texts = [f"Text number {n}." for n in range(6)]
+    for hot in texts:
+        df = spark.createDataFrame([(t,) for t in texts + [hot] * 20], "text string")
+        assert len(S.fit(df, train_rows=4)) == 4

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.session import spread
+from veilframe.session import sample_of, spread
 
 BLANK_LINE = re.compile(r"\r?\n(?:[^\S\n]*\n)+")
 MARK = re.compile(r"[^\S\n]*([-*•‣▪◦·–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][)])[^\S\n]+\S")
@@ -337,10 +337,9 @@ def spans_of(text: str, model: dict[str, float]) -> list[tuple[int, int]]:
 
 
 def fit(documents: DataFrame, text: str = "text", train_rows: int = 6000, most_chars: int = 20_000) -> dict[str, float]:
-    """The model, fitted on at most ``train_rows`` documents of at most ``most_chars`` characters."""
+    """The model, fitted on at most ``train_rows`` distinct documents of at most ``most_chars`` characters."""
     usable = documents.select(F.col(text).alias("text")).where(F.length("text").between(1, most_chars))
-    texts = usable.orderBy(F.xxhash64("text")).limit(train_rows).toPandas()["text"].tolist()
-    return train(labelled(texts))
+    return train(labelled(sample_of(usable, train_rows)))
 
 
 def split_sentences(documents: DataFrame, model: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:

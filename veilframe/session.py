@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "veilframe") -> SparkSession:
@@ -64,3 +65,10 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
 def shuffle_width(df: DataFrame) -> int:
     """The session's number of shuffle partitions, for explicit repartitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def sample_of(texts: DataFrame, rows: int) -> list[str]:
+    """At most so many distinct values of ``text``, least hashes first; copies count once, and only hashes are shuffled to choose."""
+    hashed = texts.select("text", F.xxhash64("text").alias("hash"))
+    chosen = hashed.select("hash").distinct().orderBy("hash").limit(rows)
+    return hashed.join(F.broadcast(chosen), "hash", "left_semi").distinct().orderBy("hash", "text").toPandas()["text"].tolist()
