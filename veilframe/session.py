@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +41,24 @@ def cut(df: DataFrame) -> DataFrame:
     neither that setting nor a checkpoint folder exists and everything runs on one machine
     (tests) a folder of our own is made. On a cluster without such a folder this raises.
     """
-    spark = df.sparkSession
+    ensure_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder, read back: for loops, in which a checkpoint would carry on the
+    planner's size estimates, squared with every join."""
+    path = f"{ensure_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ensure_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set if it isn't yet."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(checkpoint_folder(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None), sc.master))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def checkpoint_folder(named: str | None, master: str) -> str:
