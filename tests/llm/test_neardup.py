@@ -88,6 +88,62 @@ def test_groups(spark):
     assert {d: r.group_id for d, r in got.items()} == root
 
 
+def components(pairs):
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        a, b = sorted((find(x), find(y)))
+        root[b] = a
+    return {x: find(x) for x in root}
+
+
+def graphs():
+    rnd = random.Random(5)
+    names = [f"{i:05}" for i in range(1000)]
+    rnd.shuffle(names)
+    yield list(zip(names, names[1:]))  # a path whose keys are in no order
+    hub = names[7]
+    yield [(hub, n) for n in names[:300] if n != hub]
+    yield [(a, b) for i, a in enumerate(names[:25]) for b in names[:i]] + list(zip(names[500:520], names[501:521]))
+    yield [(names[20 * i + j], names[20 * i + j + 1]) for i in range(20) for j in range(19)] + [(names[20 * i + j], names[20 * i + j + 20]) for i in range(19) for j in range(20)]
+
+
+def test_components_of_any_shape(spark):
+    for i, pairs in enumerate(graphs()):
+        want = components(pairs)
+        nodes = spark.createDataFrame([(n,) for n in [*want, "alone"]], "key string")
+        links = spark.createDataFrame(pairs, "a string, b string")
+        got = {r.key: r.root for r in N.connected(nodes, links, hot=50 if i else 100_000).collect()}
+        assert got == want | {"alone": "alone"}
+
+
+def test_copies_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", 3)
+    rows = corpus(4, 2, 3) + [(f"c{i}", corpus(4, 2, 3)[0][1], None, "x") for i in range(20)]
+    got = {(r.doc_id_a, r.doc_id_b) for r in N.near_duplicate_pairs(spark.createDataFrame(rows, ENTRY), 0.6).collect()}
+    assert got == set(brute(rows, 0.6))
+
+
+def test_document_with_several_texts_joins_groups(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [("a", one, None, ""), ("b", one + " tail", None, ""), ("b", two, None, ""), ("c", two, None, ""), ("d", two + " end", None, ""), ("e", three, None, ""), ("b", "hi", None, ""), ("f", "hi", None, "")]
+    got = {r.doc_id: (r.group_id, r.n_links) for r in N.near_duplicate_groups(spark.createDataFrame(rows, ENTRY), 0.6).collect()}
+    assert got == {"a": ("a", 1), "b": ("a", 3), "c": ("a", 2), "d": ("a", 2), "e": ("e", 0), "f": ("f", 0)}
+
+
+def test_bands_follow_the_threshold():
+    assert N.banding(0.6) == (42, 3)
+    for threshold in (0.2, 0.3, 0.4, 0.8, 0.95):
+        bands, rows = N.banding(threshold)
+        assert bands * rows <= 128 and 1 - (1 - threshold**rows) ** bands >= N.KEPT
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], ENTRY)
     assert N.near_duplicate_pairs(df).count() == 0 and N.near_duplicate_groups(df).count() == 0

@@ -9,9 +9,14 @@ XOR with the plane; the distances are kept as vertical counters that are advance
 carry-save adders, and a block is abandoned as soon as every distance in it exceeds the
 radius.  Survivors are verified exactly on their run sets.
 
-Scale: exact copies are collapsed to classes first; buckets of more than ``tile`` records are
-cut into tiles, and every pair of tiles is a group of its own, so no task holds more than
-two tiles.  Nothing is collected to the driver or broadcast.
+Scale: exact copies are collapsed to classes first.  Only 24 bytes of a record (bucket and key) are
+shuffled for each band; buckets of one record are dropped before the sketches are fetched.  Buckets of
+more than ``tile`` records are cut into tiles before they meet, and every pair of tiles is a group of its
+own, so no task holds more than two tiles.  Joins on a class or record with many copies are cut the same
+way.  Nothing is collected to the driver; the only broadcast is that of counted hot keys.
+
+Groups are connected components by alternating large-star and small-star contraction until the links
+stand still, so chains of any length become one group.
 
 Defined results: a null id is ignored; a record with neither text nor signature, and a
 text of fewer than three words (no run), is similar to nothing; repeated rows count once; a
@@ -28,32 +33,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.session import by_key, cut, shuffle_width
+from veilframe.operators.similarity import MERSENNE, TOP, hash_functions
+from veilframe.operators.similarity import VALUES as SIGNATURE_VALUES
+from veilframe.session import by_key, cut, in_parts, shuffle_width, spread_over, with_parts, written
 
 # Fixed values of the signature rules.
-SIGNATURE_VALUES = 128
-SIGNATURE_SEED = 42
-LCG_FACTOR = 6364136223846793005
-LCG_STEP = 1442695040888963407
 FNV_START = 14695981039346656037
 FNV_FACTOR = 1099511628211
-MERSENNE = (1 << 61) - 1
-TOP = (1 << 32) - 1
 
 RUN = 3  # words in a run
-BANDS, ROWS = 42, 3  # 1 - (1 - 0.6**3)**42 = 0.99996 of the pairs at the threshold share a band
+KEPT = 0.9999  # share of the pairs at the threshold that must meet in a bucket
+COPIES = 4096  # copies of one text in a part of a join
 SKETCH_WORDS = 4  # 256 bits
 STAGE = 32  # planes between two tests for abandonment
 LANES = 64
 
 
-def coefficients(n: int = SIGNATURE_VALUES) -> tuple[np.ndarray, np.ndarray]:
-    """The n linear hash functions of the signature."""
-    state, drawn = SIGNATURE_SEED, []
-    for _ in range(2 * n):
-        state = (state * LCG_FACTOR + LCG_STEP) % (1 << 64)
-        drawn.append((state >> 16) % MERSENNE)
-    return np.array([max(a, 1) for a in drawn[::2]], np.uint64), np.array(drawn[1::2], np.uint64)
+coefficients = hash_functions
+
+
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, values in a band): the widest bands with which ``KEPT`` of the pairs at the threshold share one.
+
+    1 - (1 - 0.6**3)**42 = 0.99996 at 0.6; wider bands for higher thresholds, single values for the lowest.
+    """
+    for rows in range(8, 0, -1):
+        bands = SIGNATURE_VALUES // rows
+        if 1 - (1 - threshold**rows) ** bands >= KEPT:
+            return bands, rows
+    raise ValueError(f"signatures of {SIGNATURE_VALUES} values can't find pairs of similarity {threshold}")
 
 
 def runs_of(text: str, k: int = RUN) -> list[str]:
@@ -127,7 +135,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.array(signatures, np.int64).reshape(-1, SIGNATURE_VALUES)
         yield pa.RecordBatch.from_pydict(
             {
-                "key": pa.array(d["key"], pa.string()),
+                "key": pa.array(d["key"], pa.binary()),
                 "signature": pa.array(list(s), pa.list_(pa.int64())),
                 "sketch": pa.array(list(sketch_of(s).view(np.int64)), pa.list_(pa.int64())),
                 "runs": pa.array(runs, pa.list_(pa.int64())),
@@ -240,7 +248,7 @@ def compare_groups(radius: int):
         swap = x > y
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         seen = pd.DataFrame({"a": x, "b": y}).drop_duplicates()
-        return pa.RecordBatch.from_pandas(seen[seen.a != seen.b], schema=pa.schema([("a", pa.string()), ("b", pa.string())]), preserve_index=False)
+        return pa.RecordBatch.from_pandas(seen[seen.a != seen.b], schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]), preserve_index=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -265,35 +273,40 @@ def compare_groups(radius: int):
 
 
 def classes_of(entries: DataFrame, doc_id: str = "doc_id", text: str = "text", signature: str = "signature") -> tuple[DataFrame, DataFrame]:
-    """(classes, members): one row per distinct content with signature, sketch and runs; and (key, doc_id)."""
+    """(classes, members): one row per distinct content with signature, sketch and runs; and (key, doc_id).
+
+    The key is half of a SHA-256 over the words, or over the signature where there is no text.
+    """
     words = F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " "))
-    key = F.when(F.col(text).isNotNull(), F.concat(F.lit("t"), F.sha2(words, 256))).otherwise(F.concat(F.lit("s"), F.sha2(F.to_json(F.col(signature)), 256)))
+    hashed = F.when(F.col(text).isNotNull(), F.sha2(F.concat(F.lit("t"), words), 256)).otherwise(F.sha2(F.concat(F.lit("s"), F.to_json(F.col(signature))), 256))
     rows = (
-        entries.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), F.col(signature).alias("signature"), key.alias("key"))
+        entries.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), F.col(signature).alias("signature"), F.unhex(F.substring(hashed, 1, 32)).alias("key"))
         .where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     )
-    one = by_key(rows, "key").groupBy("key").agg(F.first("text", True).alias("text"), F.first("signature", True).alias("signature"))
-    classes = cut(one.mapInArrow(signed, "key string, signature array<bigint>, sketch array<bigint>, runs array<bigint>"))
+    one = rows.groupBy("key").agg(F.first("text", True).alias("text"), F.first("signature", True).alias("signature"))
+    classes = cut(by_key(one, "key").mapInArrow(signed, "key binary, signature array<bigint>, sketch array<bigint>, runs array<bigint>"))
     return classes, rows.select("key", "doc_id").distinct()
 
 
+def usable(classes: DataFrame) -> DataFrame:
+    """Classes that can be similar to something: with runs, or with a signature only."""
+    return classes.where(F.col("runs").isNull() | (F.size("runs") > 0))
+
+
 def candidates(classes: DataFrame, threshold: float, tile: int = 8192) -> DataFrame:
     """Distinct candidate pairs (a, b) of class keys within the sketch radius in some bucket."""
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda i: F.xxhash64(i, F.element_at("signature", i * ROWS + 1), F.element_at("signature", i * ROWS + 2), F.element_at("signature", i * ROWS + 3)),
-    )
-    rows = classes.where(F.col("runs").isNull() | (F.size("runs") > 0)).select("key", "sketch", F.explode(bands).alias("bucket"))
-    sizes = rows.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    joined = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")))
-    partner = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("other")
-    tiled = joined.select("key", "sketch", "bucket", "own", partner)
-    low, high = F.least(F.col("own"), F.col("other").cast("bigint")), F.greatest(F.col("own"), F.col("other").cast("bigint"))
-    grouped = tiled.select(
-        F.xxhash64("bucket", low, high).alias("grp"), (F.col("own") > F.col("other")).cast("int").alias("part"), (F.col("own") != F.col("other")).alias("split"), "key", "sketch"
-    )
+    bands, rows = banding(threshold)
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, *(F.element_at("signature", i * rows + j) for j in range(1, rows + 1))))
+    places = usable(classes).select("key", F.explode(buckets).alias("bucket"))
+    # hot buckets are cut before they are joined with anything; buckets of one record end here
+    own = spread_over(with_parts(places, ["bucket"], tile, ["key"], "tiles"), ["key"], "tiles", "own")
+    several = places.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / tile).cast("int").alias("of"))
+    met = own.join(in_parts(several, "of", "own"), ["bucket", "own"]).select("key", "bucket", "own", "tiles")
+    tiled = in_parts(met.join(usable(classes).select("key", "sketch"), "key"), "tiles", "other")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    grouped = tiled.select(F.xxhash64("bucket", low, high).alias("grp"), (F.col("own") > F.col("other")).cast("int").alias("part"), (F.col("own") != F.col("other")).alias("split"), "key", "sketch")
     lined = grouped.repartition(shuffle_width(classes), "grp").sortWithinPartitions("grp", "part")
-    return lined.mapInArrow(compare_groups(radius_for(threshold)), "a string, b string").distinct()
+    return lined.mapInArrow(compare_groups(radius_for(threshold)), "a binary, b binary").distinct()
 
 
 def class_pairs(classes: DataFrame, threshold: float, tile: int = 8192) -> DataFrame:
@@ -310,51 +323,101 @@ def class_pairs(classes: DataFrame, threshold: float, tile: int = 8192) -> DataF
 
 
 def near_duplicate_pairs(entries: DataFrame, threshold: float = 0.6, tile: int = 8192, **names: str) -> DataFrame:
-    """Pairs (doc_id_a, doc_id_b, similarity) of different ids with at least that similarity, smaller id first."""
+    """Pairs (doc_id_a, doc_id_b, similarity) of different ids with at least that similarity, smaller id first.
+
+    Every pair of ids is listed, so the result grows with the square of the copies; ``near_duplicate_groups`` is the
+    form for large collections. The copies of a class are cut into parts on both sides of every join here.
+    """
     classes, members = classes_of(entries, **names)
     classes_similar = class_pairs(classes, threshold, tile)
-    left, right = members.select(F.col("key").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("key").alias("b"), F.col("doc_id").alias("y"))
-    across = classes_similar.join(left, "a").join(right, "b").select("x", "y", "similarity")
-    useful = classes.where(F.col("runs").isNull() | (F.size("runs") > 0)).select(F.col("key").alias("a"))
-    copies = left.join(useful, "a", "left_semi").join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    # a class is similar to itself; its copies are pairs
+    itself = usable(classes).select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
+    sized = cut(with_parts(members, ["key"], COPIES, ["doc_id"]))
+    parts = sized.groupBy("key").agg(F.max("parts").alias("parts"))
+    placed = spread_over(sized, ["doc_id"])
+
+    def side(key: str, id_: str, part: str) -> DataFrame:
+        return placed.select(F.col("key").alias(key), F.col("doc_id").alias(id_), F.col("part").alias(part))
+
+    several = members.groupBy("key").count().where("count > 1").select(F.col("key").alias("a"))
+    all_pairs = classes_similar.union(itself.join(several, "a", "left_semi").select("a", "b", "similarity"))
+    cut_left = in_parts(all_pairs.join(parts.withColumnRenamed("key", "a"), "a"), "parts", "part_a").drop("parts")
+    cut_both = in_parts(cut_left.join(parts.withColumnRenamed("key", "b"), "b"), "parts", "part_b").drop("parts")
+    met = cut_both.join(side("a", "x", "part_a"), ["a", "part_a"]).join(side("b", "y", "part_b"), ["b", "part_b"])
+    met = met.where((F.col("a") != F.col("b")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y")))
     pair = [F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")]
-    return across.union(copies).where("x <> y").groupBy(*pair).agg(F.max("similarity").alias("similarity"))
+    return met.groupBy(*pair).agg(F.max("similarity").alias("similarity"))
 
 
-def connected(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(key, root): least key of every component. Each round moves labels over links and then to the labels' labels."""
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select("key", F.col("key").alias("root")))
-    for _ in range(rounds):
-        heard = both.join(labels, both.b == labels.key).groupBy("a").agg(F.min("root").alias("heard"))
-        step = labels.join(heard, labels.key == heard.a, "left").select("key", "root", F.least("root", "heard").alias("near"))
-        jump = labels.select(F.col("key").alias("near"), F.col("root").alias("far"))
-        moved = cut(step.join(jump, "near").select("key", F.least("near", "far").alias("root"), F.col("root").alias("was")))
-        labels = moved.select("key", "root")
-        if moved.where("root <> was").isEmpty():
-            break
-    return labels
+def star(edges: DataFrame, large: bool, hot: int) -> DataFrame:
+    """One contraction step over edges (u, v), v < u: links move to the least smaller neighbour of their smaller (large) or larger end."""
+    least = edges.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("near"))
+    end = "v" if large else "u"
+    placed = spread_over(with_parts(edges.withColumn("at", F.col(end)), ["at"], hot, ["u", "v"]), ["u", "v"])
+    parts = placed.groupBy("at").agg(F.max("parts").alias("parts")).where("parts > 1")
+    everywhere = in_parts(least.join(parts, "at", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))).select("at", "part", "near")
+    met = placed.join(everywhere, ["at", "part"], "left")
+    if large:
+        return met.select("u", F.coalesce("near", "v").alias("v")).distinct()
+    moved = met.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("near").alias("v")), F.struct(F.col("v").alias("u"), F.col("near").alias("v")))).alias("e")).select("e.u", "e.v")
+    return moved.where("u <> v").distinct()
+
+
+def connected(nodes: DataFrame, links: DataFrame, hot: int = 100_000, most_rounds: int = 1000) -> DataFrame:
+    """(key, root): least key of every component, by alternating stars until no link moves.
+
+    The number of rounds grows with the logarithm of the longest chain; ``most_rounds`` raises, it doesn't end early.
+    """
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    state = None
+    for _ in range(most_rounds):
+        edges = written(star(star(edges, True, hot), False, hot))
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
+            return nodes.select("key").join(edges.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        state = now
+    raise RuntimeError("links still move")
 
 
 def near_duplicate_groups(entries: DataFrame, threshold: float = 0.6, tile: int = 8192, **names: str) -> DataFrame:
     """One row per document: (doc_id, group_id, n_links, best_similarity).
 
     ``group_id`` is the least doc_id of its component, ``n_links`` the number of other documents
-    that are similar to it, copies included; nothing is expanded into pairs of copies.
+    that are similar to one of its texts, copies included; nothing is expanded into pairs of copies.
     """
     classes, members = classes_of(entries, **names)
+    members = cut(members)
+    live = cut(usable(classes).select("key"))
     links = cut(class_pairs(classes, threshold, tile))
-    roots = connected(classes.select("key"), links)
-    usable = classes.select("key", (F.col("runs").isNull() | (F.size("runs") > 0)).alias("usable"))
-    counts = members.groupBy("key").agg(F.count("*").alias("copies")).join(usable, "key")
-    near = links.select(F.col("a").alias("key"), F.col("b").alias("other"), "similarity").union(links.select(F.col("b").alias("key"), F.col("a").alias("other"), "similarity"))
-    sums = near.join(counts.select(F.col("key").alias("other"), "copies"), "other").groupBy("key").agg(F.sum("copies").alias("linked"), F.max("similarity").alias("best"))
-    per_class = counts.join(sums, "key", "left").join(roots, "key")
-    n_links = F.when(F.col("usable"), F.col("copies") - 1).otherwise(0) + F.coalesce("linked", F.lit(0))
-    best = F.when(F.col("usable") & (F.col("copies") > 1), 1.0).otherwise(F.col("best"))
-    rows = members.join(per_class, "key").select("doc_id", "key", "root", n_links.alias("n_links"), best.alias("best"), "usable")
-    own_group = F.when(F.col("usable"), F.col("root")).otherwise(F.concat(F.col("root"), F.lit("/"), F.col("doc_id")))
-    named = rows.withColumn("root", own_group)
-    least = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))
-    out = named.join(least, "root")
-    return out.groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.max("n_links").alias("n_links"), F.max("best").alias("best_similarity"))
+    both = links.select(F.col("a").alias("key"), F.col("b").alias("other"), "similarity").union(links.select(F.col("b").alias("key"), F.col("a").alias("other"), "similarity"))
+    near = both.union(live.select("key", F.col("key").alias("other"), F.lit(None).cast("double").alias("similarity")))
+    copies = members.join(live, "key", "left_semi").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
+    # documents with several texts link the classes of these texts
+    texts = members.groupBy("doc_id").agg(F.count("*").alias("texts"), F.min("key").alias("first_key"))
+    several = cut(members.join(texts.where("texts > 1"), "doc_id").join(live, "key", "left_semi").select("doc_id", "key", "first_key"))
+    own = several.groupBy("doc_id").agg(F.min("key").alias("first_key"))
+    bridges = several.drop("first_key").join(own, "doc_id").where("key <> first_key").select(F.col("key").alias("a"), F.col("first_key").alias("b"))
+    roots = connected(live, links.select("a", "b").union(bridges))
+    named = roots.join(copies, "key").groupBy("root").agg(F.min("least_id").alias("group_id"))
+    group_of = roots.join(named, "root").select("key", "group_id")
+
+    def linked(owner: str, pairs: DataFrame) -> DataFrame:
+        """(owner, ids, best): distinct documents in the classes near to each owner, and the best similarity to another class."""
+        sums = pairs.join(copies.select(F.col("key").alias("other"), "copies"), "other").groupBy(owner).agg(F.sum("copies").alias("ids"), F.max("similarity").alias("best"), F.max(F.when(F.col("similarity").isNull(), F.col("copies"))).alias("copies"))
+        twice = pairs.join(several.select(F.col("key").alias("other"), "doc_id").withColumnRenamed("doc_id", "who"), "other").groupBy(owner, "who").count().where("count > 1")
+        less = twice.groupBy(owner).agg(F.sum(F.col("count") - 1).alias("less"))
+        return sums.join(less, owner, "left").select(owner, (F.col("ids") - F.coalesce("less", F.lit(0)) - 1).alias("n_links"), F.when(F.col("copies") > 1, 1.0).otherwise(F.col("best")).alias("best_similarity"))
+
+    by_class = group_of.join(linked("key", near), "key")
+    reach = several.select("doc_id", "key").join(near, "key").groupBy("doc_id", "other").agg(F.max("similarity").alias("similarity"), F.max(F.col("similarity").isNull()).alias("own"))
+    # a class that the document is in itself counts as its own, whatever else links to it
+    by_doc = linked("doc_id", reach.select("doc_id", "other", F.when(~F.col("own") | F.col("similarity").isNotNull(), F.col("similarity")).alias("similarity")))
+    own_copies = several.join(copies, "key").groupBy("doc_id").agg(F.max("copies").alias("own_copies"))
+    several_rows = own.join(group_of, own.first_key == group_of.key).select("doc_id", "group_id").join(by_doc, "doc_id").join(own_copies, "doc_id")
+    several_rows = several_rows.select("doc_id", "group_id", "n_links", F.when(F.col("own_copies") > 1, 1.0).otherwise(F.col("best_similarity")).alias("best_similarity"))
+    parts = spread_over(with_parts(members.join(several, ["doc_id"], "left_anti"), ["key"], 100 * COPIES, ["doc_id"]), ["doc_id"])
+    hot = parts.groupBy("key").agg(F.max("parts").alias("parts"))
+    single = parts.join(in_parts(by_class.join(hot, "key")), ["key", "part"], "left").select("doc_id", "group_id", "n_links", "best_similarity")
+    lone = single.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("group_id", "n_links", "best_similarity")))
+    lone = lone.select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "best_similarity")
+    return lone.union(several_rows)
