@@ -58,6 +58,34 @@ def test_marginals_sum_over_all_sets():
     assert all(abs(p - x / z) < 1e-9 for p, x in zip(P.marginals(segs, score), inside))
 
 
+def test_clusters_hold_every_match():
+    rnd = random.Random(8)
+    lexicon = P.Lexicon(P.GIVEN, {"Smith", "Weber"})
+    for _ in range(300):
+        text = P.composed(rnd, lexicon)[0]
+        places = P.clusters(text)
+        for name, shape, check, _ in P.SCHEME_SHAPES:
+            if name not in P.LETTERED:
+                whole = {m.span() for m in shape.finditer(text) if check(m.group())}
+                assert whole == {m.span() for a, b in places for m in shape.finditer(text, a, b) if check(m.group())}, name
+
+
+@pytest.mark.parametrize("cue, number", [("NRIC", "S1234567D"), ("RRN", "900101-1234568"), ("CURP", "HEGG560427MVZRRL04"), ("personnummer", "811218-9876"), ("CPR", "070761-4285"), ("身份证号", "11010519491231002X"), ("Emirates ID", "784-1234-1234567-2"), ("RUT", "12.345.678-5"), ("CUIL", "20-12345678-6"), ("SA ID", "8001015009087")])
+def test_schemes_of_many_countries(model, cue, number):
+    assert (number, "id_number") in found(f"The form says {cue} {number}.", model)
+
+
+SCRIPTS = [
+    ("Имя: Дмитрий Смирнов, адрес: ул. Садовая, д. 12", "Дмитрий Смирнов", "ул. Садовая, д. 12"), ("Όνομα: Μαρία Παπαδάκη, οδός Ερμού 12", "Μαρία Παπαδάκη", "οδός Ερμού 12"), ("姓名：王伟，住在中山路88号", "王伟", "中山路88号"), ("氏名：佐藤美咲、丸の内1-9-2", "佐藤美咲", "丸の内1-9-2"), ("이름: 김민수, 세종대로 110", "김민수", "세종대로 110"),
+    ("الاسم: خالد حداد، شارع النصر 25", "خالد حداد", "شارع النصر 25"), ("שם: נועה כהן, רחוב הרצל 15", "נועה כהן", "רחוב הרצל 15"), ("नाम: राहुल शर्मा, 24 गांधी मार्ग", "राहुल शर्मा", "24 गांधी मार्ग"), ("ชื่อ: สมชาย ใจดี 99 ถนนสุขุมวิท", "สมชาย ใจดี", "99 ถนนสุขุมวิท"), ("Name: Zbigniew Wojciechowski, ul. Długa 5", "Zbigniew Wojciechowski", "ul. Długa 5"),
+]
+
+
+def test_names_and_addresses_in_ten_scripts(model):
+    hits = [((name, "name") in found(text, model)) + ((address, "street_address") in found(text, model)) for text, name, address in SCRIPTS]
+    assert sum(hits) >= 0.95 * 2 * len(SCRIPTS), hits
+
+
 def test_held_out_accuracy(model):
     rnd = random.Random(99)
     lexicon = P.Lexicon(set(model["given"]), set(model["family"]))
