@@ -1,19 +1,21 @@
+import os
+import time
+
 import pytest
 
 from veilframe.llm import sentences as S
 
-CORPUS = [
-    "Dr. Nestwick and Mrs. Halbstone reviewed the files. The queue ran until 12:20 a.m. on Monday.\n\nThe file was closed.\n\nNobody noticed the change. It was late.",
-    "Laut Dr. Neststone wurden am 3. Mai ca. 336 Verträge geöffnet. Nur 70,5 % der Anträge wurden geprüft.\n\nDer Vorgang bleibt offen.",
-    "担当者は「消した。もう一度見る。」と書いた。しきい値は厳しすぎた。\n\n「止めて！」と支店が言った。",
-    "คำขอ A ยังเปิดอยู่และทีมกลางคืนกำลังดูแลค่ะ ดร. เทนสบี ตรวจ ใบส่งของ ครบ 3 รายการแล้วค่ะ\n\nเกตเวย์อีเมลลบทิ้ง สลิปเงินเดือน แล้วครับ",
-    *(f"ระบบ{x} ส่งต่อ เอกสาร จำนวน 4 รายการแล้วครับ ทีม{x} แจ้งว่า เอกสาร ยังอยู่ใน /data/4 ค่ะ\n\nตั้งแต่รุ่น 2 {x} อ่าน เอกสาร ได้โดยตรงครับ\n\nคำขอ {x} ยังเปิดอยู่ และ {x} กำลังดูแลค่ะ" for x in "กขคงจฉชซ"),
-] * 20
+SOURCE = "/root/testdata/sf0.01/documents.parquet"
 
 
 @pytest.fixture(scope="module")
 def model():
-    return S.train(S.labelled(CORPUS))
+    """Trained on the small documents table: the operator learns from its own texts and holds no word lists."""
+    import duckdb
+
+    if not os.path.exists(SOURCE):
+        pytest.skip("test data isn't there")
+    return S.train(S.labelled([r[0] for r in duckdb.sql(f"select distinct text from '{SOURCE}' where text is not null order by text").fetchall()]))
 
 
 def split(text, model):
@@ -48,6 +50,29 @@ def test_layout(model):
     assert split(text, model) == ["1. Background", "The first line\nbreaks here.", "It goes on.", "- owner: desk", "- Ask the team about it.", "Step\n2. of the list is empty."]
 
 
+@pytest.mark.parametrize("n", [30, 80, 2000])
+def test_quotations_of_any_length(model, n):
+    quote = "“" + " ".join(["The file was moved."] * n) + "”"
+    assert split(f"The desk wrote: {quote} Nobody answered.", model) == [f"The desk wrote: {quote}", "Nobody answered."]
+
+
+def test_unclosed_brackets_cost_in_proportion(model):
+    def seconds(n):
+        began = time.perf_counter()
+        S.enclosed("(a “b " * n + ") x. " * 10)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 40 * max(seconds(20_000), 0.005)
+    assert S.enclosed("(a (b) c) «d» (e") == [(0, 8), (10, 12)]
+
+
+def test_blanks_in_thai_cost_in_proportion(model):
+    began = time.perf_counter()
+    S.spans_of("ข้อมูล " * 40_000, model)
+    assert time.perf_counter() - began < 10
+
+
 def test_edges(spark, model):
     df = spark.createDataFrame([(1, "One. Two.", "x"), (1, "One. Two.", "x"), (2, None, "x"), (3, "", "x"), (4, " \n ", "x"), (5, "no end", "x"), (6, "a b. " * 3000, "x")], "doc_id bigint, text string, span_start string")
     got = S.split_sentences(df, model).groupBy("doc_id").count().collect()

@@ -618,7 +618,7 @@ def train(lexicon: Lexicon, texts: int = 3000, rounds: int = 8, rate: float = 0.
     for _ in range(texts):
         text, spans = composed(rnd, lexicon)
         # one name in eight is unknown to each lexicon, in some texts most are, so that shape and cues carry weight too
-        gone = (0.6, 0.6) if rnd.random() < 0.1 else (0.12, 0.2)
+        gone = (0.7, 0.7) if rnd.random() < 0.25 else (0.12, 0.2)
         seen = Lexicon({g for g in lexicon.given if rnd.random() > gone[0]}, {f for f in lexicon.family if rnd.random() > gone[1]}, lexicon.common)
         found = segments(folded(text)[0], seen)
         gold = {(a, b, k) for a, b, k in spans}

@@ -8,8 +8,8 @@ tokens, their case, length, digits and script, and a logistic model decides.
 
 The model is trained here, on boundaries that are reliable without it: ends of blocks are boundaries;
 a full stop before a lower-case word that begins no block, or after a token that is often followed
-by a full stop and never ends a block, is none.  Training takes a bounded sample of the documents
-(``train_rows``); a few fixed anchors keep it sane on tiny corpora.
+by a full stop and never ends a block, is none; behind a quotation, what never begins a block goes on with the sentence.  No word list is used.
+Training takes a bounded sample of the documents (``train_rows``).
 
 Defined results: a null or blank text has no sentence; every row is split on its own, so a
 repeated row gives its sentences again; texts are taken whole.
@@ -39,26 +39,6 @@ SIGN = re.compile("[\"'«»“”„‘’‚‹›「」『』()（）\\[\\]]")
 THAI_BLANK = re.compile(r"(?<=[\u0e00-\u0e7e])\s+")
 THAI = re.compile("[\u0e00-\u0e7e]")
 CLOSERS = set("»”“\"'’‘」』)）]›")
-LONGEST_QUOTE = 2000
-
-#: Anchors of the training data as (text before, text after, is a boundary).
-ANCHORS = [
-    *((f"saw {t}.", "Nestwick came", 0) for t in "Dr Mr Mrs Ms Prof Sr Sra Dra St Inc Nr No Vol Fig Abb Abs art pág p cf vs ca approx Ver ดร डॉ د κ г т рис стр Ing Hr Fr Mme Mlle bzw zzgl env éd Gen Col Capt Rev Hon".split()),
-    *((f"saw {t}.", "36 files", 0) for t in "Nr No Vol Fig Abb Abs art pág p ca approx Ver стр рис Sec n env éd vs".split()),
-    *((f"from {i}.", "Vashetti came", 0) for i in "ABCDEFGHJKLMV"),
-    *(("am 3.", f"{m} kam", 0) for m in "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()),
-    *((f"meets at 3:33 {t}.", "on Tuesday", 0) for t in ("a.m", "p.m")),
-    *((f"ran until 3:33 {t}.", "The next", 1) for t in ("a.m", "p.m")),
-    *((f"labels, owners, {t}.", n, b) for t in ("etc",) for n, b in (("The next", 1), ("and so", 0))),
-    *((f"the file was {w}.", n, 1) for w in ("closed", "gelöscht", "fermé", "cerrado", "закрыт") for n in ("The next", "Der nächste", "Le prochain", "El otro", "Новый", "¿Por qué", "«Halt", "(See below", "5 files")),
-    *((f"the file was {w}.", "and then", 0) for w in ("closed", "open")),
-    *((f"it was {w}.", n, 1) for w, n in zip("here files late day house done work moved lists team sample office closed today reader geöffnet Verträge geprüft blieb wurde hatte fermé lecture notes dossiers vide plazo archivo revisión falta noche fecha índice правил окна списку аудита записей ناقصة يتابعه مفتوحا αρχεία απευθείας".split(), "The It A Der Die Das Le La El Los Он Лишь Nobody Only Since Two When If We На لا كتب Η Το".split() * 3)),
-    *((f"{w} went out.", n, 1) for w, n in (("Half", "Two"), ("All", "One"))),
-    *((f"up to {x}.", n, 1) for x in ("12", "3.50", "2021", "76.48", "9,5") for n in ("The", "Der", "El", "Only")),
-    *((f"the {w}.", n, 0) for w in "Jan Feb Sept Oct Nov Dec approx env min sec tel ext dept est max cf bzw ca ff Nr Tel Str zzgl inkl MwSt ej núm aprox тыс млн руб сек стр рис см e.g i.e z.B d.h p.ej т.е т.д π.χ".split() for n in ("of the", "and the", "in the")),
-    *((f"{w}", n, 0) for w in "บริษัท ประเทศ ข้อมูล รายงาน ระบบ เอกสาร สำหรับ จำนวน เรื่อง ของ และ ว่า ใน อ่าน ตรวจ".split() for n in ("ข้อมูล", "36 รายการ", "/data", "ยัง")),
-    *((f"รายการ{p}", n, 1) for p in ("ครับ", "ค่ะ", "คะ") for n in ("คำขอ", "ดร. สม")),
-]
 
 
 def script(char: str) -> str:
@@ -98,33 +78,45 @@ def blocks_of(text: str) -> Iterator[tuple[int, int, bool]]:
         at = end
 
 
+OPENER = {close: {o for o, c in PAIRS.items() if c == close} for close in PAIRS.values()}
+
+
 def enclosed(text: str) -> list[tuple[int, int]]:
-    """Outermost closed quotations and brackets as (place of the opening, place of the closing)."""
+    """Outermost closed quotations and brackets as (place of the opening, place of the closing), in one pass."""
     stack: list[tuple[str, int]] = []
+    held: dict[str, list[int]] = {}  # places in the stack of every sign
     spans: list[tuple[int, int]] = []
     n = len(text)
+
+    def put(c: str, i: int) -> None:
+        held.setdefault(c, []).append(len(stack))
+        stack.append((c, i))
+
+    def take(at: int, i: int) -> None:
+        spans.append((stack[at][1], i))
+        while len(stack) > at:
+            held[stack.pop()[0]].pop()
+
     for m in SIGN.finditer(text):
         i, c = m.start(), m.group()
         if c in "\"'":
             before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
-            held = [k for k, (x, _) in enumerate(stack) if x == c]
-            if held and not before.isspace() and not (c == "'" and after.isalnum()):
-                spans.append((stack[held[-1]][1], i))
-                del stack[held[-1] :]
-            elif not after.isspace() and not before.isalnum() and not held:
-                stack.append((c, i))
+            own = held.get(c)
+            if own and not before.isspace() and not (c == "'" and after.isalnum()):
+                take(own[-1], i)
+            elif not after.isspace() and not before.isalnum() and not own:
+                put(c, i)
         elif c in "»”“」』)）]’‘›":
-            held = [k for k, (x, _) in enumerate(stack) if PAIRS.get(x) == c]
-            if held:
-                spans.append((stack[held[-1]][1], i))
-                del stack[held[-1] :]
+            at = max((held[o][-1] for o in OPENER.get(c, ()) if held.get(o)), default=-1)
+            if at >= 0:
+                take(at, i)
             elif c in PAIRS:
-                stack.append((c, i))
+                put(c, i)
         elif c in PAIRS:
-            stack.append((c, i))
+            put(c, i)
     outer: list[tuple[int, int]] = []
     for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if b - a <= LONGEST_QUOTE and (not outer or a > outer[-1][1]):
+        if not outer or a > outer[-1][1]:
             outer.append((a, b))
     return outer
 
@@ -163,31 +155,44 @@ def following(after: str) -> tuple[str, str]:
     return word, kind
 
 
-def features(mark: str, kind: str, before: str, after: str, quote: str, left: str | None = None) -> list[str]:
+Described = tuple[str, ...]  # what a candidate looks like; equal descriptions have equal features
+
+
+def described(mark: str, kind: str, before: str, after: str, quote: str, left: str | None = None) -> Described:
     word, case = following(after)
     if kind == "blank":
-        left = before.rstrip()
-        return ["blank", "s3=" + left[-3:], "s4=" + left[-4:], "next=" + word, "b:" + case]
+        return ("blank", before.rstrip()[-4:], word, case)
     left = token_type(before) if left is None else left
-    size = "len=" + str(min(len(left), 6))
+    return (mark, left, word, case, quote, script(before.rstrip()[-1]) if before.strip() else "none", after.lstrip()[:1] if case == "caseless" else "")
+
+
+def features(seen: Described) -> list[str]:
+    if seen[0] == "blank":
+        _, left, word, case = seen
+        return ["blank", "s3=" + left[-3:], "s4=" + left, "next=" + word, "b:" + case]
+    mark, left, word, case, quote, letters, first = seen
     out = [
-        "t=" + mark, "w=" + left, size, "case=" + case, "t,case=" + mark + case, "w,case=" + left + case, "next=" + word, "w,next=" + left + "," + word,
-        "q=" + quote, "q,case=" + quote + case, "script=" + (script(before.rstrip()[-1]) if before.strip() else "none"),
+        "t=" + mark, "w=" + left, "len=" + str(min(len(left), 6)), "case=" + case, "t,case=" + mark + case, "w,case=" + left + case, "next=" + word, "w,next=" + left + "," + word,
+        "q=" + quote, "q,case=" + quote + case, "script=" + letters,
     ]
-    if case == "caseless":
-        first = after.lstrip()[:1]
+    if first:
         out += ["nc=" + first, "q,nc=" + quote + first]
     if left[:1] != "<" and "." in left:
         out.append("inner stop")
     return out
 
 
-def candidates(text: str, following_text: str = "") -> list[tuple[int, str, str, list[str]]]:
-    """(place, token type, kind of what follows, features) of every candidate in a block."""
+def closing(rest: str) -> bool:
+    """Whether nothing but blanks and closing signs is left of a quotation."""
+    return all(c in CLOSERS for c in rest.strip())
+
+
+def candidates(text: str, following_text: str = "") -> list[tuple[int, str, str, Described]]:
+    """(place, token type, kind of what follows, description) of every candidate in a block."""
     spans = enclosed(text)
     out = []
     k = 0
-    begin = len(text) - len(text.lstrip())
+    last = len(text.rstrip())
     found = [(m.start(), m.end(), m.group()) for m in TERMINATOR.finditer(text)]
     for start, end, mark in found:
         while k < len(spans) and spans[k][1] < start:
@@ -197,10 +202,10 @@ def candidates(text: str, following_text: str = "") -> list[tuple[int, str, str,
         place, quote = end, "none"
         if k < len(spans) and spans[k][0] < start < spans[k][1]:
             a, b = spans[k]
-            if text[end:b].strip() and not all(c in CLOSERS for c in text[end:b].strip()):
+            if not (closing(text[end : min(b, end + 40)]) and (b <= end + 40 or closing(text[end:b]))):
                 continue
             place = b + 1
-            lead = text[:a].rstrip()
+            lead = text[max(0, a - 40) : a].rstrip() or text[:a].rstrip()
             if text[a] in "(（[":
                 quote = "bracket first" if not lead or lead[-1] in ".!?。！？।؟" else "bracket inside"
             else:
@@ -218,25 +223,34 @@ def candidates(text: str, following_text: str = "") -> list[tuple[int, str, str,
         caseless = rest.strip() and following(rest)[1] in ("caseless",)
         if quote == "first" and caseless:
             quote = "first caseless"
-        if rest and not rest.strip() and text[place:].strip():
+        if rest and not rest.strip() and place < last:
             after = rest = text[place:].lstrip()[:80]
         before = text[max(0, start - 80) : start].rstrip()
         left = token_type(before)
-        out.append((place, left, following(rest)[1], features(kind, "mark", before, after, quote, left)))
+        out.append((place, left, following(rest)[1], described(kind, "mark", before, after, quote, left)))
     if THAI.search(text):
+        k = 0
         for m in THAI_BLANK.finditer(text):
-            if any(a < m.start() < b for a, b in spans):
+            while k < len(spans) and spans[k][1] <= m.start():
+                k += 1
+            if k < len(spans) and spans[k][0] < m.start():
                 continue
-            rest = text[m.end() :]
-            out.append((m.start(), "s4=" + text[: m.start()][-4:], "thai" if rest.strip() else "end", features("", "blank", text[: m.start()], rest if rest.strip() else following_text, "")))
-        if script(text.rstrip()[-1]) == "thai" and not text[-1].isspace():
-            out.append((len(text), "s4=" + text[-4:], "end", features("", "blank", text, following_text, "")))
+            before, rest = text[max(0, m.start() - 8) : m.start()], text[m.end() : m.end() + 80]
+            out.append((m.start(), "s4=" + before[-4:], "thai" if m.end() < last else "end", described("", "blank", before, rest if m.end() < last else following_text, "")))
+        if script(text[last - 1]) == "thai" and last == len(text):
+            out.append((len(text), "s4=" + text[-4:], "end", described("", "blank", text[-8:], following_text, "")))
     return sorted(out, key=lambda x: x[0])
 
 
+def kind_of(what: Described) -> tuple[str, str]:
+    """How a quotation stands in its sentence, and the script before its end."""
+    return what[4].removesuffix(" caseless"), what[5]
+
+
 def labelled(texts: list[str]) -> list[tuple[list[str], int, float]]:
     """Training examples (features, label, weight) from boundaries that are reliable."""
-    begins, ends, seen, held = Counter(), Counter(), Counter(), []
+    begins, small, firsts, ends, seen, follows, closes, held = Counter(), Counter(), Counter(), Counter(), Counter(), Counter(), Counter(), []
+    quotes: Counter = Counter()
     bodies: set[str] = set()
     for text in texts:
         blocks = [(a, b) for a, b, split in blocks_of(text) if split]
@@ -247,51 +261,54 @@ def labelled(texts: list[str]) -> list[tuple[list[str], int, float]]:
             if not found or body in bodies:  # copies of a block prove nothing
                 continue
             bodies.add(body)
-            begins[following(body)[0]] += 1
-            for place, left, case, fs in found:
+            first_word, first_case = following(body)
+            begins[first_word] += 1
+            small[first_word] += first_case == "lower"
+            firsts[body.lstrip()[0]] += 1
+            for _, left, case, what in found:
                 seen[left] += 1
                 ends[left] += case == "end"
-                held.append((place, left, case, fs))
+                follows[what[2]] += 1
+                if what[0] != "blank" and what[4] != "none":
+                    quotes[kind_of(what)] += 1
+                    closes[kind_of(what)] += case == "end"
+                held.append((left, case, what))
     out: list[tuple[list[str], int, float]] = []
     # a token that ends sentences ends a block with about the share of all tokens; enough misses make it an abbreviation
     share = min(0.5, max(0.05, sum(ends.values()) / max(sum(seen.values()), 1)))
     enough = max(12, math.ceil(math.log(0.002) / math.log(1 - share)))
-    for _, left, case, fs in held:
-        nxt = next((f[5:] for f in fs if f.startswith("next=")), "")
-        quoted = not any(f == "q=none" for f in fs) and "blank" not in fs
+    for left, case, what in held:
+        nxt = what[2]
         if case == "end":
-            out.append((fs, 1, 1.0))
+            label = (1, 1.0)
+        elif what[0] == "blank":
+            label = (0, 1.0) if seen[left] >= enough and not ends[left] else (1, 0.5) if ends[left] > 0.1 * seen[left] else None
+        elif what[4] != "none":
+            # behind a quotation or bracket: what never begins a block goes on with the sentence, and quotations of a kind that never ends a block are inside one
+            first = what[6] or case
+            inside = quotes[kind_of(what)] >= enough and not closes[kind_of(what)]
+            goes_on = case == "lower" and not small[nxt] or case not in ("lower", "upper", "open", "digit") and not firsts[first] or inside and case != "open"
+            label = (0, 1.0) if goes_on else (1, 0.5) if begins[nxt] and case != "lower" or what[6] and firsts[first] else None
         elif seen[left] >= enough and not ends[left]:
-            out.append((fs, 0, 1.0))
-        elif quoted:
-            continue
-        elif case == "lower" and not begins[nxt]:
-            out.append((fs, 0, 1.0))
-        elif "blank" not in fs and ends[left] and case in ("upper", "open", "caseless") and begins[nxt]:
-            out.append((fs, 1, 0.5))
-        elif "blank" in fs and ends[left] > 0.1 * seen[left]:
-            out.append((fs, 1, 0.5))
-    for before, after, label in ANCHORS:
-        if before.endswith("."):
-            out += [(features(".", "mark", before[:-1], after, "none"), label, 4.0)]
+            label = (0, 1.0)
+        elif case == "lower" and not small[nxt]:
+            label = (0, 1.0)
+        elif left in ("<num>", "<initial>", "<mixed>") and case == "upper" and follows[nxt] >= enough and not begins[nxt]:
+            label = (0, 1.0)  # a word that often follows a full stop and never begins a block: the name of a month, a unit
+        elif ends[left] and case in ("upper", "open", "caseless") and begins[nxt] or what[6] and what[0] in "。!?" and firsts[what[6]]:
+            label = (1, 0.5)
         else:
-            out += [(features("", "blank", before, after, ""), label, 4.0)]
-    for mark in "!?。":
-        for left in ("the file was closed", "厳しすぎた", "太严格", "खुला है", "مفتوحا", "no lo envíen"):
-            out += [(features(mark, "mark", left, after, "none"), 1, 3.0) for after in ("The next", "しきい値", "阈值", "टिकट", "الطلب", "«Halt", "„Halt", "「止め", "5 files", "(See")]
-    for quote, case_text, label in (
-        ("first", "wrote the", 0), ("first", ", escribió", 0), ("first", "— написал", 0), ("first caseless", "कहा", 0), ("first caseless", "كتب", 0), ("first caseless", "说", 0), ("first", "と言", 0), ("inside", "と言", 0), ("first", "とA課が", 0), ("inside", "と伝え", 0), ("colon", "と伝え", 0), ("comma", "と伝え", 0), ("first", "The next", 1),
-        ("colon", "The next", 1), ("colon", "阈值", 1), ("colon", "と書", 0), ("comma", "The next", 1), ("comma", "before the", 0), ("comma", "and the", 0), ("colon", "before the", 0), ("inside", "and the", 0), ("inside", "before the", 0), ("inside", "The next", 1), ("bracket first", "The next", 1), ("bracket inside", "were", 0), ("bracket inside", "The next", 0), ("inside", "と書", 0),
-    ):
-        for mark in ".!?。":
-            for left in ("the file was closed", "it ran", "已删除", "消した", "ho finito"):
-                out += [(features(mark, "mark", left, case_text, quote), label, 3.0)]
+            label = None
+        if label:
+            out.append((features(what), *label))
     return out
 
 
 def train(examples: list[tuple[list[str], int, float]], rounds: int = 60, decay: float = 1e-4) -> dict[str, float]:
     """Logistic regression (maximum entropy) by AdaGrad on the whole set."""
     names: dict[str, int] = {}
+    if not examples:
+        return {"": 1.0}
     widest = max(len(fs) for fs, _, _ in examples)
     idx = np.zeros((len(examples), widest), np.int64)
     for i, (fs, _, _) in enumerate(examples):
@@ -315,9 +332,25 @@ def train(examples: list[tuple[list[str], int, float]], rounds: int = 60, decay:
     return model
 
 
-def spans_of(text: str, model: dict[str, float]) -> list[tuple[int, int]]:
+class Judge:
+    """Scores of candidates; equal descriptions are scored once."""
+
+    def __init__(self, model: dict[str, float]) -> None:
+        self.model, self.known = model, {}
+
+    def __call__(self, what: Described) -> bool:
+        held = self.known.get(what)
+        if held is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            held = self.known[what] = self.model.get("", 0.0) + sum(self.model.get(f, 0.0) for f in features(what)) > 0
+        return held
+
+
+def spans_of(text: str, model: dict[str, float] | Judge) -> list[tuple[int, int]]:
     """Spans (start, end) of the sentences, headings and list items of a text, without outer blanks."""
     out = []
+    boundary = model if isinstance(model, Judge) else Judge(model)
 
     def add(a: int, b: int) -> None:
         piece = text[a:b]
@@ -328,18 +361,17 @@ def spans_of(text: str, model: dict[str, float]) -> list[tuple[int, int]]:
     for a, b, split in blocks_of(text):
         at = a
         if split:
-            for place, _, case, fs in candidates(text[a:b]):
-                if case != "end" and a + place > at and model[""] + sum(model.get(f, 0.0) for f in fs) > 0:
+            for place, _, case, what in candidates(text[a:b]):
+                if case != "end" and a + place > at and boundary(what):
                     add(at, a + place)
                     at = a + place
         add(at, b)
     return out
 
 
-def fit(documents: DataFrame, text: str = "text", train_rows: int = 6000, most_chars: int = 20_000) -> dict[str, float]:
-    """The model, fitted on at most ``train_rows`` distinct documents of at most ``most_chars`` characters."""
-    usable = documents.select(F.col(text).alias("text")).where(F.length("text").between(1, most_chars))
-    return train(labelled(sample_of(usable, train_rows)))
+def fit(documents: DataFrame, text: str = "text", train_rows: int = 6000) -> dict[str, float]:
+    """The model, fitted on at most ``train_rows`` distinct documents of any length."""
+    return train(labelled(sample_of(documents.select(F.col(text).alias("text")).where("text <> ''"), train_rows)))
 
 
 def split_sentences(documents: DataFrame, model: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -349,8 +381,9 @@ def split_sentences(documents: DataFrame, model: dict[str, float] | None = None,
     rows = spread(rows)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Judge(model)
         for frame in frames:
-            made = [(d, n, a, b, t[a:b] if with_text else None) for d, t in zip(frame["doc_id"], frame["text"]) for n, (a, b) in enumerate(spans_of(t, model))]
+            made = [(d, n, a, b, t[a:b] if with_text else None) for d, t in zip(frame["doc_id"], frame["text"]) for n, (a, b) in enumerate(spans_of(t, judge))]
             yield pd.DataFrame(made, columns=["doc_id", "sentence_no", "span_start", "span_end", "sentence"])
 
     out = rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sentence_no int, span_start bigint, span_end bigint, sentence string")
