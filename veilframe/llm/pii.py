@@ -178,8 +178,15 @@ NATIVE = {
 LABELS = r"(?:姓名|氏名|名前|联系人|聯絡人|担当者?|이름|성명|담당자|الاسم|اسم|שם|नाम|ชื่อ|Имя|ФИО|Ф\.И\.О\.|Όνομα|Ονοματεπώνυμο)[:： ]{1,2}"
 TITLES = r"(?:السيدة|السيد|الأستاذة|الأستاذ|الدكتورة|الدكتور|מר|גב'|ד\"ר|श्रीमती|श्री|डॉ\.?|นางสาว|นาย|นาง|คุณ|г-н|г-жа|κ\.|κα)"
 CUED = re.compile(rf"(?:({LABELS})|({TITLES}) ?)$")
+ANY_CUE = re.compile(f"{LABELS}|{TITLES}")
+CUED_SCRIPTS = ("arabic", "hebrew", "devanagari", "thai")  # without case, a name is told by what stands before it
 HONOURED = r"(?= ?(?:先生|女士|小姐|さん|様|氏(?!名)|씨|님))"
 OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0400-\u04ff\u0590-\u05ff\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3]")
+#: Letters without which a text has no name or address of a script: an initial of a name, a letter of the script.
+LETTERS = {
+    "cyrillic": re.compile("[А-ЯЁІЇЄҐ][а-яёіїєґ]|ул\\."), "greek": re.compile("[Α-ΩΆΈΉΊΌΎΏ][α-ωάέήίόύώ]"), "han": re.compile("[\u4e00-\u9fff]"), "hangul": re.compile("[가-힣]"), "arabic": re.compile("[\u0620-\u064a]"), "hebrew": re.compile("[\u05d0-\u05ea]"), "devanagari": re.compile("[\u0900-\u097f]"), "thai": re.compile("[\u0e01-\u0e4e]"),
+}
+ADDRESS_SCRIPT = {"ru": "cyrillic", "el": "greek", "zh": "han", "ja": "han", "ko": "hangul", "ar": "arabic", "hi": "devanagari", "th": "thai", "he": "hebrew"}
 PATRONYMIC = re.compile(r"(?:ович|евич|ьич|овна|евна|ична|овича|евича|овне|евне|овны|евны)$")
 OTHER_NAMES = [
     ("cyrillic", re.compile(rf"(?<!\w){CYR} {CYR}(?: {CYR})?(?!\w)")),
@@ -351,15 +358,16 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
 
 def other_scripts(text: str, add: Callable[[str, int, int, list[str]], None]) -> None:
     """Candidates written in other scripts than Latin: addresses by their road words, names by lists, case and the words around them."""
+    there = {script for script, letters in LETTERS.items() if letters.search(text)}
     for name, shape in OTHER_ADDRESSES:
-        for m in shape.finditer(text):
+        for m in shape.finditer(text) if ADDRESS_SCRIPT[name] in there else ():
             add("street_address", m.start(), m.end(), ["shape=" + name, "native"])
     for script, shape in OTHER_NAMES:
-        for m in shape.finditer(text):
+        for m in shape.finditer(text) if script in there and (script not in CUED_SCRIPTS or ANY_CUE.search(text)) else ():
             a, b = m.span()
             words = m.group().split(" ")
             cue = CUED.search(text[max(0, a - 16) : a])
-            if script in ("arabic", "hebrew", "devanagari", "thai") and not cue:
+            if script in CUED_SCRIPTS and not cue:
                 inner = re.match(TITLES + " ?", m.group())  # the title is a word or stands before without a blank
                 if not inner:
                     continue
@@ -576,7 +584,7 @@ def composed(rnd: random.Random, lexicon: Lexicon) -> tuple[str, list[tuple[int,
         elif turn == 16:  # single names
             say(pick([f"{pick(['Room', 'Building', 'Studio', 'Hall', 'Project', 'Storm'])} {pick(given)} {words(2)}. ", f"{pick(TITLES_BEFORE)}{pick(family)} {words(2)}. ", f"{pick(family)} {pick(LEGAL)} {words(2)}. ", f"On {pick(DAYS)}, {pick(given)} {words(1)}. ", f"In {word().title()}, {pick(given)} {words(1)}. ", f"{pick(DAYS)} {pick(given)} {words(2)}. ", f"The {pick(given)} {pick(['Room', 'Building', 'Foundation', 'Prize'])} {words(1)}. ", f"{pick(given)}, {words(3)}. "]))
         elif turn == 17:  # titles, places and firms
-            say(pick([f"The {pick(TITLE_WORDS)} {pick(TITLE_NOUNS)} {words(2)}. ", f"{pick(TITLE_WORDS)} {pick(TITLE_NOUNS)} {words(2)}. ", f"in {pick(PLACES)} {words(2)}. ", f"{word().title()} {word().title()} {pick(LEGAL)} {words(1)}. ", f"{pick(DAYS)} {pick(TITLE_WORDS)} {pick(TITLE_NOUNS)}. ", f"{pick(TITLE_WORDS)}, {pick(TITLE_NOUNS)} {words(1)}. ", f"Dear {pick(TITLE_WORDS)} {pick(TITLE_NOUNS)}, {words(2)}. ", f"{pick(['ABC', 'TKT', 'REQ', 'INC', 'CHG', 'FIN'])}-{d(6)} {words(2)}. ", f"{pick(TITLE_WORDS)} {pick(['ABC', 'TKT', 'REQ'])}-{d(5)} {words(2)}. ", f"{pick(LABELLED['name'])}{pick(TITLE_WORDS)} {pick(TITLE_NOUNS)}, {words(2)}. ", f"{pick(LABELLED['name'])}the {pick(TITLE_WORDS)} {pick(TITLE_NOUNS)}. "]))
+            say(pick([f"The {pick(TITLE_WORDS)} {pick(TITLE_NOUNS)} {words(2)}. ", f"{pick(TITLE_WORDS)} {pick(TITLE_NOUNS)} {words(2)}. ", f"in {pick(PLACES)} {words(2)}. ", f"{word().title()} {word().title()} {pick(LEGAL)} {words(1)}. ", f"{pick(DAYS)} {pick(TITLE_WORDS)} {pick(TITLE_NOUNS)}. ", f"{pick(TITLE_WORDS)}, {pick(TITLE_NOUNS)} {words(1)}. ", f"Dear {pick(TITLE_WORDS)} {pick(TITLE_NOUNS)}, {words(2)}. ", f"{pick(['On', 'Since', 'Until', 'From', 'By', 'Last', 'Next'])} {pick(DAYS)} {pick(['the ', ''])}{words(2)}. ", f"{pick(['In', 'At', 'From', 'To', 'For'])} {word().title()} {words(2)}. ", f"{pick(['ABC', 'TKT', 'REQ', 'INC', 'CHG', 'FIN'])}-{d(6)} {words(2)}. ", f"{pick(TITLE_WORDS)} {pick(['ABC', 'TKT', 'REQ'])}-{d(5)} {words(2)}. ", f"{pick(LABELLED['name'])}{pick(TITLE_WORDS)} {pick(TITLE_NOUNS)}, {words(2)}. ", f"{pick(LABELLED['name'])}the {pick(TITLE_WORDS)} {pick(TITLE_NOUNS)}. "]))
         elif turn == 18:  # roads without a house number, numbers without a road
             say(pick([f"the {pick([*EN_ROADS, word().title()])} {pick(ROADS.split('|'))} {words(2)}. ", f"{pick(['Unit', 'Shelf', 'Rack', 'Bay', 'Gate'])} {num(60)}, {pick(['Lane', 'Row', 'Aisle', 'Court'])} {num(60)} {words(2)}. ", f"{pick(DE_ROADS)}{pick(['weg', 'straße', 'platz'])} {words(2)}. ", f"{num(2, 90)} {pick(['Court', 'Square', 'Close', 'Row'])} {words(1)}. "]))
         elif turn == 19:  # signs of addresses without one
