@@ -26,8 +26,8 @@ def test_exact_leaks_equal_brute_force(spark):
     docs += [(100, None), (101, ""), (102, items[-1][1]), (102, items[-1][1])]
     df = spark.createDataFrame([(*r, "z") for r in docs], "doc_id int, text string, item_id string")
     it = spark.createDataFrame([*items, (99, None)], "item_id int, text string")
-    for most in (2_000_000, 1):  # the broadcast way and the shuffled way
-        found = L.find_leaks(df, it, most_hashes=most).where("kind = 'exact'").collect()
+    for most in (500_000, 1):  # the broadcast way and the shuffled way
+        found = L.find_leaks(df, it, most_windows=most).where("kind = 'exact'").collect()
         assert {(r.doc_id, r.item_id) for r in found} == brute([(d, t) for d, t in docs if t], items)
     assert L.find_leaks(df.limit(0), it).count() == 0 and L.find_leaks(df, it.limit(0)).count() == 0
 
@@ -37,3 +37,20 @@ def test_reparameterised(spark):
     docs = [(1, item.replace("16", "77")), (2, item), (3, item.replace("keep", "burn"))]
     got = {r.doc_id: r.kind for r in L.find_leaks(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(1, item)], "item_id int, text string")).collect()}
     assert got == {1: "reparameterised", 2: "exact"}
+
+
+def test_names_of_other_scripts_are_slots(spark):
+    item = "сколько записей может хранить каждый сотрудник по имени Иван Петров после проверки в течение недели подряд и без перерыва"
+    docs = [(1, item.replace("Иван Петров", "Анна Смирнова")), (2, item)]
+    other = "потом после долгой и трудной проверки всех старых записей и списков стало ясно что делать дальше и тогда Анна Смирнова пришла сюда после того как закончилась проверка и все записи были убраны в архив навсегда без остатка"
+    items = spark.createDataFrame([(1, item), (2, other)], "item_id int, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in L.find_leaks(spark.createDataFrame(docs, "doc_id int, text string"), items).collect()}
+    assert got == {(1, 1): "reparameterised", (2, 1): "exact"}
+
+
+def test_more_names_than_allowed_raise(spark):
+    import pytest
+
+    items = spark.createDataFrame([(1, "they met " + "and then they met Anna Smith so they went on and on again in the rain for days and days without rest " * 3)], "item_id int, text string")
+    with pytest.raises(ValueError):
+        L.find_leaks(items.selectExpr("item_id as doc_id", "text"), items, most_names=1)

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from veilframe.llm import mixing as X
 
 
@@ -47,9 +49,29 @@ def test_shares_and_caps(spark):
     assert again == {(r.doc_id, r.source, r.repeats) for r in rows}
 
 
+def test_total_shrinks_until_shares_hold(spark):
+    targets = spark.createDataFrame([("big", 0.7, 1), ("small", 0.3, 1)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in X.mix(table(spark), targets, least_total=0.1)[1].collect()}
+    assert all(r.met and abs(r.actual_share - r.target_share) < 0.02 for r in report.values())
+
+
 def test_unreachable_target_and_empty(spark):
     targets = spark.createDataFrame([("big", 0.1, 1), ("small", 0.9, 2)], "source string, target_share double, max_repeats int")
-    selection, shares = X.mix(table(spark), targets, total_tokens=6000)
+    selection, shares = X.mix(table(spark), targets, total_tokens=6000, least_total=0.9)
     report = {r.source: r for r in shares.collect()}
-    assert not report["small"].met and report["small"].repeats_used == 2 and report["big"].met
+    assert not report["small"].met and report["small"].repeats_used == 2 and not report["big"].met
     assert X.mix(table(spark).limit(0), targets)[0].count() == 0
+
+
+def test_odd_names_and_sources_without_documents(spark):
+    docs = spark.createDataFrame([(i, f"word {i} " * 9, 'a|b "c"' if i % 2 else "d,e") for i in range(200)], "doc_id int, text string, source string")
+    targets = spark.createDataFrame([('a|b "c"', 0.5, 2), ("d,e", 0.4, 2), ("none", 0.1, 2)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in X.mix(docs, targets)[1].collect()}
+    assert report["none"].tokens == 0 and not report["none"].met
+    assert abs(report['a|b "c"'].actual_share - 5 / 9) < 0.02 and abs(report["d,e"].actual_share - 4 / 9) < 0.02
+
+
+def test_too_many_sources_raise(spark):
+    targets = spark.createDataFrame([(str(i), 0.1, 1) for i in range(5)], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        X.mix(table(spark), targets, most_patterns=4)

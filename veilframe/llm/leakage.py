@@ -3,12 +3,14 @@
 Every word is lower-cased and canonicalised: numbers become ``<num>``, units ``<unit>`` and the
 names that the items themselves use ``<name>``.  Windows of twelve template words are hashed and joined
 with the items' windows, so a question that was re-parameterised meets its original.  The slots of
-joined windows on one alignment must map one to one (slot consistency); if all slots are equal over
-a whole window, the passage is the item's own text.
+joined windows on one alignment must map one to one (slot consistency); where the slots of a window are equal, value
+by value, the passage is the item's own text.
 
 Scale: a worker passes over each text once and emits only windows whose hash an item has.  The items'
-hashes go to the workers as one sorted array while they are few (``most_hashes``, checked); beyond it
-all windows are exploded and the join is an ordinary shuffled hash join.
+hashes go to the workers as one sorted array, and their windows are broadcast, while there are at most
+``most_windows`` of them (rows are counted); beyond it all windows are exploded and joined by a shuffle in which
+every hash is spread over ``SPREAD`` places, so a boilerplate passage is no hot key.  The names of all items form
+the lexicon; more than ``most_names`` raise an error instead of being cut.
 
 Defined results: null or short texts (under twelve words) contain and match nothing; repeated
 rows count once.
@@ -21,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.session import spread
+from veilframe.session import cut, spread
 
 WINDOW = 12
 WORD = re.compile(r"[^\W_]+")
@@ -37,15 +40,28 @@ UNITS = frozenset(
 FACTOR = 0x100000001B3
 
 
-def name_words(texts: list[str]) -> frozenset[str]:
-    """Words that the items write with a capital inside sentences in languages that don't capitalise nouns."""
-    found = set()
-    for text in texts:
-        inner = [m.group() for m in re.finditer(r"(?<=[a-z,] )[A-Z][a-z]+", text)]
-        words = WORD.findall(text)
-        if words and len(inner) < 0.06 * len(words):
-            found |= {w.lower() for w in inner}
-    return frozenset(found)
+SPREAD = 16
+INNER = regex.compile(r"[\p{Ll},] (\p{Lu}\p{L}*\p{Ll}(?: \p{Lu}\p{L}*\p{Ll})*)")
+
+
+def name_words(text: str) -> set[str]:
+    """Words that a text writes with a capital inside sentences, in any script with case; none where nouns have capitals."""
+    inner = [w for run in INNER.findall(text) for w in run.split(" ")]
+    words = WORD.findall(text)
+    return {w.lower() for w in inner} if len(inner) < 0.12 * len(words) else set()
+
+
+def names_of(items: DataFrame, most_names: int) -> frozenset[str]:
+    """The names of all items."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"name": sorted(set().union(*(name_words(t) for t in frame["text"])))}, dtype=object)
+
+    found = items.select("text").mapInPandas(run, "name string").distinct().limit(most_names + 1).collect()
+    if len(found) > most_names:
+        raise ValueError("the items use more names than most_names")
+    return frozenset(r.name for r in found)
 
 
 def template(word: str, names: frozenset[str]) -> str:
@@ -67,7 +83,7 @@ def rolling(h: np.ndarray, width: int = WINDOW) -> np.ndarray:
 
 
 def windows_of(texts: list[str], names: frozenset[str]) -> tuple[np.ndarray, ...]:
-    """Windows of many texts at once: (text no., word no., place in the batch, template hash, exact hash, hash of each word, slot of each word).
+    """Windows of many texts at once: (text no., word no., place in the batch, template hash, hash of each word, slot of each word).
 
     Different words are hashed and canonicalised once; windows that reach over the end of a text are dropped.
     """
@@ -78,7 +94,7 @@ def windows_of(texts: list[str], names: frozenset[str]) -> tuple[np.ndarray, ...
         sizes.append(len(found))
     if len(words) < WINDOW:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), none.astype(bool)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool)
     codes, different = pd.factorize(np.array(words, object))
     plain = [template(w, names) for w in different]
     exact = pd.util.hash_array(np.array(different, object), categorize=False)[codes]
@@ -86,31 +102,31 @@ def windows_of(texts: list[str], names: frozenset[str]) -> tuple[np.ndarray, ...
     slot = np.array([p[0] == "<" for p in plain])[codes]
     owner = np.repeat(np.arange(len(texts)), sizes)
     number = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    shape, same = rolling(shaped), rolling(exact)
+    shape = rolling(shaped)
     whole = owner[: len(shape)] == owner[WINDOW - 1 :]
     at = np.flatnonzero(whole)
-    return owner[at], number[at], at, shape[at], same[at], exact, slot
+    return owner[at], number[at], at, shape[at], exact, slot
 
 
-WINDOW_SCHEMA = "id {kind}, pos int, shape bigint, exact bigint, slots array<bigint>"
+WINDOW_SCHEMA = "id {kind}, pos int, shape bigint, slots array<bigint>"
 
 
 def emit(names: frozenset[str], wanted: np.ndarray | None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            owner, number, begin, shape, exact, word, slot = windows_of(frame["text"].tolist(), names)
+            owner, number, begin, shape, word, slot = windows_of(frame["text"].tolist(), names)
             if wanted is None or not len(shape):
                 hit = np.arange(len(shape))
             else:
                 place = np.searchsorted(wanted, shape)
                 hit = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == shape) if len(wanted) else np.zeros(0, np.int64)
             slots = pd.Series([word[i : i + WINDOW][slot[i : i + WINDOW]].view(np.int64).tolist() for i in begin[hit]], dtype=object)
-            yield pd.DataFrame({"id": frame["id"].to_numpy()[owner[hit]], "pos": number[hit].astype(np.int32), "shape": shape[hit].view(np.int64), "exact": exact[hit].view(np.int64), "slots": slots})
+            yield pd.DataFrame({"id": frame["id"].to_numpy()[owner[hit]], "pos": number[hit].astype(np.int32), "shape": shape[hit].view(np.int64), "slots": slots})
 
     return run
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", most_hashes: int = 2_000_000, most_items: int = 100_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", most_windows: int = 500_000, most_names: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, kind, windows, doc_word_start, item_word_start) of every leaked passage.
 
     ``kind`` is ``exact`` (twelve or more consecutive words of the item) or ``reparameterised``
@@ -119,14 +135,18 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     """
     docs = spread(documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null"))
     held = items.select(F.col(item_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").distinct()
-    sample = held.select("text").limit(most_items).toPandas()["text"].tolist()  # the names' lexicon; bounded by most_items
-    names = name_words(sample)
+    names = names_of(held, most_names)
     item_kind, doc_kind = held.schema["id"].dataType.simpleString(), docs.schema["id"].dataType.simpleString()
-    item_windows = held.mapInPandas(emit(names, None), WINDOW_SCHEMA.format(kind=item_kind)).toDF("item_id", "item_pos", "shape", "item_exact", "item_slots")
-    shapes = [r[0] for r in item_windows.select("shape").distinct().limit(most_hashes + 1).collect()]
-    wanted = np.sort(np.array(shapes, np.int64).view(np.uint64)) if len(shapes) <= most_hashes else None
-    doc_windows = docs.mapInPandas(emit(names, wanted), WINDOW_SCHEMA.format(kind=doc_kind)).toDF("doc_id", "doc_pos", "shape", "doc_exact", "doc_slots")
-    met = doc_windows.join(F.broadcast(item_windows) if wanted is not None else item_windows, "shape").withColumn("same", F.col("doc_exact") == F.col("item_exact"))
+    item_windows = cut(held.mapInPandas(emit(names, None), WINDOW_SCHEMA.format(kind=item_kind)).toDF("item_id", "item_pos", "shape", "item_slots"))
+    few = item_windows.count() <= most_windows
+    wanted = np.sort(np.array([r[0] for r in item_windows.select("shape").distinct().collect()], np.int64).view(np.uint64)) if few else None
+    doc_windows = docs.mapInPandas(emit(names, wanted), WINDOW_SCHEMA.format(kind=doc_kind)).toDF("doc_id", "doc_pos", "shape", "doc_slots")
+    if few:
+        met = doc_windows.join(F.broadcast(item_windows), "shape")
+    else:
+        places = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+        met = doc_windows.withColumn("place", F.pmod(F.xxhash64("doc_id", "doc_pos"), F.lit(SPREAD)).cast("int")).join(item_windows.withColumn("place", places), ["shape", "place"])
+    met = met.withColumn("same", F.col("doc_slots") == F.col("item_slots"))
     # slot consistency on one alignment: as many pairs as values on either side, over the item's length
     aligned = met.groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift")).agg(
         F.count("*").alias("windows"),

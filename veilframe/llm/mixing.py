@@ -6,8 +6,9 @@ using a pattern's tokens for the k-th time costs k - 1, so repetition is spread
 documents serve.  The flow is solved on the driver over patterns and sources only; documents
 are then selected by position on a seeded line of each pattern, computed with bucketed prefix sums.
 
-Bounds: the driver sees one row per pattern (``most_patterns``, checked) and per source; the line
-of a pattern is cut into ``buckets`` buckets, so no window holds more than a bucket of a pattern.
+Bounds: the driver sees one row per pattern and per source (``most_patterns``, more raise an error); the line
+of a pattern is cut into ``buckets`` buckets, more for patterns of many documents, so no window holds more than a
+bucket of a pattern. The only window over everything is that over the report, a row per source.
 
 Defined results: documents without text, or whose sources have no target, are not used; a source without
 documents gets nothing and is reported as not met; a null share or cap counts as 0; copies count
@@ -18,7 +19,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -106,14 +108,36 @@ def min_cost_flow(capacity: dict[str, int], members: dict[str, list[str]], repea
     return {k: edges[e ^ 1][1] for k, e in arcs.items() if edges[e ^ 1][1] > 0}
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, tokenizer: str | None = None, buckets: int = BUCKETS, most_patterns: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def largest_total(total: int, least: float, shares: dict[str, float], feasible: Callable[[dict[str, int]], bool]) -> int:
+    """The largest total, not under ``least`` of the wanted one, of which every source can give its share; found by bisection to a thousandth."""
+    quota = lambda t: {s: round(share * t) for s, share in shares.items()}
+    if feasible(quota(total)):
+        return total
+    low, high = int(total * least), total
+    if not feasible(quota(low)):
+        return total if least <= 0 else low
+    while high - low > max(1, total // 1000):
+        middle = (low + high) // 2
+        low, high = (middle, high) if feasible(quota(middle)) else (low, middle)
+    return low
+
+
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, tokenizer: str | None = None, buckets: int = BUCKETS, most_patterns: int = 20_000, least_total: float = 0.5, tolerance: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """(selection, shares).
 
-    selection: doc_id, source, repeats, n_tokens; shares: source, target_share, tokens, actual_share, documents,
-    repeats_used, target_tokens, met.  ``total_tokens`` defaults to the tokens of all usable documents.
+    selection: doc_id, source, repeats, n_tokens; shares: source, target_share, target_tokens, tokens, actual_share,
+    documents, repeats_used, max_repeats, met.  ``total_tokens`` defaults to the tokens of all usable documents.
+
+    Where sources are too small for their share of the total at their cap, the total is made smaller, down to
+    ``least_total`` of it, until the shares hold; sources that are still too small give all that their cap allows. Target shares of
+    sources without any document can't be met; the others then divide the mix in proportion. ``met`` says whether the
+    reached part lies within ``tolerance`` of the target share.
     """
     spark = documents.sparkSession
-    wanted = [(r.source, float(r.share or 0), int(r.repeats or 0)) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).orderBy("source").limit(most_patterns).collect()]
+    listed = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).orderBy("source").limit(most_patterns + 1).collect()
+    if len(listed) > most_patterns:
+        raise ValueError("more sources than most_patterns")
+    wanted = [(r.source, float(r.share or 0), int(r.repeats or 0)) for r in listed]
     repeats = {s: n for s, _, n in wanted}
     text_key = F.sha2(F.encode("text", "UTF-8"), 256)
     rows = documents.where("text is not null and doc_id is not null").select("doc_id", "source", text_key.alias("key"), "text")
@@ -122,14 +146,21 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     # one text per key for the tokenizer, picked without moving texts twice
     first = by_key(rows.join(patterns.select("key", "doc_id"), ["key", "doc_id"], "left_semi").select("key", "text"), "key").dropDuplicates(["key"])
     sizes = first.mapInPandas(count_tokens(tokenizer or tokenizer_path()), "key string, n_tokens bigint")
-    units = cut(patterns.join(sizes, "key").where("n_tokens > 0").select("doc_id", F.concat_ws("|", "sources").alias("pattern"), "n_tokens", F.xxhash64(F.lit(seed), "key").alias("turn"), F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(buckets)).alias("bucket")))
-    held = units.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).limit(most_patterns + 1).collect()
+    units = cut(patterns.join(sizes, "key").where("n_tokens > 0").select("doc_id", F.to_json("sources").alias("pattern"), "n_tokens", F.xxhash64(F.lit(seed), "key").alias("turn")))
+    held = units.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("documents")).limit(most_patterns + 1).collect()
     if len(held) > most_patterns:
         raise ValueError("more membership patterns than most_patterns")
     capacity = {r.pattern: int(r.n) for r in sorted(held)}
+    buckets = max(buckets, max((r.documents for r in held), default=0) // 200_000)
+    units = units.withColumn("bucket", F.pmod("turn", F.lit(buckets)))
+    members = {p: json.loads(p) for p in capacity}
     total = int(sum(capacity.values()) if total_tokens is None else total_tokens)
-    quota = {s: round(share * total) for s, share, _ in wanted}
-    members = {p: p.split("|") for p in capacity}
+    there = {s for m in members.values() for s in m if repeats[s] > 0}
+    asked = sum(share for s, share, _ in wanted if s in there)
+    parts = {s: share / asked for s, share, _ in wanted if s in there and share > 0} if asked > 0 else {}
+    full = lambda quota: sum(min_cost_flow(capacity, members, repeats, {**dict.fromkeys(repeats, 0), **quota}).values()) >= sum(quota.values())
+    total = largest_total(total, least_total, parts, full)
+    quota = {s: round(parts.get(s, 0.0) * total) for s, _, _ in wanted}
     flow = min_cost_flow(capacity, members, repeats, quota)
     # every source takes an interval of the pattern's line; the line goes over all its documents again and again
     intervals, start = [], dict.fromkeys(capacity, 0)
@@ -145,11 +176,12 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     lowest = F.greatest(F.ceil((F.col("low") - F.col("place")) / F.col("round")), F.lit(0))
     uses = (F.ceil((F.col("high") - F.col("place")) / F.col("round")) - lowest).cast("int")
     selection = placed.join(F.broadcast(lines) if len(intervals) <= most_patterns else lines, "pattern").withColumn("repeats", uses).where("repeats > 0").select("doc_id", "source", "repeats", "n_tokens")
-    wish = spark.createDataFrame([(s, share, n, quota[s]) for s, share, n in wanted], "source string, target_share double, max_repeats int, target_tokens bigint")
+    wish = spark.createDataFrame([(s, share, n, round(share * total)) for s, share, n in wanted], "source string, target_share double, max_repeats int, target_tokens bigint")
     used = selection.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("repeats_used"))
     report = wish.join(used, "source", "left").fillna({"tokens": 0, "documents": 0, "repeats_used": 0})
+    share = F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0)
     shares = report.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy(F.lit(1)))).select(
-        "source", "target_share", "target_tokens", "tokens", F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0).alias("actual_share"), "documents", "repeats_used", "max_repeats",
-        (F.abs(F.col("tokens") - F.col("target_tokens")) <= F.greatest(F.lit(2000.0), F.col("target_tokens") * 0.02)).alias("met"),
+        "source", "target_share", "target_tokens", "tokens", share.alias("actual_share"), "documents", "repeats_used", "max_repeats",
+        (F.abs(share - F.col("target_share")) <= F.greatest(F.col("target_share") * tolerance, F.lit(2000.0) / F.greatest("all_tokens", F.lit(1)))).alias("met"),
     )
     return selection, shares
