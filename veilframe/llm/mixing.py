@@ -131,7 +131,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     Where sources are too small for their share of the total at their cap, the total is made smaller, down to
     ``least_total`` of it, until the shares hold; sources that are still too small give all that their cap allows. Target shares of
     sources without any document can't be met; the others then divide the mix in proportion. ``met`` says whether the
-    reached part lies within ``tolerance`` of the target share.
+    reached part lies within ``tolerance`` of the target share, or nearer to it than the longest document's part.
     """
     spark = documents.sparkSession
     listed = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).orderBy("source").limit(most_patterns + 1).collect()
@@ -147,12 +147,13 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     first = by_key(rows.join(patterns.select("key", "doc_id"), ["key", "doc_id"], "left_semi").select("key", "text"), "key").dropDuplicates(["key"])
     sizes = first.mapInPandas(count_tokens(tokenizer or tokenizer_path()), "key string, n_tokens bigint")
     units = cut(patterns.join(sizes, "key").where("n_tokens > 0").select("doc_id", F.to_json("sources").alias("pattern"), "n_tokens", F.xxhash64(F.lit(seed), "key").alias("turn")))
-    held = units.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("documents")).limit(most_patterns + 1).collect()
+    held = units.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("documents"), F.max("n_tokens").alias("longest")).limit(most_patterns + 1).collect()
     if len(held) > most_patterns:
         raise ValueError("more membership patterns than most_patterns")
     capacity = {r.pattern: int(r.n) for r in sorted(held)}
     buckets = max(buckets, max((r.documents for r in held), default=0) // 200_000)
     units = units.withColumn("bucket", F.pmod("turn", F.lit(buckets)))
+    longest = max((r.longest for r in held), default=0)
     members = {p: json.loads(p) for p in capacity}
     total = int(sum(capacity.values()) if total_tokens is None else total_tokens)
     there = {s for m in members.values() for s in m if repeats[s] > 0}
@@ -182,6 +183,6 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     share = F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0)
     shares = report.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy(F.lit(1)))).select(
         "source", "target_share", "target_tokens", "tokens", share.alias("actual_share"), "documents", "repeats_used", "max_repeats",
-        (F.abs(share - F.col("target_share")) <= F.greatest(F.col("target_share") * tolerance, F.lit(2000.0) / F.greatest("all_tokens", F.lit(1)))).alias("met"),
+        (F.abs(share - F.col("target_share")) <= F.greatest(F.col("target_share") * tolerance, F.lit(float(longest)) / F.greatest("all_tokens", F.lit(1)))).alias("met"),
     )
     return selection, shares
