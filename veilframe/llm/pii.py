@@ -179,6 +179,7 @@ LABELS = r"(?:姓名|氏名|名前|联系人|聯絡人|担当者?|이름|성명|
 TITLES = r"(?:السيدة|السيد|الأستاذة|الأستاذ|الدكتورة|الدكتور|מר|גב'|ד\"ר|श्रीमती|श्री|डॉ\.?|นางสาว|นาย|นาง|คุณ|г-н|г-жа|κ\.|κα)"
 CUED = re.compile(rf"(?:({LABELS})|({TITLES}) ?)$")
 ANY_CUE = re.compile(f"{LABELS}|{TITLES}")
+HAN_CUE = re.compile("[名者当人][：:]|先生|女士|小姐|さん|様|氏")
 CUED_SCRIPTS = ("arabic", "hebrew", "devanagari", "thai")  # without case, a name is told by what stands before it
 HONOURED = r"(?= ?(?:先生|女士|小姐|さん|様|氏(?!名)|씨|님))"
 OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0400-\u04ff\u0590-\u05ff\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3]")
@@ -235,6 +236,9 @@ def overlapping(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
 CLUSTER = re.compile(r"\d(?:[ .\-/()]{0,3}\d){6,}")
 LETTERED = ("codice", "nino", "curp", "hkid", "ramq")  # schemes with fewer than seven digits in a row
 MARGIN = 16
+#: Whether any scheme's shape stands in a stretch, before the schemes are tried one by one.
+ANY_NUMBER = re.compile(EDGE_L + "(?:" + "|".join(dict.fromkeys(re.sub(r"\([- .]+\)|\(\[- \.\]\)", "[- .]", shape).replace(r"\1", "[- .]") for name, shape, *_ in SCHEMES if name not in LETTERED)) + ")" + EDGE_R)
+ANY_LETTERED = re.compile(EDGE_L + "(?:" + "|".join(shape for name, shape, *_ in SCHEMES if name in LETTERED) + ")" + EDGE_R)
 #: Parts of road names, one of which an address of that writing has; the shapes spell them out.
 ROAD_PARTS = {
     "de": "straße strasse str. weg gasse allee stieg steig platz ufer damm ring pfad".split(),
@@ -304,8 +308,14 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
             add("email", m.start(), m.end(), ["style=" + style])
     if any(c.isdigit() for c in text):
         places = clusters(text)
+        numbered = [(a, b) for a, b in places if ANY_NUMBER.search(text, a, b)]
+        lettered = ANY_LETTERED.search(text) is not None
         for name, shape, check, cue in SCHEME_SHAPES:
-            for m in shape.finditer(text) if name in LETTERED else (m for a, b in places for m in shape.finditer(text, a, b)):
+            if name in LETTERED:
+                matches = shape.finditer(text) if lettered else ()
+            else:
+                matches = (m for a, b in numbered for m in shape.finditer(text, a, b))
+            for m in matches:
                 if check(m.group()):
                     before = text[max(0, m.start() - 40) : m.start()]
                     own = bool(cue.search(before))
@@ -325,7 +335,7 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
                 add("phone", m.start(), m.end(), ["shape=" + name, "form=" + form, "n=" + str(n), "named=" + named, f"inside,named={inside},{named}", f"inside={inside}"])
         low = text.lower()
         for name, shape in ADDRESSES:
-            if name in ROAD_PARTS and not any(x in low for x in ROAD_PARTS[name]):
+            if name in ROAD_PARTS and not [x for x in ROAD_PARTS[name] if x in low]:
                 continue
             for m in overlapping(shape, text):
                 a, b = m.span()
@@ -363,7 +373,7 @@ def other_scripts(text: str, add: Callable[[str, int, int, list[str]], None]) ->
         for m in shape.finditer(text) if ADDRESS_SCRIPT[name] in there else ():
             add("street_address", m.start(), m.end(), ["shape=" + name, "native"])
     for script, shape in OTHER_NAMES:
-        for m in shape.finditer(text) if script in there and (script not in CUED_SCRIPTS or ANY_CUE.search(text)) else ():
+        for m in shape.finditer(text) if script in there and (script not in CUED_SCRIPTS or ANY_CUE.search(text)) and (script != "han" or HAN_CUE.search(text)) else ():
             a, b = m.span()
             words = m.group().split(" ")
             cue = CUED.search(text[max(0, a - 16) : a])
