@@ -22,6 +22,16 @@ def test_cuts_at_pauses():
     assert len(C.pieces_of("x" * 200, 50, 10)) == 5
 
 
+def test_sections_are_kept_apart():
+    first = "# Title\n\n" + "one two three. " * 40 + "\n\n"
+    second = "# Second\n\n" + "four five six. " * 40 + "\n\n"
+    third = "-----\n" + "seven eight. " * 40
+    text = first + second + third
+    cuts = C.pieces_of(text, 700, 0)
+    assert [text[a:b] for a, b, _ in cuts] == [first, second + "-----\n", third[6:]]
+    assert list(C.parts(text, 700)) == [first, second + "-----\n", third[6:]]
+
+
 def test_limits_and_edges(spark):
     long = "word " * 600
     rows = [(1, long, "small", 9), (1, long, "small", 9), (2, long, None, 9), (3, None, "small", 9), (4, "", "small", 9), (5, long, "gone", 9), (6, long, "wide", 9), (7, "é" * 600, "tiny", 9)]

@@ -2,8 +2,8 @@ import pyarrow as pa
 
 from veilframe.llm import lookalike as K
 
-SAME = [("café", "café"), ("ＡＢＣ　１", "ABC 1"), ("ﬁle", "file"), ("a​b­c", "abc"), ("a b", "a b"), ("раураl", "paypal"), ("ｶﾞ", "ガ"), ("е́", "é"), ("Ⅳ", "IV")]
-APART = [("a", "A"), ("e", "é"), ("2", "²"), ("1", "l"), ("a b", "ab"), ("10", "11"), ("O", "0")]
+SAME = [("café", "café"), ("ＡＢＣ　１", "ABC 1"), ("ﬁle", "file"), ("a​b­c", "abc"), ("a b", "a b"), ("раураl", "paypal"), ("ｶﾞ", "ガ"), ("е́", "é"), ("Ⅳ", "IV"), ("Gerӓt", "Gerät"), ("а\u0308", "ä"), ("𝐀𝐁", "AB"), ("𝚊", "a"), ("ℌ", "H"), ("㎏", "kg"), ("Ꮪꓢ", "SS"), ("ά", "á"), ("⼀", "一")]
+APART = [("a", "A"), ("e", "é"), ("2", "²"), ("1", "l"), ("a b", "ab"), ("10", "11"), ("O", "0"), ("①", "1"), ("½", "1/2"), ("ſ", "s"), ("й", "и")]
 
 
 def forms(*texts):
@@ -34,6 +34,13 @@ def test_pairs_against_brute_force(spark):
     assert K.same_look_pairs(df.limit(0), "rid").count() == 0
 
 
+def test_hot_looks_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(K, "COPIES", 3)
+    rows = [(i, "same look" + "\u200b" * (i % 9), "ab"[i % 2]) for i in range(60)]
+    got = {(r.origin, r.id_a, r.id_b) for r in K.same_look_pairs(spark.createDataFrame(rows, "rid int, text string, origin string"), "rid", origin="origin").collect()}
+    assert got == {(o, a, b) for a, x, o in rows for b, y, p in rows if a < b and x != y and o == p}
+
+
 def test_extra_columns_keep(spark):
     df = spark.createDataFrame([(1, "ＡＢ", "old")], "rid int, text string, uniform_text string")
     assert [tuple(r) for r in K.with_form(df).collect()] == [(1, "ＡＢ", "AB")]

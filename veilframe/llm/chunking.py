@@ -1,7 +1,7 @@
 """Cutting oversized texts at natural boundaries: a recursive hierarchy of separators, packed greedily.
 
-A text is split into sections (blank lines), those that are too large into lines, sentences, words
-and at last characters; the parts are packed greedily into pieces that fit the limit in UTF-8
+A text is split into sections (headings, rules, form feeds), those that are too large into paragraphs, lines, sentences,
+words and at last characters; the parts are packed greedily into pieces that fit the limit in UTF-8
 bytes.  Every piece but the first begins with the last bytes of the piece before it, cut at
 a character and, where the overlap holds one, at the beginning of a word.
 
@@ -26,6 +26,8 @@ LEAST_LIMIT, DEFAULT_LIMIT = 1024, 4096
 
 #: Places after which a text may be cut, from the strongest to the weakest.
 SEPARATORS = [
+    # sections: before a heading (numbered, marked, or in capitals on a line of its own), behind a rule or form feed
+    re.compile(r"\f+|(?:^[ \t]*(?:[-=*_][ \t]*){3,}\r?\n)+|(?=^#{1,6}[ \t]\S)|(?=^(?:Chapter|Section|Kapitel|Abschnitt|Chapitre|Capítulo|Глава|第)[ ]?[\dIVXLC一二三四五六七八九十]+)|(?=^\d{1,2}(?:\.\d{1,2})*\.?[ \t]+\S[^\n]{0,60}\r?\n[ \t]*\r?\n)", re.M),
     re.compile(r"(?:\r?\n[ \t]*){2,}"),
     re.compile(r"\r?\n"),
     re.compile(r"[.!?…][\"'”’»)\]]*\s+|[。！？؟।]+[」』”）]*\s*"),
@@ -45,7 +47,7 @@ def parts(text: str, limit: int, level: int = 0) -> Iterator[str]:
     if level < len(SEPARATORS):
         at = 0
         for m in SEPARATORS[level].finditer(text):
-            if m.end() > at:
+            if at < m.end() < len(text):
                 yield from parts(text[at : m.end()], limit, level + 1)
                 at = m.end()
         if at < len(text):

@@ -10,6 +10,7 @@ Defined results: a null text stays null, an empty text stays empty; texts are ta
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -19,15 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.session import by_key, cut
+from veilframe.session import by_key, cut, in_parts, spread_over, with_parts
+
+COPIES = 4096  # rows of one look or spelling in a part of a join
 
 # Letters that look like a letter of another script, by prototype.
 LOOK_ALIKE = {
-    "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ",
+    "a": "аα", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօⲟ", "p": "рρⲣ",
     "q": "ԛ", "s": "ѕ", "u": "υս", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уү", "k": "кκ",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "D": "Ꭰ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "L": "Ꮮ", "M": "МΜ",
-    "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "ΥҮ", "Z": "Ζ",
-    "ë": "ё", "Ë": "Ё", "ï": "ї", "Ï": "Ї", "è": "ѐ", "È": "Ѐ", "ó": "ό", "μ": "µ", "ß": "ꞵ", "Г": "Γ", "П": "Π", "Ф": "Φ", "ф": "ɸ",
+    "A": "АΑᎪꓮⲀ", "B": "ВΒᏴꓐⲂ", "C": "СϹᏟꓚⲤ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰⲈ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧⲎ", "I": "ІΙӀꓲⲒ", "J": "ЈͿᎫꓙ", "K": "КΚᏦꓗⲔ", "L": "Ꮮꓡ", "M": "МΜᎷꓟⲘ",
+    "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔⲦ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳꓪ", "X": "ХΧꓫⲬ", "Y": "ΥҮꓬⲨ", "Z": "ΖᏃꓜ",
+    "μ": "µ", "ß": "ꞵ", "Г": "Γ", "П": "Π", "Ф": "Φ", "ф": "ɸ",
 }
 # Characters without a look of their own.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-\U000e0fff"
@@ -35,40 +38,75 @@ INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-
 BLANKS = "               　"
 
 
+#: Kinds of compatibility forms that look like their plain characters: other widths, positions, fonts, blanks and squared words.
+SAME_LOOK = {"<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>", "<font>", "<square>", "<noBreak>"}
+
+
 @cache
-def tables() -> tuple[str, str, list[tuple[str, str]], str, str]:
-    """(width from, width to, ligatures, look-alike from, look-alike to), built by rule from the Unicode database."""
-    width, ligatures = {c: " " for c in BLANKS}, []
-    kinds = {"<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>"}
-    for code in [*range(0xFB00, 0xFB50), *range(0xFE70, 0xFF00), *range(0xFF01, 0xFFEF), *range(0x2160, 0x2180), 0x132, 0x133, 0x1C4, 0x1C5, 0x1C6, 0x1C7, 0x1C8, 0x1C9, 0x1CA, 0x1CB, 0x1CC]:
+def tables() -> tuple[str, str, list[tuple[str, str]], str, str, list[tuple[str, str]]]:
+    """(width from, width to, ligatures, look-alike from, look-alike to, look-alikes with marks of their own), by rule over all code points of the Unicode database."""
+    width, ligatures = dict.fromkeys(BLANKS, " "), []
+    alike = {x: k for k, v in LOOK_ALIKE.items() for x in v}
+    marked: list[tuple[str, str]] = []
+    for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         kind, *rest = unicodedata.decomposition(char).split() or [""]
-        if kind not in kinds | {"<compat>"}:
+        if not kind:
             continue
-        plain = unicodedata.normalize("NFKC", char)
-        if len(plain) == 1:
-            width[char] = plain
-        elif not plain.startswith(" "):
-            ligatures.append((char, plain))
+        if kind[0] == "<":
+            plain = unicodedata.normalize("NFKC", char)
+            # ligatures, numerals and radicals; signs and the long s have looks of their own
+            spelled = kind == "<compat>" and plain.isalpha() and plain.upper() != "S" and unicodedata.category(char)[0] in "LN"
+            spelled |= 0x2E80 <= code < 0x2FE0
+            if kind not in SAME_LOOK and not spelled or plain == char:
+                continue
+            if len(plain) == 1:
+                width[char] = plain
+            elif not plain.startswith(" "):
+                ligatures.append((char, plain))
+        else:  # a letter with marks whose base has a prototype
+            base, *marks = unicodedata.normalize("NFD", char)
+            if base in alike and marks and char not in alike:
+                plain = unicodedata.normalize("NFC", alike[base] + "".join(marks))
+                if len(plain) == 1:
+                    alike[char] = plain
+                else:
+                    marked.append((char, plain))
     width["ﾞ"], width["ﾟ"] = "゙", "゚"  # the half-width voice marks compose with what is before them
-    alike = {x: k for k, v in LOOK_ALIKE.items() for x in v}
-    return "".join(width), "".join(width.values()), ligatures, "".join(alike), "".join(alike.values())
+    return "".join(width), "".join(width.values()), ligatures, "".join(alike), "".join(alike.values()), marked
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def replaced(column: str, pairs: list[tuple[str, str]]) -> str:
+    """SQL that spells out single characters, only in texts that have one."""
+    for_all = column
+    for x, y in pairs:
+        for_all = f"replace({for_all}, {quoted(x)}, {quoted(y)})"
+    return f"case when regexp_matches({column}, '[{''.join(x for x, _ in pairs)}]') then {for_all} else {column} end"
+
+
+def translated(column: str, source: str, target: str) -> str:
+    """SQL that maps characters, only in texts that have one."""
+    return f"case when regexp_matches({column}, '[{source}]') then translate({column}, {quoted(source)}, {quoted(target)}) else {column} end"
 
 
 @cache
 def statement() -> str:
-    """The embedded SQL; its input is the view ``batch`` with a column ``t``."""
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    width_from, width_to, ligatures, alike_from, alike_to = tables()
-    spelled = f"regexp_replace(t, '[{INVISIBLE}]', '', 'g')"
-    any_ligature = "[" + "".join(x for x, _ in ligatures) + "]"
-    chain = "s"
-    for x, y in ligatures:
-        chain = f"replace({chain}, {quoted(x)}, {quoted(y)})"
-    return (
-        f"select nfc_normalize(translate(nfc_normalize(translate(case when regexp_matches(s, '{any_ligature}') then {chain} else s end, {quoted(width_from)}, {quoted(width_to)})), "
-        f"{quoted(alike_from)}, {quoted(alike_to)})) as form from (select rowid as i, {spelled} as s from batch) order by i"
-    )
+    """The embedded SQL; its input is the table ``batch`` with a column ``t``."""
+    width_from, width_to, ligatures, alike_from, alike_to, marked = tables()
+    common = [(x, y) for x, y in ligatures if ord(x) < 0xFB50]
+    rare = [(x, y) for x, y in ligatures if ord(x) >= 0xFB50]
+    steps = [
+        f"regexp_replace(t, '[{INVISIBLE}]', '', 'g')", replaced("t", common), *(replaced("t", rare[i : i + 300]) for i in range(0, len(rare), 300)), translated("t", width_from, width_to), "nfc_normalize(t)",
+        translated("t", alike_from, alike_to), *([replaced("t", marked)] if marked else []), "nfc_normalize(t)",
+    ]
+    inner = "select rowid as i, t from batch"
+    for step in steps:
+        inner = f"select i, {step} as t from ({inner})"
+    return f"select t as form from ({inner}) order by i"
 
 
 def uniform(texts: pa.Array) -> pa.Array:
@@ -98,21 +136,32 @@ def with_form(df: DataFrame, text: str = "text", form: str = "uniform_text") ->
     return plain.mapInArrow(mapped, schema).toDF(*[f.name for f in kept], form)
 
 
-def same_look_pairs(records: DataFrame, record_id: str, text: str = "text") -> DataFrame:
+def same_look_pairs(records: DataFrame, record_id: str, text: str = "text", origin: str | None = None) -> DataFrame:
     """Pairs (id_a, id_b), smaller id first, of records that look the same but differ in characters.
 
     Exact copies are collapsed before texts are mapped or compared: pairs are made between
     the different spellings of one look, and only then spread to the ids of each spelling.
-    A record without text has no pair.
+    A record without text has no pair. With ``origin``, a column, only records of the same origin are paired, in one pass over
+    all of them, and the result has the column. The result lists every pair; ``with_form`` is the form for large groups of
+    one look, whose rows are cut into parts here on both sides of each join.
     """
-    rows = records.select(F.col(record_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    spelling: Column = F.sha2(F.encode("text", "UTF-8"), 256)
-    members = rows.select("id", spelling.alias("spelling")).distinct()
-    forms = with_form(by_key(rows.select("text"), "text").distinct(), "text").select(spelling.alias("spelling"), F.sha2("uniform_text", 256).alias("look"))
-    forms = cut(forms)  # hashes only; read three times below
+    of = F.lit("") if origin is None else F.col(origin)
+    rows = records.select(of.alias("origin"), F.col(record_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
+    spelling: Column = F.unhex(F.substring(F.sha2(F.encode("text", "UTF-8"), 256), 1, 32))
+    members = rows.select("origin", "id", spelling.alias("spelling")).distinct()
+    distinct = by_key(rows.select("text"), "text").distinct()
+    forms = with_form(distinct, "text").select(spelling.alias("spelling"), F.unhex(F.substring(F.sha2("uniform_text", 256), 1, 32)).alias("look"))
+    forms = cut(forms)  # hashes only
     several = forms.groupBy("look").count().where("count > 1").select("look")
-    forms = forms.join(several, "look")
-    other = forms.select("look", F.col("spelling").alias("spelling_b"))
-    pairs = forms.withColumnRenamed("spelling", "spelling_a").join(other, "look").where("spelling_a < spelling_b").select("spelling_a", "spelling_b")
-    left, right = members.select(F.col("spelling").alias("spelling_a"), F.col("id").alias("x")), members.select(F.col("spelling").alias("spelling_b"), F.col("id").alias("y"))
-    return pairs.join(left, "spelling_a").join(right, "spelling_b").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    sized = cut(with_parts(forms.join(several, "look", "left_semi"), ["look"], COPIES, ["spelling"]))
+    other = in_parts(sized).select("look", "part", F.col("spelling").alias("b"))
+    pairs = spread_over(sized, ["spelling"]).select("look", "part", F.col("spelling").alias("a")).join(other, ["look", "part"]).where("a < b").select("a", "b")
+    held = cut(with_parts(members.join(sized.select("spelling"), "spelling", "left_semi"), ["origin", "spelling"], COPIES, ["id"]))
+    parts = held.groupBy("origin", "spelling").agg(F.max("parts").alias("parts"))
+    placed = spread_over(held, ["id"])
+    for key, id_, part in (("a", "x", "part_a"), ("b", "y", "part_b")):
+        on = [key] if key == "a" else ["origin", key]
+        pairs = in_parts(pairs.join(parts.withColumnRenamed("spelling", key), on), "parts", part).drop("parts")
+        pairs = pairs.join(placed.select("origin", F.col("spelling").alias(key), F.col("part").alias(part), F.col("id").alias(id_)), ["origin", key, part])
+    found = pairs.where("x <> y").select("origin", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    return found.drop("origin") if origin is None else found.withColumnRenamed("origin", origin)

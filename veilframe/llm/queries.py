@@ -30,14 +30,27 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumnRenamed("id", "extraction_id")
 
 
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again from their pieces, and whether every piece fits its limit and repeats at most half of it."""
+    made = p2_pieces(spark, sf_dir)
+    fresh = F.expr("substring(piece, overlap_chars + 1)")
+    repeated = F.octet_length(F.expr("substring(piece, 1, overlap_chars)"))
+    sound = (F.octet_length("piece") <= F.col("limit_bytes")) & (repeated * 2 <= F.col("limit_bytes")) & (F.col("pieces") > F.col("piece_no"))
+    whole = made.groupBy("extraction_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("fresh")))).alias("p"), F.every(sound).alias("sound"))
+    return whole.select("extraction_id", F.array_join(F.col("p.fresh"), "").alias("text"), "sound")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [table(spark, sf_dir, name).select(F.lit(name).alias("origin"), F.col(record_id).alias("record_id"), "text") for name, record_id in (("extractions", "extraction_id"), ("scan_results", "result_id"))]
+    return both[0].union(both[1])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = [lookalike.same_look_pairs(table(spark, sf_dir, name), record_id).select(F.lit(name).alias("origin"), "id_a", "id_b") for name, record_id in (("extractions", "extraction_id"), ("scan_results", "result_id"))]
-    return pairs[0].union(pairs[1])
+    return lookalike.same_look_pairs(_records(spark, sf_dir), "record_id", origin="origin").select("origin", "id_a", "id_b")
 
 
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = [lookalike.with_form(table(spark, sf_dir, name).select(F.lit(name).alias("origin"), F.col(record_id).alias("record_id"), "text").distinct()).select("origin", "record_id", "uniform_text") for name, record_id in (("extractions", "extraction_id"), ("scan_results", "result_id"))]
-    return forms[0].union(forms[1])
+    return lookalike.with_form(_records(spark, sf_dir).distinct()).select("origin", "record_id", "uniform_text")
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +98,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_restored, p5_found, p5_forms, p6_found, p6_leaks, p7_mix, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p2_restored, p3_found, p3_redacted, p4_found, p4_restored, p5_found, p5_forms, p6_found, p6_leaks, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
