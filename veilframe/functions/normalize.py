@@ -21,7 +21,7 @@ from veilframe.functions.text import LEET_FROM, LEET_TO, SPACES, ZERO_WIDTH
 HOMOGLYPHS = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухΑΒΕΖΗΙΚΜΝΟΡΤΥΧοκνρɡԁһ", "ABESIJKMHOPCTYXaesijopcyxABEZHIKMNOPTYXokvpgdh")) | {chr(base + i): str(i) for base in (0x660, 0x6F0, 0x966, 0x9E6, 0xE50) for i in range(10)}
 SPACE_SET, ZERO_SET = set(SPACES), set(ZERO_WIDTH)
 
-Marked = tuple[str, list[int]]
+Marked = tuple[str, list[int] | None]  # places are left out where only the text is wanted
 
 
 def start(text: str) -> Marked:
@@ -35,6 +35,8 @@ def start(text: str) -> Marked:
 def rewrite(marked: Marked, pattern: re.Pattern, replace: Callable[[re.Match], str | None]) -> Marked:
     """Replace matches; the new characters take the first place of what they replace. None keeps a match."""
     text, places = marked
+    if places is None:
+        return pattern.sub(lambda m: m.group() if (put := replace(m)) is None else put, text), None
     out, new, last = [], [], 0
     for m in pattern.finditer(text):
         put = replace(m)
@@ -83,6 +85,7 @@ def padded(token: str, unit: int) -> str:
     return body + "=" * (-len(body) % unit)
 
 
+@lru_cache(maxsize=1 << 16)
 def unbase(token: str) -> str | None:
     """First codec whose result reads as text: base32 for upper-case tokens, base64, base64url, base32, hex, base32hex."""
     body = token.rstrip("=")
@@ -117,20 +120,24 @@ def plain_char(c: str) -> str:
     return " " if c in SPACE_SET else "".join(HOMOGLYPHS.get(x, x) for x in unicodedata.normalize("NFKC", c))
 
 
-def normalize(text: str) -> Marked:
+def normalize(text: str, places: bool = True) -> Marked:
     """(normalized text, original byte place of each of its characters)."""
-    marked = start(text)
+    marked = start(text) if places else (text, None)
     if not MARKERS.search(text):
         return marked
-    for _ in range(2):
-        marked = rewrite(marked, PERCENT, lambda m: printable(int(m.group(1), 16)))
-    marked = rewrite(marked, ENTITY, lambda m: chr(n) if 0 < (n := int(m.group(1), 16) if m.group(1) else int(m.group(2))) < 0xD800 else None)
-    marked = rewrite(marked, COMMENT, lambda m: "")
+    if "%" in text:
+        for _ in range(2):
+            marked = rewrite(marked, PERCENT, lambda m: printable(int(m.group(1), 16)))
+    if "&#" in marked[0]:
+        marked = rewrite(marked, ENTITY, lambda m: chr(n) if 0 < (n := int(m.group(1), 16) if m.group(1) else int(m.group(2))) < 0xD800 else None)
+    if "/*" in marked[0] or "<!" in marked[0]:
+        marked = rewrite(marked, COMMENT, lambda m: "")
     marked = rewrite(marked, HEX_SPACED, lambda m: s if (s := bytes.fromhex(m.group()).decode("latin-1")).isascii() and s.isprintable() and any(c.isalnum() for c in s) else None)
-    marked = rewrite(marked, HEX_ESCAPE, lambda m: printable(int(m.group(1), 16)))
+    if "\\x" in marked[0]:
+        marked = rewrite(marked, HEX_ESCAPE, lambda m: printable(int(m.group(1), 16)))
     for _ in range(3):
         decoded = rewrite(marked, ENCODED, lambda m: unbase(m.group()))
-        if decoded is marked:
+        if decoded[0] == marked[0]:
             break
         marked = decoded
     marked = rewrite(marked, PADDING, lambda m: "")
@@ -141,13 +148,13 @@ def normalize(text: str) -> Marked:
     side = lambda c: c.isdigit() or c.isupper()
     marked = rewrite(marked, BETWEEN, lambda m: "" if side(before[m.start() - 1]) or side(before[m.end()]) else None)
     if not marked[0].isascii():
-        text, places = marked
+        text, places = marked  # the places from here on
         changed = {c: p for c in set(text) if not c.isascii() and (p := plain_char(c)) != c}
         if all(len(p) == 1 for p in changed.values()):
             marked = text.translate({ord(c): p for c, p in changed.items()}) if changed else text, places
         else:
             put = [changed.get(c, c) for c in text]
-            marked = "".join(put), [p for x, p in zip(put, places) for _ in x]
+            marked = "".join(put), None if places is None else [p for x, p in zip(put, places) for _ in x]
     return marked
 
 

@@ -1,33 +1,37 @@
 """The scan: texts in, a relation of findings out.
 
-One Arrow stage normalizes each text, prunes the catalogue by keywords and emits validated matches
-with their original byte spans.  Everything behind it is JVM-side: gating, scoring, the alternative-reading rule, overlap resolution and list rules.
-
-Defined results: null, empty and oversized texts give no findings (``statuses`` tells which); spans are
-UTF-8 bytes of the original text; ties keep catalogue order, then order of occurrence.
+One Arrow stage does all the work of a text: it undoes obfuscation, finds keywords with an automaton, tries the
+expressions that can match, checks values, gates, scores and resolves overlaps, and emits findings only.
+Expressions of one unbroken run of letters and digits (most of the catalogue) are tried on the text's runs with a
+digit, chosen by length, instead of on the whole text. Nothing is shuffled, joined or collected.
+
+Defined results: null, empty and oversized texts give no findings (``statuses`` tells which); repeated rows are scanned
+each for itself; spans are UTF-8 bytes of the original text; ties keep catalogue order, then order of occurrence. Texts of
+which a bound of the configuration cut matches off are marked ``scan_truncated`` by ``scan_documents``.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from re._parser import parse as sre_parse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.catalog.patterns import Pattern, catalogue
 from veilframe.functions import scoring, text
-from veilframe.functions.checks import passes
+from veilframe.functions.checks import CHECKS
 from veilframe.functions.normalize import alternatives, normalize
 from veilframe.session import spread
 
 MOST_BYTES = 10 * 1024 * 1024
-PER_PATTERN = 10_000
+LONGEST = 200  # of a run of letters and digits; expressions without an upper end are tried up to it by length
 
 
 @dataclass(frozen=True)
@@ -39,8 +43,12 @@ class ScanConfig:
     min_confidence: float = 0.0
     baseline_only: bool = False
     disabled: frozenset[tuple[str, str]] = frozenset()
-    unique_limits: dict[str, int] = field(default_factory=dict)
     patterns: tuple[Pattern, ...] | None = None
+    per_pattern: int = 10_000  # matches of an expression in a text
+    most_bytes: int = MOST_BYTES
+    alternative_bytes: int = 4096  # longer texts have no other readings
+    ignore_marker: str = ""  # findings on a line with it are left out
+    validators: tuple[tuple[str, Callable[[str, str], bool]], ...] = ()  # (name, function of sub-category and text): all must hold
 
     def active(self) -> tuple[Pattern, ...]:
         """The catalogue pruned by category and baseline, on the driver, before anything runs."""
@@ -83,11 +91,12 @@ class Keywords:
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Fixed strings without which an expression cannot match, looked for in the lower-cased text.
+#: Fixed strings, one of which (between bars) every match has, looked for in the lower-cased text.
 NEEDS = {
+    "Masked PAN": "**|xx|*x|x*", "Track 1 Data": "%b", "Generic Secret Assignment": "secret|password|passwd|pwd|token", "IPv4 Address": ".", "MICR Line": "⑆|⑇|⑈|⑉", "Hong Kong ID": "(|0|1|2|3|4|5|6|7|8|9",
     "Email Address": "@", "E.164 Phone Number": "+", "IPv6 Address": ":", "MAC Address": ":", "Bearer Token": "bearer", "JWT Token": "eyj", "Private Key": "-----begin", "Generic API Key": "api", "Database Connection String": "://",
     "Ethereum Address": "0x", "Bitcoin Address (Bech32)": "bc1", "URL with Password": "://", "URL with Token": "://", "GPS Coordinates": ",", "AWS Access Key": "ia", "Google API Key": "aiza", "GitHub Token (Classic)": "ghp", "GitHub OAuth Token": "gho",
-    "NPM Token": "npm", "Stripe Secret Key": "live", "Stripe Publishable Key": "live", "Slack Bot Token": "xoxb", "Slack Webhook": "hooks.slack", "SendGrid API Key": "sg.", "FIGI": "bbg", "Track 1 Data": "%b", "Track 2 Data": "=",
+    "NPM Token": "npm", "Stripe Secret Key": "live", "Stripe Publishable Key": "live", "Slack Bot Token": "xoxb", "Slack Webhook": "hooks.slack", "SendGrid API Key": "sg.", "FIGI": "bbg", "Track 2 Data": "=",
     "TLP:RED": "tlp:", "TLP:AMBER+STRICT": "tlp:", "TLP:AMBER": "tlp:", "TLP:GREEN": "tlp:", "TLP:CLEAR": "tlp:",
 }
 
@@ -99,18 +108,36 @@ def digit_run(regex: str) -> int:
     return 0 if not runs else min(runs) if "|" in plain else max(runs)
 
 
-def code_length(regex: str) -> tuple[int, int]:
-    """Least length of the one run of letters and digits that every match lies in, as (with a digit for certain, without); 0 where unknown."""
-    plain = re.sub(r"\\b|\(\?<?[!=][^()]*\)", "", regex)
-    classes, rest = re.findall(r"\[([^\]]*)\]", plain), re.sub(r"\[[^\]]*\]", "", plain)
-    bare = re.sub(r"\{[^}]*\}|[?*](?!:)", "", rest.replace("(?:", "("))
-    if not all(re.fullmatch("[A-Za-z0-9-]+", c) for c in classes) or not re.fullmatch(r"[A-Za-z0-9()|]*", bare):
-        return 0, 0
-    size = int(sre_parse(regex).getwidth()[0])
-    fixed = re.sub(r"\(\?:[^()]*\)(?:\?|\*|\{0,\d*\})|\[[^\]]*\](?:\?|\*|\{0,\d*\})", "", plain)
-    literal = re.sub(r"\{[^}]*\}|\[[^\]]*\]", "", fixed)
-    digit = "|" not in fixed and ("[0-9]" in fixed or bool(re.search("[0-9]", literal)))
-    return (size, 0) if digit else (0, size)
+def could(node, digit: bool) -> bool:
+    """Whether a parsed expression consists of ASCII letters and digits only (``digit`` false), or matches some string without a digit."""
+    kind, value = node
+    name = str(kind)
+    if name == "LITERAL":
+        c = chr(value)
+        return (c.isascii() and c.isalnum()) if not digit else not c.isdigit()
+    if name == "IN":
+        parts = [chr(x) for k, v in value if str(k) in ("LITERAL", "RANGE") for x in ((v,) if str(k) == "LITERAL" else v)]
+        plain = all(str(k) in ("LITERAL", "RANGE") for k, _ in value) and all(c.isascii() and c.isalnum() for c in parts)
+        return plain if not digit else not all(c.isdigit() for c in parts)
+    if name == "MAX_REPEAT":
+        least, _, inner = value
+        return (digit and least == 0) or all(could(n, digit) for n in inner)
+    if name == "SUBPATTERN":
+        return all(could(n, digit) for n in value[-1])
+    if name == "BRANCH":
+        return (any if digit else all)(all(could(n, digit) for n in way) for way in value[1])
+    return False
+
+
+def whole_token(regex: str) -> tuple[int, int] | None:
+    """(least, most) length of an expression that always matches a whole run of letters and digits with a digit in it, else None."""
+    if not (regex.startswith(r"\b") and regex.endswith(r"\b")):
+        return None
+    inner = list(sre_parse(regex[2:-2]))
+    if not inner or not all(could(n, False) for n in inner) or all(could(n, True) for n in inner):
+        return None
+    least, most = sre_parse(regex).getwidth()
+    return int(least), int(most)
 
 
 class Guarded:
@@ -118,130 +145,231 @@ class Guarded:
 
     def __init__(self, p: Pattern) -> None:
         self.pattern, self.expression = p, re.compile(p.regex)
-        self.needs, self.run = NEEDS.get(p.sub_category, ""), digit_run(p.regex)
-        self.code, self.token = code_length(p.regex)
-
-    def possible(self, low: str, run: int, code: int, token: int) -> bool:
-        return run >= self.run and code >= self.code and token >= self.token and self.needs in low
-
-
-DIGIT_RUN, CODE, ANY_CODE = re.compile("[0-9]+"), re.compile("[A-Za-z]*[0-9][A-Za-z0-9]*"), re.compile("[A-Za-z0-9]+")
+        self.needs = tuple(NEEDS.get(p.sub_category, "").split("|"))
+        self.run, self.wide = RUNS.get(p.sub_category, digit_run(p.regex)), WIDE.get(p.sub_category, 0)
+        self.token = whole_token(p.regex)
+        self.check = CHECKS.get(p.sub_category)
+
+
+TOKEN = re.compile(r"\b[^\W\d]*+\d\w*+")
+DIGIT_RUN = re.compile("[0-9]+")
+#: Digits in a row of every match, where the expression doesn't tell; least runs of letters and digits of expressions that may have no digit.
+RUNS = {"US Phone Number": 6, "UK Phone Number": 8, "GPS Coordinates": 3, "Hong Kong ID": 6}
+WIDE = {"VIN": 17, "Litecoin Address": 27, "Ripple Address": 25, "Bitcoin Cash Address": 42}
+WIDE_RUN = re.compile(r"\w{17,}")
+
+
+@dataclass(slots=True)
+class Match:
+    start: int
+    end: int
+    order: int
+    confidence: float
+    guarded: Guarded
+    context: bool
+    text: str
+
+
+def two_places(x: float) -> float:
+    return math.floor(x * 100 + 0.5) / 100
+
+
+def better(m: Match, last: Match) -> bool:
+    """Whether a match replaces an overlapping one: higher confidence, then required context, specificity, length."""
+    if abs(m.confidence - last.confidence) >= 2.220446049250313e-16:
+        return m.confidence > last.confidence
+    p, q = m.guarded.pattern, last.guarded.pattern
+    gates = (p.context_required and m.context), (q.context_required and last.context)
+    if gates[0] != gates[1]:
+        return gates[0]
+    if p.specificity != q.specificity:
+        return p.specificity > q.specificity
+    return m.end - m.start > last.end - last.start
+
+
+def resolve(matches: list[Match]) -> list[Match]:
+    """Overlaps resolved in one pass over the matches in order of their places: each is compared with the last kept one only."""
+    kept: list[Match] = []
+    for m in sorted(matches, key=lambda m: (m.start, -m.end, m.order)):
+        if kept and m.start < kept[-1].end:
+            if better(m, kept[-1]):
+                kept[-1] = m
+        else:
+            kept.append(m)
+    return kept
+
+
+class Engine:
+    """A catalogue and a configuration, prepared for texts."""
+
+    def __init__(self, config: ScanConfig) -> None:
+        self.config = config
+        patterns = config.active()
+        self.keywords = Keywords(patterns)
+        every = [Guarded(p) for p in patterns]
+        self.place = {g.pattern.pattern_id: i for i, g in enumerate(every)}
+        self.every = every
+        self.always = [i for i, g in enumerate(every) if g.pattern.always_run]
+        self.second = [i for i in self.always if not every[i].pattern.context_required]
+        self.by_length = {False: self.lengths(self.always), True: self.lengths(self.second)}
+        self.free = {False: [i for i in self.always if not every[i].token], True: [i for i in self.second if not every[i].token]}
+
+    def lengths(self, chosen: list[int]) -> dict[int, list[int]]:
+        """Expressions of whole runs by the length of the run."""
+        out: dict[int, list[int]] = {}
+        for i in chosen:
+            if self.every[i].token:
+                for n in range(self.every[i].token[0], min(self.every[i].token[1], LONGEST) + 1):
+                    out.setdefault(n, []).append(i)
+        return out
+
+    def matches(self, norm: str, low_text: str, hits: dict[int, list[int]], alt: bool) -> tuple[list[tuple[int, int, int, str]], bool]:
+        """(expression, start, end, text) of all checked matches by catalogue order, and whether a bound cut some off."""
+        every, cut, bound = self.every, False, self.config.per_pattern
+        tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(norm)]
+        found: list[tuple[int, int, int, str]] = []
+        by_length = self.by_length[alt]
+        asked = sorted({self.place[p] for p in hits if not every[self.place[p]].pattern.always_run}) if not alt else []
+        keyed = [i for i in asked if every[i].token]
+        longest = 0
+        for a, b, s in tokens:
+            n = b - a
+            for i in by_length.get(n, ()):
+                if every[i].expression.fullmatch(s) and ((check := every[i].check) is None or check(s)):
+                    found.append((i, a, b, s))
+            for i in keyed:
+                low, high = every[i].token
+                if low <= n <= high and every[i].expression.fullmatch(s) and ((check := every[i].check) is None or check(s)):
+                    found.append((i, a, b, s))
+            if n > longest:
+                longest = max(longest, max(map(len, DIGIT_RUN.findall(s)), default=0))
+        widest = max(map(len, WIDE_RUN.findall(norm)), default=0)
+        for i in [*self.free[alt], *(i for i in asked if not every[i].token)]:
+            g = every[i]
+            if g.run > longest or g.wide > widest:
+                continue
+            for need in g.needs:
+                if need in low_text:
+                    break
+            else:
+                continue
+            for m in g.expression.finditer(norm):
+                a, b = m.span()
+                if a != b and (g.check is None or g.check(m.group())):
+                    found.append((i, a, b, m.group()))
+        found.sort()
+        if len(found) > bound:
+            kept, counts = [], {}
+            for f in found:
+                counts[f[0]] = counts.get(f[0], 0) + 1
+                if counts[f[0]] <= bound:
+                    kept.append(f)
+            cut, found = len(kept) < len(found), kept
+        return found, cut
+
+    def scored(self, g: Guarded, context: bool, alt: bool) -> float | None:
+        """Confidence of a match, None where a gate holds it back."""
+        p, config = g.pattern, self.config
+        if not alt and not context and (p.context_required or config.require_context):
+            return None
+        score = two_places(min(p.specificity + 0.20, 1.0) if context else p.specificity)
+        return None if score < config.min_confidence else score * 0.9 if alt else score
+
+    def scan(self, whole: str, other_readings: bool = True) -> tuple[list[tuple], bool]:
+        """(findings, truncated) of one text."""
+        config = self.config
+        size = len(whole) if whole.isascii() else len(whole.encode("utf-8", "surrogatepass"))
+        if not 1 <= size <= config.most_bytes:
+            return [], False
+        norm, places = normalize(whole)
+        low = norm.lower() if norm.isascii() else norm.translate(ASCII_LOWER)
+        hits = self.keywords.hits(low)
+        found, cut = self.matches(norm, low, hits, False)
+        raw = whole.encode("utf-8", "surrogatepass") if found else b""
+        out: list[Match] = []
+        for i, a, b, s in found:
+            g = self.every[i]
+            near = hits.get(g.pattern.pattern_id)
+            context = False
+            if near:
+                k = bisect.bisect_left(near, a - g.pattern.distance)
+                context = k < len(near) and near[k] < b + g.pattern.distance
+            score = self.scored(g, context, False)
+            if score is not None:
+                start, end = places[a], places[b] if b < len(places) else size
+                out.append(Match(start, end, len(out), score, g, context, raw[start:end].decode("utf-8", "replace")))
+        if other_readings and len(out) < 3 and len(found) < 3 and size < config.alternative_bytes:
+            for other in alternatives(norm):
+                other = normalize(other, places=False)[0]
+                if other == norm:
+                    continue
+                more, more_cut = self.matches(other, other.lower() if other.isascii() else other.translate(ASCII_LOWER), {}, True)
+                cut |= more_cut
+                for i, _, _, s in more:
+                    score = self.scored(self.every[i], False, True)
+                    if score is not None:
+                        out.append(Match(0, size, len(out), score, self.every[i], False, s))
+        if len(out) > config.max_matches:
+            cut, out = True, out[: config.max_matches]
+        kept = resolve(out) if config.deduplicate else out
+        rows = [(m.guarded.pattern.category, m.guarded.pattern.sub_category, m.text, m.start, m.end, m.context, m.guarded.pattern.context_required, m.confidence, m.guarded.pattern.specificity) for m in kept]
+        if config.disabled:
+            rows = [r for r in rows if (r[0], r[1]) not in config.disabled]
+        for _, validator in config.validators:
+            rows = [r for r in rows if validator(r[1], r[2])]
+        if config.ignore_marker and config.ignore_marker in whole:
+            rows = [r for r in rows if not ignored(raw or whole.encode("utf-8", "surrogatepass"), r[3], config.ignore_marker)]
+        return rows, cut
+
+
+def ignored(raw: bytes, start: int, marker: str) -> bool:
+    """Whether the line in which a finding begins has the marker."""
+    a, b = raw.rfind(b"\n", 0, start) + 1, raw.find(b"\n", start)
+    return marker.encode() in raw[a : b if b >= 0 else len(raw)]
 
 
-def longest(s: str) -> tuple[int, int, int]:
-    """Longest run of digits, of letters and digits with a digit, and of letters and digits."""
-    return tuple(max(map(len, e.findall(s)), default=0) for e in (DIGIT_RUN, CODE, ANY_CODE))
+@lru_cache(maxsize=8)
+def prepared(config: ScanConfig) -> Engine:
+    """The engine of a configuration, once per worker."""
+    return Engine(config)
 
 
-@lru_cache(maxsize=8)
-def prepared(patterns: tuple[Pattern, ...]) -> tuple[Keywords, list[Guarded]]:
-    """Automaton and expressions of a catalogue, once per worker."""
-    return Keywords(patterns), [Guarded(p) for p in patterns]
+FINDING = "category string, sub_category string, text string, span_start bigint, span_end bigint, has_context boolean, context_required boolean, confidence double, specificity double"
+FIELDS = [f.split(" ")[0] for f in FINDING.split(", ")]
 
 
-def candidates(patterns: tuple[Pattern, ...]):
-    """Partition function: (doc_id, text) to candidate matches of the first and the second pass."""
+def stage(config: ScanConfig):
+    """Partition function: (doc_id, text) to (doc_id, scan_truncated, findings)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keywords, compiled = prepared(patterns)
-        always = [i for i, g in enumerate(compiled) if g.pattern.always_run]
-        second = [g for g in compiled if g.pattern.always_run and not g.pattern.context_required]
-        place_of = {g.pattern.pattern_id: i for i, g in enumerate(compiled)}
-        columns = ["doc_id", "pattern_id", "seq", "alt", "norm_text", "span_start", "span_end", "match_text", "has_context"]
+        engine = prepared(config)
         for frame in frames:
-            out = []
-            for doc_id, whole in zip(frame["doc_id"], frame["text"]):
-                raw = whole.encode("utf-8", "surrogatepass")
-                if not 1 <= len(raw) <= MOST_BYTES:
-                    continue
-                norm, places = normalize(whole)
-                low = norm.translate(ASCII_LOWER)
-                hits = keywords.hits(low)
-                seq = 0
-                runs = longest(norm)
-                active = sorted({*always, *(place_of[p] for p in hits)}) if hits else always
-                for guarded in (compiled[i] for i in active):
-                    if not guarded.possible(low, *runs):
-                        continue
-                    p = guarded.pattern
-                    near = hits.get(p.pattern_id, [])
-                    n = 0
-                    for m in guarded.expression.finditer(norm):
-                        a, b = m.span()
-                        if a == b or not passes(p.sub_category, m.group()):
-                            continue
-                        n += 1
-                        if n > PER_PATTERN:
-                            break
-                        i = bisect.bisect_left(near, a - p.distance)
-                        context = i < len(near) and near[i] < b + p.distance
-                        start, end = places[a], places[b] if b < len(places) else len(raw)
-                        out.append((doc_id, p.pattern_id, seq, 0, m.group(), start, end, raw[start:end].decode("utf-8", "replace"), context))
-                        seq += 1
-                if seq < 3 and len(raw) < 4096:
-                    for k, other in enumerate(alternatives(norm), 1):
-                        other = normalize(other)[0]
-                        if other == norm:
-                            continue
-                        other_low, runs = other.translate(ASCII_LOWER), longest(other)
-                        for guarded in second:
-                            if not guarded.possible(other_low, *runs):
-                                continue
-                            p = guarded.pattern
-                            for m in guarded.expression.finditer(other):
-                                if passes(p.sub_category, m.group()):
-                                    out.append((doc_id, p.pattern_id, seq, k, m.group(), 0, len(raw), m.group(), False))
-                                    seq += 1
-            yield pd.DataFrame(out, columns=columns)
+            done = [engine.scan(t) if t else ([], False) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "scan_truncated": [cut for _, cut in done], "findings": [[dict(zip(FIELDS, r)) for r in rows] for rows, _ in done]})
 
     return run
 
 
-def resolve(matches: Column) -> Column:
-    """Ordered fold over an array of matches: each is compared with the last kept one only."""
-    ordered = F.array_sort(matches, lambda a, b: F.when(a["span_start"] != b["span_start"], F.sign(a["span_start"] - b["span_start"])).when(a["span_end"] != b["span_end"], F.sign(b["span_end"] - a["span_end"])).otherwise(F.sign(a["order"] - b["order"])).cast("int"))
-    gated = lambda m: m["context_required"] & m["has_context"]
-    size = lambda m: m["span_end"] - m["span_start"]
-
-    def better(m: Column, last: Column) -> Column:
-        same = F.abs(m["confidence"] - last["confidence"]) < 2.220446049250313e-16
-        tie = F.when(gated(m) & ~gated(last), True).when(gated(m) != gated(last), False).when(m["specificity"] != last["specificity"], m["specificity"] > last["specificity"]).otherwise(size(m) > size(last))
-        return (m["confidence"] > last["confidence"]) | (same & tie)
-
-    def step(kept: Column, m: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        overlaps = (F.size(kept) > 0) & (m["span_start"] < last["span_end"])
-        return F.when(~F.coalesce(overlaps, F.lit(False)), F.concat(kept, F.array(m))).when(better(m, last), F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(m))).otherwise(kept)
-
-    return F.aggregate(ordered, F.slice(ordered, 1, 0), step)
+def scan_documents(documents: DataFrame, config: ScanConfig | None = None, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
+    """One row per row of the input: doc_id, scan_truncated, findings (an array, empty for clean texts)."""
+    rows = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(column).alias("text")))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInPandas(stage(config or ScanConfig()), f"doc_id {kind}, scan_truncated boolean, findings array<struct<{FINDING.replace(' ', ':').replace(',:', ', ')}>>")
 
 
-def scan(documents: DataFrame, config: ScanConfig = ScanConfig(), doc_id: str = "doc_id", column: str = "text") -> DataFrame:
+def scan(documents: DataFrame, config: ScanConfig | None = None, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
     """Findings: doc_id, category, sub_category, text, span_start, span_end, has_context, context_required, confidence, specificity."""
-    spark = documents.sparkSession
-    patterns = config.active()
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(column).alias("text")).where("text is not null and text <> ''")
-    rows = spread(rows)
+    rows = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(column).alias("text")).where("text is not null and text <> ''"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInPandas(candidates(patterns), f"doc_id {kind}, pattern_id int, seq int, alt int, norm_text string, span_start bigint, span_end bigint, match_text string, has_context boolean")
-    dimension = spark.createDataFrame([(p.pattern_id, p.category, p.sub_category, p.specificity, p.context_required) for p in patterns], "pattern_id int, category string, sub_category string, specificity double, context_required boolean")
-    # the catalogue is bounded by from_rows (10,000 rows), so it may be broadcast
-    typed = found.join(F.broadcast(dimension), "pattern_id")
-    typed = typed.where(F.col("has_context") | (~F.col("context_required") & F.lit(not config.require_context)) | (F.col("alt") > 0))
-    scored = typed.withColumn("confidence", scoring.confidence(F.col("specificity"), F.col("has_context"), F.lit(False)))
-    scored = scored.where(F.col("confidence") >= config.min_confidence).withColumn("confidence", F.when(F.col("alt") > 0, F.col("confidence") * 0.9).otherwise(F.col("confidence")))
-    per_doc = Window.partitionBy("doc_id")
-    scored = scored.withColumn("firsts", F.count_if(F.col("alt") == 0).over(per_doc)).where("alt = 0 or firsts < 3")
-    scored = scored.withColumn("order", F.row_number().over(per_doc.orderBy("alt", "pattern_id", "seq"))).where(F.col("order") <= config.max_matches)
-    names = ["span_start", "span_end", "order", "confidence", "specificity", "context_required", "has_context", "category", "sub_category", "match_text"]
-    if config.deduplicate:
-        folded = scored.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("m")).select("doc_id", F.explode(resolve(F.col("m"))).alias("m"))
-        scored = folded.select("doc_id", *[F.col(f"m.{n}").alias(n) for n in names])
-    out = scored.select("doc_id", "category", "sub_category", F.col("match_text").alias("text"), "span_start", "span_end", "has_context", "context_required", "confidence", "specificity")
-    if config.disabled:
-        off = spark.createDataFrame(sorted(config.disabled), "category string, sub_category string")
-        out = out.join(F.broadcast(off), ["category", "sub_category"], "left_anti").select(out.columns)
-    return out
+    config = config or ScanConfig()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine = prepared(config)
+        for frame in frames:
+            made = [(d, *r) for d, t in zip(frame["doc_id"], frame["text"]) for r in engine.scan(t)[0]]
+            yield pd.DataFrame(made, columns=["doc_id", *FIELDS])
+
+    return rows.mapInPandas(run, f"doc_id {kind}, {FINDING}")
 
 
 def statuses(documents: DataFrame, doc_id: str = "doc_id", column: str = "text") -> DataFrame:

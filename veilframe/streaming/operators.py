@@ -6,14 +6,14 @@ import hashlib
 import hmac
 import json
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veilframe.catalog.patterns import Pattern
-from veilframe.operators.scan import ScanConfig, candidates
+from veilframe.operators.scan import ScanConfig, prepared
 
 
 def clamp(buffer_size: int = 4096, overlap: int = 256) -> tuple[int, int]:
@@ -33,18 +33,11 @@ def scan_chunks(chunks: DataFrame, buffer_size: int = 4096, overlap: int = 256,
     Spans count bytes of the stream, and a match that lies wholly in the kept tail is reported once.
     """
     size, keep = clamp(buffer_size, overlap)
-    patterns: tuple[Pattern, ...] = config.active()
-    names = {p.pattern_id: p.sub_category for p in patterns}
-    gated = {p.pattern_id for p in patterns if p.context_required}
+    every = replace(config, deduplicate=False)  # overlaps are left to the reader, who sees the borders
 
     def scanned(stream_id: str, held: str, offset: int, old: int) -> list[tuple]:
-        frame = pd.DataFrame({"doc_id": [stream_id], "text": [held]})
-        out = []
-        for found in candidates(patterns)(iter([frame])):
-            for r in found.itertuples():
-                if r.alt == 0 and (r.has_context or r.pattern_id not in gated) and r.span_end > old:
-                    out.append((stream_id, names[r.pattern_id], r.match_text, offset + r.span_start))
-        return out
+        found = prepared(every).scan(held, other_readings=False)[0]
+        return [(stream_id, sub, value, offset + start) for _, sub, value, start, end, *_ in found if end > old]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, offset, old = state.get if state.exists else ("", 0, 0)
