@@ -69,7 +69,7 @@ MARKERS = re.compile(r"%[0-9A-Fa-f]{2}|&#|/\*\*/|<!---->|[^A-Za-z\s]\s+[^A-Za-z\
 
 
 def readable(raw: bytes) -> str | None:
-    """Decoded bytes if they are text: UTF-8, no controls, mostly printable, at least four characters, three different."""
+    """Decoded bytes if they are text: UTF-8, printable throughout, at least four characters, three different bytes."""
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
@@ -77,7 +77,7 @@ def readable(raw: bytes) -> str | None:
     trimmed = text.strip()
     if len(trimmed) < 4 or len(set(raw)) < 3 or any(b < 9 or 13 < b < 32 or b == 127 for b in raw):
         return None
-    return text if sum(c.isprintable() for c in text) * 2 > len(text) else None
+    return text if all(c.isprintable() or c.isspace() for c in text) else None
 
 
 def padded(token: str, unit: int) -> str:
