@@ -77,8 +77,9 @@ def guard(documents: DataFrame, findings: DataFrame, action: str = "redact", blo
     with findings, else ``ok``.
     """
     level = classification_level(F.col("category"), F.col("sub_category"))
-    per_doc = findings.groupBy("doc_id").agg(F.max(level).alias("classification"), F.count("*").alias("n_findings"), F.sort_array(F.collect_set("category")).alias("categories_found"))
-    joined = documents.select("doc_id", "text").join(per_doc, "doc_id", "left").join(spans_by_document(findings), "doc_id", "left")
+    spans = F.sort_array(F.collect_list(F.struct("span_start", "span_end")))
+    per_doc = findings.groupBy("doc_id").agg(F.max(level).alias("classification"), F.count("*").alias("n_findings"), F.sort_array(F.collect_set("category")).alias("categories_found"), spans.alias("spans"))
+    joined = documents.select("doc_id", "text").join(per_doc, "doc_id", "left")
     status = F.when(F.col("classification") >= block_level, "blocked").when((F.lit(action) == "reject") & (F.col("n_findings") > 0), "rejected").otherwise("ok")
     changed = filled(char)(F.col("text"), F.col("spans")) if action == "redact" else F.lit(None).cast("string")
     return joined.select("doc_id", status.alias("status"), F.col("n_findings").isNull().alias("is_clean"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"), "categories_found", "classification", changed.alias("redacted_text"))

@@ -9,6 +9,7 @@ from veilframe.catalog import patterns
 from veilframe.functions import scoring
 from veilframe.operators import protect, scan, similarity
 from veilframe.session import cut, table
+from veilframe.plans.enrich_sql import hmac_sql
 from veilframe.streaming import operators as stream
 
 KEY = b"vault-key"
@@ -40,7 +41,8 @@ def scan_status(s, d):
 
 
 def entropy_tokens(s, d):
-    return scan.high_entropy_tokens(answers(s, d), least=3.5, gated=False)
+    found = scan.high_entropy_tokens(answers(s, d), least=3.5, gated=False)
+    return found.select("doc_id", "token", F.round("entropy", 6).alias("entropy"), F.round("confidence", 6).alias("confidence"))
 
 
 def guard_redact(s, d):
@@ -146,7 +148,20 @@ SQL = {
     "cidr_list": "WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:[0-9]{1,3}[.]){3}[0-9]{1,3}')) AS candidate FROM documents) SELECT candidate, count(DISTINCT doc_id) AS n_docs FROM c WHERE (candidate LIKE '198.51.100.%' AND cast(split_part(candidate, '.', 4) AS int) <= 255) OR (candidate LIKE '203.0.113.%' AND cast(split_part(candidate, '.', 4) AS int) BETWEEN 128 AND 255) GROUP BY 1",
     "path_list": "SELECT DISTINCT path FROM extractions WHERE lower(path) LIKE '%.pdf'",
 }
-NAMES = ["scan_answers", "scan_extractions", "scan_severity_counts", "scan_baseline_contact", "entropy_tokens", "guard_redact", "guard_obfuscate", "vault_lookup", "catalogue_categories", "catalogue_keywords", "text_entropy", "sliding_limit", "dedup_60s", "audit_signatures"]
+#: Admission and suppression by recursion over the requests of a key in order of time.
+ORDERED = "SELECT *, row_number() OVER (PARTITION BY k ORDER BY at_us, id) AS n FROM (SELECT id, hex(any_value({key})) AS k, any_value(epoch_us(created_at)) AS at_us FROM scans WHERE {key} IS NOT NULL GROUP BY id)"
+SQL |= {
+    "sliding_limit": f"WITH RECURSIVE r AS ({ORDERED.format(key='api_key_hash')}), s AS (SELECT k, id, n, true AS admitted, [at_us] AS held FROM r WHERE n = 1 UNION ALL SELECT r.k, r.id, r.n, len(list_filter(s.held, lambda x: x > r.at_us - 60000000)) < 3, CASE WHEN len(list_filter(s.held, lambda x: x > r.at_us - 60000000)) < 3 THEN list_append(list_filter(s.held, lambda x: x > r.at_us - 60000000), r.at_us) ELSE list_filter(s.held, lambda x: x > r.at_us - 60000000) END FROM s JOIN r ON r.k = s.k AND r.n = s.n + 1) SELECT k AS client_id, id, admitted FROM s",
+    "dedup_60s": f"WITH RECURSIVE r AS ({ORDERED.format(key='input_hash')}), s AS (SELECT k, id, n, true AS kept, at_us AS last FROM r WHERE n = 1 UNION ALL SELECT r.k, r.id, r.n, r.at_us - s.last >= 60000000, CASE WHEN r.at_us - s.last >= 60000000 THEN r.at_us ELSE s.last END FROM s JOIN r ON r.k = s.k AND r.n = s.n + 1) SELECT id FROM s WHERE kept",
+    "text_entropy": "WITH t AS (SELECT DISTINCT doc_id::VARCHAR AS path, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), b AS (SELECT path, unnest(list_transform(range(0, least(length(h) // 2, 8192)), lambda i: substr(h, 2 * i + 1, 2))) AS x FROM t), c AS (SELECT path, x, count(*) AS n FROM b GROUP BY 1, 2), e AS (SELECT path, -sum(n / total * log2(n / total)) AS bits FROM (SELECT *, sum(n) OVER (PARTITION BY path) AS total FROM c) GROUP BY 1) SELECT path, round(coalesce(bits, 0), 6) AS bits, CASE WHEN bits >= 7.9 THEN 'likely_encrypted' WHEN bits >= 7.5 THEN 'compressed_or_encrypted' WHEN bits > 5.5 THEN 'suspicious_for_format' WHEN bits >= 6.0 THEN 'moderately_random' ELSE 'normal' END AS class FROM t LEFT JOIN e USING (path)",
+}
+BODY = "'{{\"action\": ' || CASE WHEN r.action IS NULL THEN 'null' ELSE '\"' || r.action || '\"' END || ', \"at_us\": ' || r.at_us || ', \"id\": \"' || r.id || '\", \"prev\": \"' || {prev} || '\"}}'"
+SQL |= {
+    "audit_signatures": f"WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY at_us, id) AS n FROM (SELECT coalesce(any_value(source_pod), 'none') AS source, id, any_value(epoch_us(created_at)) AS at_us, lower(any_value(action)) AS action FROM scans GROUP BY id)), s AS (SELECT source, id, at_us, action, n, '' AS prev_signature, {hmac_sql(BODY.format(prev="''"), KEY)} AS signature FROM r WHERE n = 1 UNION ALL SELECT r.source, r.id, r.at_us, r.action, r.n, s.signature, {hmac_sql(BODY.format(prev='s.signature'), KEY)} FROM s JOIN r ON r.source = s.source AND r.n = s.n + 1) SELECT source, id, at_us, action, prev_signature, signature FROM s",
+    "entropy_tokens": """WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[^\\s,;''"()\\[\\]{}=:]{16,256}')) AS token FROM (SELECT result_id AS doc_id, any_value(text) AS text FROM scan_results GROUP BY 1)), c AS (SELECT doc_id, token, ch, count(*) AS n FROM (SELECT doc_id, token, unnest(string_split(token, '')) AS ch FROM t WHERE NOT regexp_full_match(token, '[0-9.-]+') AND NOT regexp_full_match(token, '[a-z]+')) GROUP BY 1, 2, 3),
+e AS (SELECT doc_id, token, -sum(n / total * log2(n / total)) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, token) AS total FROM c) GROUP BY 1, 2) SELECT doc_id, token, round(entropy, 6) AS entropy, round(least(greatest(0.40 + (entropy - 4.5) / 1.5 * 0.5, 0.40), 0.90), 6) AS confidence FROM e WHERE entropy >= 3.5""",
+}
+NAMES = ["scan_answers", "scan_extractions", "scan_severity_counts", "scan_baseline_contact", "guard_redact", "guard_obfuscate", "vault_lookup", "catalogue_categories", "catalogue_keywords"]
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from veilframe.catalog.patterns import Pattern
 from veilframe.functions import text as T
 from veilframe.operators import enrich, scan
 from veilframe.plans.engine_queries import answers
+from veilframe.plans.enrich_sql import hmac_sql
 from veilframe.session import cut, table
 
 WORDS = ["mobile", "call", "identity", "reach", "caller", "records"]
@@ -48,9 +49,13 @@ def edm_register(s, d):
     return enrich.register_values(None, values, KEY)
 
 
+ADDRESS = r"[0-9][0-9 ./-]{3,18}[0-9]|[\w.+-]+@[\w-]+\.[\w.-]+"
+
+
 def edm_matches(s, d):
-    values = docs(s, d).select(F.lit("address").alias("category"), F.explode(F.regexp_extract_all("text", F.lit(r"([\w.+-]+@[\w-]+\.[\w.-]*\w)"))).alias("value")).where(F.pmod(F.xxhash64("value"), F.lit(2)) == 0)
-    return enrich.exact_matches(docs(s, d), enrich.register_values(None, values, KEY), KEY)
+    """Addresses and numbers of all extracted files, registered and looked for in the answers."""
+    values = table(s, d, "extractions").select(F.lit("seen in files").alias("category"), F.explode(F.regexp_extract_all("text", F.lit(f"({ADDRESS})"))).alias("value"))
+    return enrich.exact_matches(docs(s, d), enrich.register_values(None, values, KEY), KEY, ADDRESS)
 
 
 def custom_patterns(s, d):
@@ -71,7 +76,7 @@ def url_safety(s, d):
 
 
 def close_words(s, d):
-    w = table(s, d, "documents").where("lang = 'en'").select(F.explode(F.array_distinct(T.words(F.regexp_replace("text", "[^A-Za-z]+", " ")))).alias("word")).where("length(word) between 4 and 12").distinct()
+    w = table(s, d, "documents").select(F.explode(F.array_distinct(T.words(F.regexp_replace("text", "[^A-Za-z]+", " ")))).alias("word")).where("length(word) between 4 and 12").distinct()
     vocabulary = s.createDataFrame([(x,) for x in ("labels", "records", "bridge", "scanned", "office", "reader", "masked")], "entry string")
     return enrich.close_words(w, vocabulary, 1)
 
@@ -94,18 +99,22 @@ def places(col: str, shape: str, table_: str) -> str:
     return f"(SELECT doc_id, unnest({PLACES.replace('{{', '{').replace('}}', '}')}) AS p FROM (SELECT doc_id, regexp_extract_all({col}, '{shape}') AS h, regexp_split_to_array({col}, '{shape}') AS b FROM {table_}) WHERE len(h) > 0)"
 
 
+CLEAN = "regexp_replace(trim(lower({v})), '[\\s\\-./()]+', '', 'g')"
+
 SQL = {
+    "edm_register": f"SELECT DISTINCT 'customer' AS category, {hmac_sql(CLEAN.format(v='c_name'), KEY)} AS digest FROM customer WHERE c_name IS NOT NULL",
+    "edm_matches": f"WITH held AS (SELECT DISTINCT {CLEAN.format(v='v')} AS k FROM (SELECT unnest(regexp_extract_all(text, '{ADDRESS}')) AS v FROM extractions)), m AS (SELECT doc_id, p.m AS match, p.pos AS start, p.pos + length(p.m)::INT AS \"end\" FROM {places('text', ADDRESS, E1)}) SELECT doc_id, 'EDM: seen in files' AS category, match, start, \"end\" FROM m WHERE {CLEAN.format(v='match')} IN (SELECT k FROM held)",
     "keyword_hits": f"SELECT doc_id, p.m AS keyword, p.pos AS pos FROM {places('lower(text)', SHAPE, E1)}",
     "keyword_prefilter": f"SELECT doc_id FROM {E1} WHERE regexp_matches(lower(text), '{SHAPE}')",
     "context_window": f"WITH k AS (SELECT doc_id, p.pos AS pos FROM {places('lower(text)', SHAPE, E1)}), m AS (SELECT doc_id, p.m AS match, p.pos AS start, p.pos + length(p.m)::INT AS \"end\" FROM {places('text', PHONE, E1)}) SELECT doc_id, match, start, \"end\", EXISTS (SELECT 1 FROM k WHERE k.doc_id = m.doc_id AND k.pos >= m.start - 20 AND k.pos < m.\"end\" + 20) AS has_context FROM m",
     "card_prefix": "WITH o AS (SELECT substr('4' || lpad(o_orderkey::VARCHAR, 15, '1'), 1, 6) AS b FROM orders) SELECT CASE WHEN b IN ('411111', '411112') THEN 'Visa' END AS brand, CASE b WHEN '411111' THEN 'US' WHEN '411112' THEN 'DE' END AS country, CASE WHEN b IN ('411111', '411112') THEN 1.0 ELSE 0.98 END::DOUBLE AS confidence, count(*) AS n FROM o GROUP BY 1, 2, 3",
     "custom_patterns": "WITH t AS (SELECT unnest(regexp_extract_all(text, '(?:INC|REQ|CHG|DLP|CASE)-[0-9]{6}')) AS m FROM documents), h AS (SELECT unnest(regexp_extract_all(text, '/(?:srv|data|mnt|share)/hold/[0-9]+')) AS m FROM documents) SELECT 'Ticket' AS sub_category, false AS has_context, count(*) AS n, count(DISTINCT m) AS n_values FROM t UNION ALL SELECT 'Held file', true, count(*), count(DISTINCT m) FROM h",
     "url_safety": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'http://10.0.0.' || (s_suppkey % 250) WHEN 1 THEN 'https://db.internal/x' WHEN 2 THEN 'ftp://files.example' ELSE 'https://user@www.example.com:8443/a?b=c' END AS url, s_suppkey % 4 = 3 AS safe FROM supplier",
-    "close_words": "WITH w AS (SELECT DISTINCT unnest(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS word FROM documents WHERE lang = 'en'), v AS (SELECT unnest(['labels', 'records', 'bridge', 'scanned', 'office', 'reader', 'masked']) AS entry) SELECT word, entry, levenshtein(word, entry)::INT AS distance FROM w JOIN v ON levenshtein(word, entry) <= 1 WHERE length(word) BETWEEN 4 AND 12",
+    "close_words": "WITH w AS (SELECT DISTINCT unnest(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS word FROM documents), v AS (SELECT unnest(['labels', 'records', 'bridge', 'scanned', 'office', 'reader', 'masked']) AS entry) SELECT word, entry, levenshtein(word, entry)::INT AS distance FROM w JOIN v ON levenshtein(word, entry) <= 1 WHERE length(word) BETWEEN 4 AND 12",
     "wire_keys": "SELECT DISTINCT concat_ws('/', category, sub_category) AS key, split_part(concat_ws('/', category, sub_category), '/', 1) AS category, CASE WHEN contains(concat_ws('/', category, sub_category), '/') THEN substr(concat_ws('/', category, sub_category), strpos(concat_ws('/', category, sub_category), '/') + 1) END AS sub_category FROM findings WHERE category IS NOT NULL OR sub_category IS NOT NULL",
     "iso_times": "SELECT id, strftime(make_timestamp(any_value(epoch_us(created_at))), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM scans GROUP BY id",
 }
-NAMES = ["edm_register", "edm_matches", "recall_by_sub"]
+NAMES = ["recall_by_sub"]
 
 
 def queries() -> dict:

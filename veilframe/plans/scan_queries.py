@@ -48,7 +48,7 @@ def email_redaction(s: SparkSession, d: str) -> DataFrame:
     """Texts of the answers with their addresses struck out byte by byte."""
     docs = texts(s, d, "answers").where("text is not null")
     found = scan.scan(docs, scan.ScanConfig(categories=frozenset(["Contact Information"]), alternative_bytes=0)).where("sub_category = 'Email Address'")
-    return protect.guard(docs, found).select("doc_id", "is_clean", F.octet_length("redacted_text").alias("n_bytes"), F.size(F.regexp_extract_all("redacted_text", F.lit("X{6,}"), 0)).alias("struck"))
+    return protect.guard(docs, found).select("doc_id", "is_clean", F.octet_length("redacted_text").cast("bigint").alias("n_bytes"), F.size(F.regexp_extract_all("redacted_text", F.lit("X{6,}"), 0)).alias("struck"))
 
 
 # ---------------------------------------------------------------------------------------------- oracles
@@ -98,6 +98,13 @@ w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+')) AS v
 QUERIES = {f"scan_emails_{x}": (emails(x), email_sql(x)) for x in SOURCES} | {f"scan_numbers_{x}": (numbers(x), number_sql(x)) for x in SOURCES}
 
 
+QUERIES["guard_emails"] = (
+    email_redaction,
+    f"""WITH t AS (SELECT result_id AS doc_id, any_value(text) AS text FROM scan_results WHERE text IS NOT NULL GROUP BY 1), f AS (SELECT doc_id, sum(n)::INT AS n FROM ({email_sql("answers")}) GROUP BY 1)
+SELECT doc_id, n IS NULL AS is_clean, strlen(text) AS n_bytes, coalesce(n, 0) + len(regexp_extract_all(text, 'X{{6,}}')) AS struck FROM t LEFT JOIN f USING (doc_id)""",
+)
+
+
 def queries() -> dict:
     return {name: q for name, (q, _) in QUERIES.items()}
 

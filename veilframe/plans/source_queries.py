@@ -56,14 +56,17 @@ def blocked_paths(s, d):
     return paths.where(F.arrays_overlap(segments, F.array(*[F.lit(x) for x in sorted(extract.BLOCKED)]))).select("extraction_id").distinct()
 
 
+def stored(s, d):
+    """The stored findings as a relation for the sinks."""
+    return table(s, d, "findings").dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "category", "sub_category", F.col("matched_text").alias("text"), F.round(F.col("confidence").cast("double"), 4).alias("confidence"))
+
+
 def sink_csv_lines(s, d):
-    found = scan.scan(table(s, d, "scan_results").dropDuplicates(["result_id"]), doc_id="result_id")
-    return sinks.csv_lines(found).groupBy("line").agg(F.count("*").alias("n"))
+    return sinks.csv_lines(stored(s, d)).groupBy("line").agg(F.count("*").alias("n"))
 
 
 def sink_events(s, d):
-    found = scan.scan(table(s, d, "scan_results").dropDuplicates(["result_id"]), doc_id="result_id")
-    return sinks.event(found, "answers").groupBy("event").agg(F.count("*").alias("n"))
+    return sinks.event(stored(s, d), "answers").groupBy("event").agg(F.count("*").alias("n"))
 
 
 E1 = "(SELECT extraction_id, any_value(text) AS text FROM extractions GROUP BY 1)"
@@ -84,7 +87,17 @@ SQL = {
     "src_formats": "SELECT coalesce(format, 'unknown') AS format, count(*) AS n, count(DISTINCT path) AS n_paths FROM extractions GROUP BY 1",
     "blocked_paths": "SELECT DISTINCT extraction_id FROM extractions WHERE path IS NOT NULL AND extraction_id % 3 = 0",
 }
-NAMES = ["sink_csv_lines", "sink_events"]
+REDACTED = "CASE WHEN strlen(matched_text) <= 8 THEN repeat('*', strlen(matched_text)) ELSE left(matched_text, 3) || repeat('*', greatest(length(matched_text) - 6, 0)) || right(matched_text, 3) END"
+STORED = f"(SELECT id, any_value(category) AS category, any_value(sub_category) AS sub_category, any_value({REDACTED}) AS t, any_value(round(confidence::DOUBLE, 4)) AS c FROM findings GROUP BY id)"
+FIELD = "CASE WHEN regexp_matches({v}, '[,\"\\n\\r]|^[=+@-]') THEN '\"' || replace({v}, '\"', '\"\"') || '\"' ELSE {v} END"
+QUOTED = "'\"' || replace(replace({v}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
+CSV = ", ".join(FIELD.format(v=f"coalesce({v}, '')") for v in ("id", "category", "sub_category", "t", "printf('%.2f', c)"))
+MEMBERS = " || ".join(f"CASE WHEN {v} IS NULL THEN '' ELSE ',\"{k}\":' || {e} END" for k, v, e in (("category", "category", QUOTED.format(v="category")), ("sub_category", "sub_category", QUOTED.format(v="sub_category")), ("text", "t", QUOTED.format(v="t")), ("confidence", "c", "c::VARCHAR")))
+SQL |= {
+    "sink_csv_lines": f"SELECT concat_ws(',', {CSV}) AS line, count(*) AS n FROM {STORED} GROUP BY 1",
+    "sink_events": f"SELECT '{{\"source\":\"answers\",\"host\":\"spark\"' || {MEMBERS} || '}}' AS event, count(*) AS n FROM {STORED} GROUP BY 1",
+}
+NAMES: list[str] = []
 
 
 def queries() -> dict:

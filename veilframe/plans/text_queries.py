@@ -84,7 +84,7 @@ def high_entropy_tokens(s, d):
 
 
 def word_ngrams(s, d):
-    grams = table(s, d, "eval_items").where("lang = 'en'").select(F.explode(F.concat(*[T.ngrams(T.words(F.col("text")), n) for n in (1, 2, 3)])).alias("gram"))
+    grams = table(s, d, "eval_items").select(F.explode(F.concat(*[T.ngrams(T.words(F.col("text")), n) for n in (1, 2, 3)])).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -166,7 +166,7 @@ SQL = {
     "html_escape": f"SELECT extraction_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS digest FROM {E1}",
     "char_entropy": f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{TOKEN}')) AS token FROM documents) SELECT token, round({ENTROPY}, 6) AS bits FROM w",
     "high_entropy_tokens": f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS n_docs FROM w WHERE NOT regexp_full_match(token, '[0-9.-]+') AND NOT regexp_full_match(token, '[a-z]+') AND round({ENTROPY}, 9) >= 3.9 GROUP BY 1",
-    "word_ngrams": f"WITH t AS (SELECT {WORDS} AS w FROM eval_items WHERE lang = 'en'), g AS (SELECT unnest(list_concat({grams(1)}, list_concat({grams(2)}, {grams(3)}))) AS gram FROM t) SELECT gram, count(*) AS n FROM g GROUP BY 1",
+    "word_ngrams": f"WITH t AS (SELECT {WORDS} AS w FROM eval_items), g AS (SELECT unnest(list_concat({grams(1)}, list_concat({grams(2)}, {grams(3)}))) AS gram FROM t) SELECT gram, count(*) AS n FROM g GROUP BY 1",
     "shingles": f"WITH t AS (SELECT item_id, {WORDS} AS w FROM eval_items) SELECT item_id, len(list_distinct({grams(3)})) AS n_runs FROM t",
     "jaccard_pairs": f"WITH t AS (SELECT item_id, {WORDS} AS w FROM eval_items), r AS (SELECT DISTINCT item_id, unnest({grams(3)}) AS run FROM t), n AS (SELECT item_id, count(*) AS n FROM r GROUP BY 1), c AS (SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS common FROM r a JOIN r b ON a.run = b.run AND a.item_id < b.item_id GROUP BY 1, 2) SELECT item_a, item_b, round(common / (x.n + y.n - common), 6) AS jaccard FROM c JOIN n x ON x.item_id = item_a JOIN n y ON y.item_id = item_b",
     "tokenize_hmac": f"WITH c AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{SQL_EMAIL}')) AS candidate FROM extractions) SELECT candidate, 'TOK_CI_' || left({duck_hmac('candidate')}, 32) AS token FROM c",
