@@ -342,6 +342,9 @@ def frame(spark: SparkSession, patterns: tuple[Pattern, ...] | None = None) -> D
     return spark.createDataFrame(rows, "pattern_id int, category string, sub_category string, regex string, specificity double, always_run boolean, context_required boolean, keywords array<string>, distance int")
 
 
-def from_rows(df: DataFrame) -> tuple[Pattern, ...]:
-    """A catalogue from a table with the columns of ``frame`` (bounded: at most 10,000 rows)."""
-    return tuple(Pattern(r.pattern_id, r.category, r.sub_category, r.regex, r.specificity, r.always_run, r.context_required, tuple(r.keywords), r.distance) for r in df.orderBy("pattern_id").limit(10_000).collect())
+def from_rows(df: DataFrame, most: int = 10_000) -> tuple[Pattern, ...]:
+    """A catalogue from a table with the columns of ``frame``; more than ``most`` rows raise an error."""
+    rows = df.orderBy("pattern_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("the catalogue has more patterns than most")
+    return tuple(Pattern(r.pattern_id, r.category, r.sub_category, r.regex, r.specificity, r.always_run, r.context_required, tuple(r.keywords), r.distance) for r in rows)

@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.catalog.patterns import Pattern
 from veilframe.functions import text as T
 
 
-def keyword_hits(documents: DataFrame, keywords: DataFrame, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
+def keyword_hits(documents: DataFrame, keywords: DataFrame, doc_id: str = "doc_id", column: str = "text", most: int = 20_000) -> DataFrame:
     """(doc_id, keyword, pos): every occurrence of the keywords in the lower-cased text, places in characters from 0.
 
-    ``keywords`` is a dimension (bounded by the catalogue); one alternation, longest first, finds all of them.
+    ``keywords`` is a dimension; one alternation, longest first, finds all of them. More than ``most`` raise an error.
     """
-    words = sorted((r[0].lower() for r in keywords.select("keyword").distinct().limit(20_000).collect()), key=lambda w: (-len(w), w))
+    rows = keywords.select("keyword").where("keyword <> ''").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("more keywords than an alternation can hold")
+    words = sorted((r[0].lower() for r in rows), key=lambda w: (-len(w), w))
     shape = "(" + "|".join(re.escape(w) for w in words) + ")" if words else "(?!)"
     low = documents.select(F.col(doc_id).alias("doc_id"), F.lower(column).alias("low"))
     parts = low.select("doc_id", F.split("low", shape, -1).alias("between"), F.regexp_extract_all("low", F.lit(shape)).alias("hits")).where(F.size("hits") > 0)
@@ -52,9 +57,35 @@ def with_card_prefix(findings: DataFrame, prefixes: DataFrame) -> DataFrame:
     return joined.withColumn("confidence", F.when(F.col("brand").isNotNull(), F.least(F.col("confidence") + 0.05, F.lit(1.0))).otherwise(F.col("confidence")))
 
 
+@F.pandas_udf("string")
+def compatible(values: pd.Series) -> pd.Series:
+    """NFKC of values beyond ASCII, which no built-in function gives."""
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+
+def save_registry(registry: DataFrame, path: str) -> None:
+    """Writes a registry of digests, split by category so that removing one rewrites nothing else."""
+    registry.write.mode("overwrite").partitionBy("category").parquet(path)
+
+
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("digest string, category string").parquet(path).select("category", "digest")
+
+
+def registry_sizes(registry: DataFrame) -> DataFrame:
+    """(category, n) of a registry."""
+    return registry.groupBy("category").agg(F.count("*").alias("n"))
+
+
+def registered(values: DataFrame, registry: DataFrame, key: bytes) -> DataFrame:
+    """``values`` (category, value) that are registered: a semi-join on the digest."""
+    return values.withColumn("digest", exact_key(F.col("value"), key)).join(registry, ["category", "digest"], "left_semi").drop("digest")
+
+
 def exact_key(value: Column, key: bytes) -> Column:
-    """Keyed digest of a value: lower case, trimmed, without blanks and separators."""
-    return T.hmac_sha256(F.regexp_replace(F.trim(F.lower(value)), r"[\s\-./()]+", ""), key)
+    """Keyed digest of a value: compatibility form, lower case, trimmed, without blanks and separators."""
+    plain = F.when(value.rlike(r"^[\x00-\x7f]*$"), value).otherwise(compatible(value))
+    return T.hmac_sha256(F.regexp_replace(F.trim(F.lower(plain)), r"[\s\-./()]+", ""), key)
 
 
 def register_values(registry: DataFrame | None, values: DataFrame, key: bytes) -> DataFrame:
@@ -111,14 +142,18 @@ def url_is_safe(url: Column) -> Column:
 
 
 def close_words(words: DataFrame, vocabulary: DataFrame, most: int) -> DataFrame:
-    """(word, entry, distance): vocabulary entries within an edit distance, blocked by deletion of one character.
+    """(word, entry, distance): vocabulary entries within an edit distance of ``most``.
 
-    For ``most`` of 1 the deletion neighbourhood is exact; larger distances use it for candidates only.
+    Both sides are joined on what is left of them after deleting up to ``most`` characters: words within that
+    distance always share such a rest, so nothing is lost, and no pairs of all words are built.
     """
 
     def keys(c: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-        return F.array_distinct(F.concat(F.array(c), cut))
+        one = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+        rests = F.array(c)
+        for _ in range(most):
+            rests = F.array_distinct(F.concat(rests, F.flatten(F.transform(rests, one))))
+        return rests
 
     left = words.select("word", F.explode(keys(F.col("word"))).alias("k"))
     right = vocabulary.select("entry", F.explode(keys(F.col("entry"))).alias("k"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.operators.protect import list_predicate
+
 from veilframe.functions import scoring
 
 
@@ -121,26 +123,77 @@ def worst_sub_categories(findings: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
-def attribution_pairs(files: DataFrame) -> DataFrame:
-    """Scores of pairs of files that share at least one signal (authoring fields, session ids, document ids).
+def attribution_pairs(files: DataFrame, weak_alone: bool = False) -> DataFrame:
+    """Scores of pairs of files: (a, b, total, signals).
 
-    Pairs come from equi-joins on each signal's value, never from a product of all files.
+    Pairs are made by equi-joins on the strong signals (session ids, document ids), whose values few files share; the weak ones
+    (creator, application, company) are then looked up for these pairs. With ``weak_alone`` pairs that share nothing
+    but a weak signal are listed too, which for a common application are all pairs of its files.
     ``files``: path, creator, application, company, rsids ARRAY<STRING>, pdf_doc_id STRING.
     """
-    signals = [("creator", 0.20), ("application", 0.10), ("company", 0.15), ("pdf_doc_id", 0.40)]
-    found = None
-    for name, weight in signals:
-        left, right = files.select(F.col("path").alias("a"), F.col(name).alias("v")), files.select(F.col("path").alias("b"), F.col(name).alias("v"))
-        pairs = left.where("v is not null and v <> ''").join(right, "v").where("a < b").select("a", "b", F.lit(name).alias("signal"), F.lit(weight).alias("score"))
-        found = pairs if found is None else found.union(pairs)
+    weak = [("creator", 0.20), ("application", 0.10), ("company", 0.15)]
+    shared_values = lambda name: files.select(F.col("path").alias("a"), F.col(name).alias("v")).where("v is not null and v <> ''").join(files.select(F.col("path").alias("b"), F.col(name).alias("v")), "v").where("a < b").select("a", "b")
     ids = files.select("path", F.explode(F.array_distinct("rsids")).alias("rsid"))
     shared = ids.alias("x").join(ids.alias("y"), F.col("x.rsid") == F.col("y.rsid")).where("x.path < y.path").groupBy(F.col("x.path").alias("a"), F.col("y.path").alias("b")).agg(F.count("*").alias("common"))
-    sizes = files.select("path", F.size(F.array_distinct("rsids")).alias("n"), F.try_element_at("rsids", F.lit(1)).alias("root"))
-    both = shared.join(sizes.select(F.col("path").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), "a").join(sizes.select(F.col("path").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), "b")
-    jaccard = both.select("a", "b", F.lit("rsids").alias("signal"), (0.25 * F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("score"))
-    root = both.where("ra = rb").select("a", "b", F.lit("root").alias("signal"), F.lit(0.50).alias("score"))
-    every = found.union(jaccard).union(root)
-    return every.groupBy("a", "b").agg(F.least(F.sum("score"), F.lit(1.0)).alias("total"), F.sort_array(F.collect_set("signal")).alias("signals"))
+    pairs = shared.select("a", "b").union(shared_values("pdf_doc_id"))
+    for name, _ in weak if weak_alone else ():
+        pairs = pairs.union(shared_values(name))
+    facts = files.select("path", "creator", "application", "company", "pdf_doc_id", F.size(F.array_distinct("rsids")).alias("n"), F.try_element_at("rsids", F.lit(1)).alias("root"))
+    side = lambda end: facts.select(F.col("path").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in facts.columns[1:]])
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").join(shared, ["a", "b"], "left")
+    same = lambda c: F.coalesce((F.col(f"{c}_a") == F.col(f"{c}_b")) & (F.col(f"{c}_a") != ""), F.lit(False))
+    scores = [(name, F.when(same(name), weight)) for name, weight in [*weak, ("pdf_doc_id", 0.40), ("root", 0.50)]]
+    scores.append(("rsids", 0.25 * F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))))
+    total = sum((F.coalesce(score, F.lit(0.0)) for _, score in scores), F.lit(0.0))
+    signals = F.array_sort(F.array_compact(F.array(*[F.when(score > 0, F.lit(name)) for name, score in scores])))
+    return both.select("a", "b", F.least(total, F.lit(1.0)).alias("total"), signals.alias("signals"))
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """One row: totals of adversarial runs with the latest one (id, created_at, n_payloads, n_missed)."""
+    return runs.agg(
+        F.count("*").alias("n_runs"), F.sum("n_payloads").alias("n_payloads"), F.sum("n_missed").alias("n_missed"),
+        F.round(100.0 * (1 - F.sum("n_missed") / F.sum("n_payloads")), 2).alias("detection_percent"), F.max_by("id", "created_at").alias("last_id"), F.max("created_at").alias("last_at"),
+    )
+
+
+def runs_list(runs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of runs, newest first."""
+    return runs.orderBy(F.desc_nulls_last("created_at"), "id").offset(offset).limit(limit)
+
+
+def explain_events(findings: DataFrame, events: DataFrame) -> DataFrame:
+    """Findings with the audit event of their scan: what was decided, by whom; findings without an event keep nulls.
+
+    ``events``: scan_id, action, actor, at; the latest event of a scan counts.
+    """
+    last = events.groupBy("scan_id").agg(F.max_by(F.struct("action", "actor", "at"), "at").alias("e"))
+    return findings.join(last, "scan_id", "left").select(*findings.columns, F.col("e.action").alias("event_action"), F.col("e.actor").alias("event_actor"), F.col("e.at").alias("event_at"))
+
+
+def summed_results(*results: DataFrame) -> DataFrame:
+    """Batch results (category, n_files, n_findings) added up category by category."""
+    every = results[0]
+    for r in results[1:]:
+        every = every.unionByName(r)
+    return every.groupBy("category").agg(F.sum("n_files").alias("n_files"), F.sum("n_findings").alias("n_findings"))
+
+
+def audit_list(events: DataFrame, source: str | None = None, action: str | None = None, since=None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of audit events, newest first, filtered by source, action and time."""
+    for condition in (source is not None and F.col("source") == source, action is not None and F.col("action") == action, since is not None and F.col("at") >= F.lit(since)):
+        events = events.where(condition) if condition is not False else events
+    return events.orderBy(F.desc("at"), "id").offset(offset).limit(limit)
+
+
+def without_contained(findings: DataFrame, tokens: DataFrame) -> DataFrame:
+    """High-entropy tokens (doc_id, span_start, span_end, ...) that no finding of their document overlaps.
+
+    The findings of a document are gathered once and tested by a higher-order function, so no pairs are built.
+    """
+    spans = findings.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("span_start").alias("s"), F.col("span_end").alias("e"))).alias("found"))
+    hit = F.exists("found", lambda f: (f["s"] < F.col("span_end")) & (f["e"] > F.col("span_start")))
+    return tokens.join(spans, "doc_id", "left").where(~F.coalesce(hit, F.lit(False))).drop("found")
 
 
 def ring(records: DataFrame, last: int = 500) -> DataFrame:
@@ -156,33 +209,56 @@ def rule_pick(findings: DataFrame, rules: DataFrame) -> DataFrame:
     joined by equality.
     """
     by_category = rules.select("rule", "rule_no", "priority", "action", "sub_categories", "min_confidence", F.explode("categories").alias("category"))
-    met = findings.join(F.broadcast(by_category), "category").where(
+    met = findings.join(by_category, "category").where(
         (F.col("confidence").cast("double") >= F.col("min_confidence")) & (F.col("sub_categories").isNull() | (F.size("sub_categories") == 0) | F.array_contains("sub_categories", F.col("sub_category")))
     )
     order = Window.partitionBy("id").orderBy(F.desc("priority"), "rule_no")
     return met.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank", "sub_categories", "min_confidence", "priority", "rule_no")
 
 
-def list_verdicts(findings: DataFrame, entries: DataFrame) -> DataFrame:
+def list_verdicts(findings: DataFrame, entries: DataFrame, most_rules: int = 2000) -> DataFrame:
     """(id, list_action, list_matched): the strongest list action on a finding's text.
 
-    ``entries``: list_id, binding_no, action (block, allow, mask, tag), entry, all of kind exact.
-    block beats allow beats mask beats tag; inside an action the first binding wins.
+    ``entries``: list_id, binding_no, action (block, allow, mask, tag), entry and optionally kind: exact (default), hash,
+    domain, email, keyword, url, path or cidr.  Entries of the first four kinds are joined by equality with the forms of
+    the text that they could equal, so lists may hold millions; the others are rules, compiled into one
+    expression (more than ``most_rules`` of them raise an error).  block beats allow beats mask beats tag; inside an action the
+    first binding wins.
     """
     strength = F.when(F.col("action") == "block", 0).when(F.col("action") == "allow", 1).when(F.col("action") == "mask", 2).otherwise(3)
-    hits = findings.join(F.broadcast(entries), F.lower("matched_text") == F.lower("entry"))
+    kinds = entries if "kind" in entries.columns else entries.withColumn("kind", F.lit("exact"))
+    kinds = kinds.where("entry is not null").withColumn("kind", F.lower(F.coalesce("kind", F.lit("exact"))))
+    low = F.lower("matched_text")
+    host = F.regexp_extract(low, r"(?:^|@|://)([^@/:]+)(?:[:/].*)?$", 1)
+    labels = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    forms = F.flatten(
+        F.array(
+            F.array(F.struct(F.lit("exact").alias("kind"), low.alias("form")), F.struct(F.lit("hash").alias("kind"), low.alias("form")), F.struct(F.lit("email").alias("kind"), low.alias("form")), F.struct(F.lit("email").alias("kind"), F.regexp_extract(low, "(@.*)$", 1).alias("form"))),
+            F.transform(suffixes, lambda x: F.struct(F.lit("domain").alias("kind"), x.alias("form"))),
+        )
+    )
+    rows = findings.where("matched_text is not null")
+    equal = kinds.where("kind in ('exact', 'hash', 'email', 'domain')").select("kind", F.lower("entry").alias("form"), "list_id", "binding_no", "action")
+    hits = rows.select("id", F.explode(F.array_distinct(forms)).alias("f")).select("id", "f.kind", "f.form").join(equal, ["kind", "form"]).select("id", "list_id", "binding_no", "action")
+    rules = kinds.where("kind in ('keyword', 'url', 'path', 'cidr')").select("kind", "entry", "list_id", "binding_no", "action").limit(most_rules + 1).collect()
+    if len(rules) > most_rules:
+        raise ValueError("more keyword, url, path and cidr entries than most_rules")
+    if rules:
+        verdict = F.array_compact(F.array(*[F.when(list_predicate(r.kind, r.entry, F.col("matched_text")), F.struct(F.lit(r.list_id).alias("list_id"), F.lit(r.binding_no).alias("binding_no"), F.lit(r.action).alias("action"))) for r in rules]))
+        hits = hits.union(rows.select("id", F.explode(verdict).alias("v")).select("id", "v.list_id", "v.binding_no", "v.action"))
     best = hits.groupBy("id").agg(F.min_by(F.struct("action", "list_id"), F.struct(strength, F.col("binding_no"))).alias("v"))
     return best.select("id", F.col("v.action").alias("list_action"), F.col("v.list_id").alias("list_matched"))
 
 
 def without_disabled(findings: DataFrame, disabled: DataFrame) -> DataFrame:
     """Findings whose (category, sub_category) isn't disabled."""
-    return findings.join(F.broadcast(disabled), ["category", "sub_category"], "left_anti")
+    return findings.join(disabled, ["category", "sub_category"], "left_anti")
 
 
 def not_allowed(findings: DataFrame, allowed: DataFrame) -> DataFrame:
     """Findings not suppressed by the allowlist: its names are texts, sub-categories or categories."""
-    a = F.broadcast(allowed.select(F.col("name").alias("allowed_name")).distinct())
+    a = allowed.select(F.col("name").alias("allowed_name")).where("allowed_name is not null").distinct()
     out = findings
     for column in ("matched_text", "sub_category", "category"):
         out = out.join(a, out[column] == a.allowed_name, "left_anti")

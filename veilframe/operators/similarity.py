@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -64,6 +64,20 @@ def register(texts: DataFrame) -> DataFrame:
     return latest.select("doc_id", "r.sensitivity", F.coalesce(F.col("r.signature"), signature_udf(F.col("r.text"))).alias("signature"))
 
 
+def save_vault(vault: DataFrame, path: str) -> None:
+    """Writes a vault (doc_id, sensitivity, signature) for later lookups."""
+    vault.write.mode("overwrite").parquet(path)
+
+
+def load_vault(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def unregister(vault: DataFrame, ids: DataFrame) -> DataFrame:
+    """The vault without the entries whose doc_id is listed."""
+    return vault.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 def lookup(queries: DataFrame, vault: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(query_id, doc_id, similarity, sensitivity) of registered texts with that share of equal values.
 

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list[str] = ["engine_queries", "scan_queries", "validator_queries", "findings_queries", "text_queries", "source_queries", "enrich_queries"]
+MODULES: list[str] = ["engine_queries", "scan_queries", "validator_queries", "findings_queries", "text_queries", "source_queries", "enrich_queries", "report_queries"]
 
 
 def queries() -> dict[str, Query]:

@@ -1,8 +1,9 @@
 """Files to text: readers by extension and content, applied to binary rows in one Arrow stage.
 
 ``extract(files)`` takes rows of the ``binaryFile`` source (path, content) and returns path, text, format,
-metadata, warnings, error.  Readers use the standard library only; formats that need another one (RAR, 7z, OLE,
-bar codes) are reported as unsupported.  An unreadable file gives an error row, never an exception.
+metadata, warnings, error.  Readers use the standard library only; formats that need another one (RAR, 7z,
+bar codes) are reported as unsupported.  An unreadable file gives an error row, never an exception; what a bound of a
+reader (``ROW_LIMITS``, ``STRING_BYTES``) leaves out is named in its warnings.
 """
 
 from __future__ import annotations
@@ -14,15 +15,22 @@ import json
 import os
 import re
 import sqlite3
+import struct
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veilframe.sources import ole
+
 MOST_BYTES = 100 * 1024 * 1024
 MOST_RATIO = 100
+#: Bounds of single files, for a task's memory; set an entry to None for no bound.
+ROW_LIMITS: dict[str, int | None] = {"sqlite": 5_000, "parquet": 10_000}
+STRING_BYTES = 10 * 1024 * 1024
 
 Extracted = tuple[str, str, dict[str, str], list[str]]
 Reader = Callable[[bytes, str], Extracted]
@@ -47,7 +55,7 @@ def unfold(text: str) -> str:
 
 
 def printable_strings(raw: bytes, least: int = 8) -> str:
-    return "\n".join(x.decode("ascii") for x in re.findall(rb"[\x20-\x7e\t]{%d,}" % least, raw))[: 10 * 1024 * 1024]
+    return "\n".join(x.decode("ascii") for x in re.findall(rb"[\x20-\x7e\t]{%d,}" % least, raw))[:STRING_BYTES]
 
 
 def plain(raw: bytes, name: str) -> Extracted:
@@ -235,29 +243,33 @@ def zipped(raw: bytes, name: str) -> Extracted:
 
 
 def sqlite(raw: bytes, name: str) -> Extracted:
-    """Every user table, at most 5,000 rows each, tab-separated."""
-    lines = []
+    """Every user table, tab-separated."""
+    lines, warnings, most = [], [], ROW_LIMITS["sqlite"]
     con = sqlite3.connect(":memory:")
     try:
         con.deserialize(raw)
         tables = [r[0] for r in con.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite_%' order by name")]
         for t in tables:
             quoted = '"' + t.replace('"', '""') + '"'
-            rows = con.execute(f"select * from {quoted} limit 5000")
+            rows = con.execute(f"select * from {quoted} limit {-1 if most is None else most}")
+            if most is not None and con.execute(f"select count(*) from {quoted}").fetchone()[0] > most:
+                warnings.append(f"table {t} has more than {most} rows")
             lines += [t, "\t".join(d[0] for d in rows.description)]
             lines += ["\t".join("" if v is None else str(v) for v in r) for r in rows]
     finally:
         con.close()
-    return "\n".join(lines), "sqlite", {"table_count": str(len(tables))}, []
+    return "\n".join(lines), "sqlite", {"table_count": str(len(tables))}, warnings
 
 
 def parquet(raw: bytes, name: str) -> Extracted:
     import pyarrow.parquet as pq
 
     t = pq.read_table(io.BytesIO(raw))
-    head = t.slice(0, 10_000).to_pylist()
+    most = ROW_LIMITS["parquet"]
+    head = (t if most is None else t.slice(0, most)).to_pylist()
+    warnings = [f"more than {most} rows"] if most is not None and t.num_rows > most else []
     lines = ["\t".join(t.column_names), *("\t".join("" if v is None else str(v) for v in r.values()) for r in head)]
-    return "\n".join(lines), "parquet", {"num_rows": str(t.num_rows), "num_columns": str(t.num_columns)}, []
+    return "\n".join(lines), "parquet", {"num_rows": str(t.num_rows), "num_columns": str(t.num_columns)}, warnings
 
 
 def strings(raw: bytes, name: str) -> Extracted:
@@ -267,19 +279,29 @@ def strings(raw: bytes, name: str) -> Extracted:
         return printable_strings(raw), "dat", {}, []
 
 
+def compound(raw: bytes, name: str) -> Extracted:
+    """Outlook messages and older Office files: labelled fields, document properties and the text of their streams."""
+    parts = ole.streams(raw)
+    if any(k.startswith("__substg1.0_") for k in parts):
+        return ole.message(parts), "msg", {}, []
+    about = ole.summary(parts)
+    kind, main = next(((k, parts[n]) for n, k in (("WordDocument", "doc"), ("Workbook", "xls"), ("Book", "xls"), ("PowerPoint Document", "ppt")) if n in parts), ("ole", b"".join(v for k, v in sorted(parts.items()) if not k.startswith("\x05"))))
+    return "\n".join([*(f"{k}: {v}" for k, v in about.items()), ole.words_of(main)]), kind, about, ["text is gathered from the streams, without layout"]
+
+
 BY_EXTENSION: dict[str, Reader] = {
     **dict.fromkeys("txt text md markdown rst log csv tsv json jsonl xml html htm yaml yml toml ini cfg conf env properties py js ts java c h cpp hpp cs go rs rb php sh bash ps1 bat sql r scala kt swift tex srt vtt diff patch".split(), plain),
     "rtf": rtf, "eml": eml, "mbox": mbox, "mht": mhtml, "mhtml": mhtml, "warc": warc, "vcf": vcard, "vcard": vcard, "jcard": jcard, "contact": contact_xml, "ldif": ldif, "ldf": ldif, "ics": ics, "ical": ics,
-    **dict.fromkeys("docx xlsx pptx docm xlsm pptm zip odt ods odp".split(), zipped), "db": sqlite, "sqlite": sqlite, "sqlite3": sqlite, "parquet": parquet, "dat": strings, "cab": strings, "pdf": plain,
+    **dict.fromkeys("docx xlsx pptx docm xlsm pptm zip odt ods odp".split(), zipped), "db": sqlite, "sqlite": sqlite, "sqlite3": sqlite, "parquet": parquet, "dat": strings, "cab": strings, "pdf": plain, **dict.fromkeys("msg doc xls ppt".split(), compound),
 }
 #: Extensions that are never read, and those that cannot be.
 BLOCKED = frozenset("exe dll so dylib msi com scr sys drv ocx cpl vbs".split())
-UNREADABLE = frozenset("gpg pgp asc aes enc kdbx axx rar 7z msg doc xls ppt png jpg jpeg gif bmp tiff webp".split())
+UNREADABLE = frozenset("gpg pgp asc aes enc kdbx axx rar 7z png jpg jpeg gif bmp tiff webp".split())
 
 
 def by_content(raw: bytes) -> Reader:
     """Reader by magic bytes, then by the first lines."""
-    for magic, reader in ((b"%PDF", plain), (b"{\\rtf", rtf), (b"PK\x03\x04", zipped), (b"SQLite format 3\0", sqlite), (b"PAR1", parquet), (b"MSCF", strings)):
+    for magic, reader in ((b"%PDF", plain), (b"{\\rtf", rtf), (b"PK\x03\x04", zipped), (b"SQLite format 3\0", sqlite), (b"PAR1", parquet), (b"MSCF", strings), (ole.MAGIC, compound)):
         if raw.startswith(magic):
             return reader
     head = raw[:8192].decode("utf-8", "ignore").lstrip()
@@ -326,25 +348,80 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string, format string, metadata map<string,string>, warnings array<string>, error string")
 
 
-def read_directory(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+def listed(spark: SparkSession, paths: str | list[str], recursive: bool, most_files: int) -> DataFrame:
+    """Binary rows of the files, names with a leading dot left out; more than ``most_files`` raise an error before any is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths).where(~F.col("path").rlike(r"/\.[^/]*(/|$)"))
+    if files.select("path").limit(most_files + 1).count() > most_files:
+        raise ValueError(f"more than {most_files} files")
+    return files
+
+
+def read_directory(spark: SparkSession, path: str, recursive: bool = True, most_files: int = 100_000) -> DataFrame:
     """Texts of all files below a folder; names that begin with a dot are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return extract(files.where(~F.col("path").rlike(r"/\.[^/]*(/|$)")))
+    return extract(listed(spark, path, recursive, most_files))
+
+
+def scan_files(spark: SparkSession, paths: str | list[str], config=None, allowed: list[str] = (), recursive: bool = True, most_files: int = 100_000) -> DataFrame:
+    """One row per file of a folder or a list of files: path, format, status, error, warnings, scan_truncated, n_findings, findings.
+
+    Files whose path matches a glob of ``allowed`` are not read: their status is ``allowed``. Otherwise the status is
+    ``error``, ``clean`` or ``findings``.
+    """
+    from veilframe.operators.protect import glob_pattern
+    from veilframe.operators.scan import scan_documents
+
+    files = listed(spark, paths, recursive, most_files)
+    name = F.regexp_replace("path", "^file:/*", "/")
+    skip = F.lit(False)
+    for g in allowed:
+        skip = skip | name.rlike(glob_pattern(g))
+    texts = extract(files.where(~skip))
+    scanned = scan_documents(texts.select(F.struct("path", "format", "error", "warnings").alias("file"), "text"), config, doc_id="file")
+    status = F.when(F.col("doc_id.error").isNotNull(), "error").when(F.size("findings") > 0, "findings").otherwise("clean")
+    done = scanned.select("doc_id.path", "doc_id.format", status.alias("status"), "doc_id.error", "doc_id.warnings", "scan_truncated", F.size("findings").alias("n_findings"), "findings")
+    left = files.where(skip).select("path", *[F.lit("allowed" if f.name == "status" else None).cast(f.dataType).alias(f.name) for f in done.schema.fields[1:]])
+    return done.union(left)
+
+
+def with_row_number(rows: DataFrame) -> DataFrame:
+    """Adds ``file`` and ``row``, the number of the row in its file from 1, the same in every run.
+
+    Rows are counted per block of a file; only the blocks' counts are gathered, and each row's place in its block comes from the
+    order in which the block is read.
+    """
+    placed = rows.withColumn("file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_n", F.monotonically_increasing_id())
+    blocks = placed.groupBy("file", "_block").agg(F.min("_n").alias("_first"), F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.withColumn("_before", before).drop("_size")
+    return placed.join(starts, ["file", "_block"]).withColumn("row", F.col("_n") - F.col("_first") + F.col("_before") + 1).drop("_block", "_n", "_first", "_before")
 
 
 def read_csv_rows(spark: SparkSession, path: str, columns: list[str] | None = None, delimiter: str = ",") -> DataFrame:
-    """(source_id, text): chosen columns of each row, trimmed and joined; empty rows are left out."""
+    """(source_id, text): chosen columns of each row, trimmed and joined; empty rows are left out. Ids are ``path:row:n``."""
     df = spark.read.option("header", True).option("sep", delimiter).csv(path)
-    text = F.concat_ws(" ", *[F.trim(F.col(f"`{c}`")) for c in columns or df.columns])
-    return df.select(F.concat(F.input_file_name(), F.lit(":row:"), F.monotonically_increasing_id()).alias("source_id"), text.alias("text")).where("text <> ''")
+    names = columns or df.columns
+    text = F.concat_ws(" ", *[F.trim(F.col(f"`{c}`")) for c in names])
+    rows = with_row_number(df.select(text.alias("text"), "_metadata"))
+    return rows.where("text <> ''").select(F.concat("file", F.lit(":row:"), "row").alias("source_id"), "text")
 
 
-def read_json_rows(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
-    """(source_id, text): string values of JSON lines, chosen or all, in order of their keys."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), F.from_json("value", "map<string,string>").alias("m"))
+def json_text(fields: list[str] | None) -> Callable:
     keys = F.array(*[F.lit(f) for f in fields]) if fields else F.sort_array(F.map_keys("m"))
-    text = F.array_join(F.filter(F.transform(keys, lambda k: F.try_element_at("m", k)), lambda x: x.isNotNull()), " ")
-    return lines.select(F.concat("file", F.lit(":record:"), "n").alias("source_id"), text.alias("text")).where("text <> ''")
+    return F.array_join(F.filter(F.transform(keys, lambda k: F.try_element_at("m", k)), lambda x: x.isNotNull()), " ")
+
+
+def read_json_rows(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
+    """(source_id, text): values of JSON lines, chosen or all, in order of their keys. Ids are ``path:record:n``."""
+    lines = with_row_number(spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("m"), "_metadata"))
+    return lines.select(F.concat("file", F.lit(":record:"), "row").alias("source_id"), json_text(fields).alias("text")).where("text <> ''")
+
+
+def read_json_documents(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
+    """(source_id, text) of whole files that hold one JSON array of objects, or one object; a file is read by one task."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("v"))
+    array = F.when(F.col("v").startswith("["), F.col("v")).otherwise(F.concat(F.lit("["), "v", F.lit("]")))
+    rows = files.select("file", F.posexplode(F.from_json(array, "array<map<string,string>>")).alias("n", "m"))
+    return rows.select(F.concat("file", F.lit(":record:"), F.col("n") + 1).alias("source_id"), json_text(fields).alias("text")).where("text <> ''")
 
 
 def file_metadata(files: DataFrame) -> DataFrame:
@@ -362,6 +439,12 @@ def file_metadata(files: DataFrame) -> DataFrame:
                 rsids = list(dict.fromkeys(re.findall(r'w:rsidRoot w:val="([0-9A-F]+)"', settings) + re.findall(r'w:rsid w:val="([0-9A-F]+)"', settings)))
             except (zipfile.BadZipFile, OSError, RuntimeError, ValueError):
                 pass
+        elif raw.startswith(ole.MAGIC):
+            try:
+                about = ole.summary(ole.streams(raw))
+                creator, application, company = about.get("creator"), about.get("application"), about.get("company")
+            except (ValueError, struct.error):
+                pass
         elif raw.startswith(b"%PDF"):
             text = raw.decode("latin-1")
             field = lambda name: (m.group(1) if (m := re.search(rf"/{name}\s*\(([^)]*)\)", text)) else None)
