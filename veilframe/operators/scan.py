@@ -43,6 +43,7 @@ class ScanConfig:
     min_confidence: float = 0.0
     baseline_only: bool = False
     disabled: frozenset[tuple[str, str]] = frozenset()
+    unique_limits: tuple[tuple[str, int], ...] = ()  # (sub-category, least number of different values), applied by ``findings.unique_threshold``
     patterns: tuple[Pattern, ...] | None = None
     per_pattern: int = 10_000  # matches of an expression in a text
     most_bytes: int = MOST_BYTES
@@ -97,6 +98,7 @@ NEEDS = {
     "Email Address": "@", "E.164 Phone Number": "+", "IPv6 Address": ":", "MAC Address": ":", "Bearer Token": "bearer", "JWT Token": "eyj", "Private Key": "-----begin", "Generic API Key": "api", "Database Connection String": "://",
     "Ethereum Address": "0x", "Bitcoin Address (Bech32)": "bc1", "URL with Password": "://", "URL with Token": "://", "GPS Coordinates": ",", "AWS Access Key": "ia", "Google API Key": "aiza", "GitHub Token (Classic)": "ghp", "GitHub OAuth Token": "gho",
     "NPM Token": "npm", "Stripe Secret Key": "live", "Stripe Publishable Key": "live", "Slack Bot Token": "xoxb", "Slack Webhook": "hooks.slack", "SendGrid API Key": "sg.", "FIGI": "bbg", "Track 2 Data": "=",
+    "Ticker Symbol": "$", "GPS DMS": "°", "EDU Email": ".edu", "TLP:WHITE": "tlp:", "AWS Secret Key": "aws|secret", "GitHub Token (Fine-Grained)": "github", "PyPI Token": "pypi", "Slack User Token": "xox", "Mailgun API Key": "key", "IDFA/IDFV": "-|0|1|2|3|4|5|6|7|8|9",
     "TLP:RED": "tlp:", "TLP:AMBER+STRICT": "tlp:", "TLP:AMBER": "tlp:", "TLP:GREEN": "tlp:", "TLP:CLEAR": "tlp:",
 }
 

@@ -60,7 +60,7 @@ def apply_overrides(config: ScanConfig, overrides: Overrides) -> ScanConfig:
     for p in config.patterns or catalogue():
         o = overrides.fields.get((p.category, p.sub_category), {})
         changed.append(replace(p, regex=o.get("regex", p.regex), specificity=o.get("specificity", p.specificity), context_required=o.get("context_required", p.context_required)))
-    return replace(config, patterns=tuple(changed), disabled=config.disabled | overrides.disabled, unique_limits={**config.unique_limits, **overrides.unique_limits})
+    return replace(config, patterns=tuple(changed), disabled=config.disabled | overrides.disabled, unique_limits=tuple(sorted({**dict(config.unique_limits), **overrides.unique_limits}.items())))
 
 
 @dataclass(frozen=True)
