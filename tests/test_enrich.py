@@ -58,3 +58,59 @@ def test_overrides_and_policies(spark):
     plugins.register(lambda f: f.where("missing_column = 1"))
     plugins.register(lambda f: f.limit(1))
     assert plugins.apply(df).count() == 1 and len(plugins.failures) == 1
+
+
+def test_close_words_are_exact_at_distance_two(spark):
+    import random
+
+    rnd = random.Random(2)
+    names = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 7))) for _ in range(60)]
+    w, v = (spark.createDataFrame([(x,) for x in set(part)], f"{name} string") for part, name in ((names[:40], "word"), (names[30:], "entry")))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {(a, b, distance(a, b)) for a in set(names[:40]) for b in set(names[30:]) if distance(a, b) <= 2}
+    assert {(r.word, r.entry, r.distance) for r in E.close_words(w, v, 2).collect()} == want
+
+
+def test_registry_is_kept_and_values_are_found_in_any_form(spark, tmp_path):
+    values = spark.createDataFrame([("id", "ＡＢ-12"), ("id", None), ("name", "Ann Lee")], "category string, value string")
+    E.save_registry(E.register_values(None, values, b"k"), str(tmp_path / "r"))
+    held = E.load_registry(spark, str(tmp_path / "r"))
+    assert {(r.category, r.n) for r in E.registry_sizes(held).collect()} == {("id", 1), ("name", 1)}
+    asked = spark.createDataFrame([("id", "ab 12"), ("id", "ab13"), ("name", "ANN LEE")], "category string, value string")
+    assert {r.value for r in E.registered(asked, held, b"k").collect()} == {"ab 12", "ANN LEE"}
+
+
+def test_too_many_keywords_raise(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id int, text string")
+    with pytest.raises(ValueError):
+        E.keyword_hits(docs, spark.createDataFrame([("a",), ("b",)], "keyword string"), most=1)
+
+
+def test_hot_keys_are_cut_into_parts(spark):
+    from pyspark.sql import functions as F
+
+    from veilframe import session as S
+
+    df = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(90)] + [(None, 1)], "k string, v int")
+    for few in (100, 0):
+        parts = S.with_parts(df, ["k"], 10, ["v"], few=few)
+        assert {(r.k, r.parts) for r in parts.select("k", "parts").distinct().collect()} >= {("hot", 6), ("k0", 1)}
+        assert parts.count() == 91
+        left, right = S.spread_over(parts, ["v"]), S.in_parts(parts)
+        met = left.select("k", "part", F.col("v").alias("a")).join(right.select("k", "part", F.col("v").alias("b")), ["k", "part"])
+        assert met.count() == 60 * 60 + 30
+    import pytest
+
+    with pytest.raises(ValueError):
+        S.checkpoint_folder(None, "spark://host:7077")
+    assert S.checkpoint_folder("/shared", "yarn") == "/shared"

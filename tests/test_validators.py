@@ -43,3 +43,9 @@ def test_columns_and_checks_agree(spark):
 def test_structural_accepts_unknown_kinds(spark):
     df = spark.createDataFrame([("No Such Kind", "x"), ("Visa", "4111111111111112"), ("Visa", None)], "s string, v string")
     assert [r.ok for r in df.select(V.structural(F.col("s"), F.col("v")).alias("ok")).collect()] == [True, False, False]
+
+
+def test_figi_check_digit():
+    from veilframe.functions.checks import figi
+
+    assert figi("BBG000BLNQ16") and figi("BBG000BLNNH6") and not figi("BBG000BLNQ17") and not figi("GBG000BLNQ16")

@@ -15,10 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 
+from veilframe.functions.confusables import ascii_of
 from veilframe.functions.text import LEET_FROM, LEET_TO, SPACES, ZERO_WIDTH
 
-#: Letters and digits of other scripts that look like ASCII ones.
-HOMOGLYPHS = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухΑΒΕΖΗΙΚΜΝΟΡΤΥΧοκνρɡԁһ", "ABESIJKMHOPCTYXaesijopcyxABEZHIKMNOPTYXokvpgdh")) | {chr(base + i): str(i) for base in (0x660, 0x6F0, 0x966, 0x9E6, 0xE50) for i in range(10)}
+HOMOGLYPHS = ascii_of()
 SPACE_SET, ZERO_SET = set(SPACES), set(ZERO_WIDTH)
 
 Marked = tuple[str, list[int] | None]  # places are left out where only the text is wanted

@@ -70,9 +70,13 @@ def recall_by_sub(s, d):
     return enrich.recall(old, cut(scan.scan(answers(s, d))))
 
 
+HOSTS = r"www[.][a-z0-9.-]*[a-z0-9]|(?:[0-9]{1,3}[.]){3}[0-9]{1,3}"
+
+
 def url_safety(s, d):
-    hosts = table(s, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("http://10.0.0."), (F.col("s_suppkey") % 250).cast("string"))).when(F.col("s_suppkey") % 4 == 1, F.lit("https://db.internal/x")).when(F.col("s_suppkey") % 4 == 2, F.lit("ftp://files.example")).otherwise(F.lit("https://user@www.example.com:8443/a?b=c")).alias("url"))
-    return hosts.select("s_suppkey", "url", enrich.url_is_safe(F.col("url")).alias("safe"))
+    """Hosts and addresses that the documents name, as addresses of pages."""
+    found = table(s, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(f"({HOSTS})"))).alias("host")).distinct()
+    return found.select("host", enrich.url_is_safe(F.concat(F.lit("https://"), "host", F.lit("/a?b=c"))).alias("safe"))
 
 
 def close_words(s, d):
@@ -109,7 +113,7 @@ SQL = {
     "context_window": f"WITH k AS (SELECT doc_id, p.pos AS pos FROM {places('lower(text)', SHAPE, E1)}), m AS (SELECT doc_id, p.m AS match, p.pos AS start, p.pos + length(p.m)::INT AS \"end\" FROM {places('text', PHONE, E1)}) SELECT doc_id, match, start, \"end\", EXISTS (SELECT 1 FROM k WHERE k.doc_id = m.doc_id AND k.pos >= m.start - 20 AND k.pos < m.\"end\" + 20) AS has_context FROM m",
     "card_prefix": "WITH o AS (SELECT substr('4' || lpad(o_orderkey::VARCHAR, 15, '1'), 1, 6) AS b FROM orders) SELECT CASE WHEN b IN ('411111', '411112') THEN 'Visa' END AS brand, CASE b WHEN '411111' THEN 'US' WHEN '411112' THEN 'DE' END AS country, CASE WHEN b IN ('411111', '411112') THEN 1.0 ELSE 0.98 END::DOUBLE AS confidence, count(*) AS n FROM o GROUP BY 1, 2, 3",
     "custom_patterns": "WITH t AS (SELECT unnest(regexp_extract_all(text, '(?:INC|REQ|CHG|DLP|CASE)-[0-9]{6}')) AS m FROM documents), h AS (SELECT unnest(regexp_extract_all(text, '/(?:srv|data|mnt|share)/hold/[0-9]+')) AS m FROM documents) SELECT 'Ticket' AS sub_category, false AS has_context, count(*) AS n, count(DISTINCT m) AS n_values FROM t UNION ALL SELECT 'Held file', true, count(*), count(DISTINCT m) FROM h",
-    "url_safety": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'http://10.0.0.' || (s_suppkey % 250) WHEN 1 THEN 'https://db.internal/x' WHEN 2 THEN 'ftp://files.example' ELSE 'https://user@www.example.com:8443/a?b=c' END AS url, s_suppkey % 4 = 3 AS safe FROM supplier",
+    "url_safety": f"WITH h AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{HOSTS}')) AS host FROM documents), p AS (SELECT host, try_cast(split_part(host, '.', 1) AS int) AS a, try_cast(split_part(host, '.', 2) AS int) AS b, try_cast(split_part(host, '.', 3) AS int) AS c, try_cast(split_part(host, '.', 4) AS int) AS e FROM h) SELECT host, host LIKE 'www%' OR coalesce(greatest(a, b, c, e) <= 255 AND a NOT IN (0, 10, 127) AND a < 224 AND NOT (a = 100 AND b BETWEEN 64 AND 127) AND NOT (a = 169 AND b = 254) AND NOT (a = 172 AND b BETWEEN 16 AND 31) AND NOT (a = 192 AND b = 168) AND NOT (a = 192 AND b = 0 AND c IN (0, 2)) AND NOT (a = 198 AND b IN (18, 19)) AND NOT (a = 198 AND b = 51 AND c = 100) AND NOT (a = 203 AND b = 0 AND c = 113), false) AS safe FROM p",
     "close_words": "WITH w AS (SELECT DISTINCT unnest(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS word FROM documents), v AS (SELECT unnest(['labels', 'records', 'bridge', 'scanned', 'office', 'reader', 'masked']) AS entry) SELECT word, entry, levenshtein(word, entry)::INT AS distance FROM w JOIN v ON levenshtein(word, entry) <= 1 WHERE length(word) BETWEEN 4 AND 12",
     "wire_keys": "SELECT DISTINCT concat_ws('/', category, sub_category) AS key, split_part(concat_ws('/', category, sub_category), '/', 1) AS category, CASE WHEN contains(concat_ws('/', category, sub_category), '/') THEN substr(concat_ws('/', category, sub_category), strpos(concat_ws('/', category, sub_category), '/') + 1) END AS sub_category FROM findings WHERE category IS NOT NULL OR sub_category IS NOT NULL",
     "iso_times": "SELECT id, strftime(make_timestamp(any_value(epoch_us(created_at))), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM scans GROUP BY id",
