@@ -20,18 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.functions.confusables import LOOK_ALIKE
 from veilframe.session import by_key, cut, in_parts, spread_over, with_parts
 
 COPIES = 4096  # rows of one look or spelling in a part of a join
 
-# Letters that look like a letter of another script, by prototype.
-LOOK_ALIKE = {
-    "a": "аα", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօⲟ", "p": "рρⲣ",
-    "q": "ԛ", "s": "ѕ", "u": "υս", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уү", "k": "кκ",
-    "A": "АΑᎪꓮⲀ", "B": "ВΒᏴꓐⲂ", "C": "СϹᏟꓚⲤ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰⲈ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧⲎ", "I": "ІΙӀꓲⲒ", "J": "ЈͿᎫꓙ", "K": "КΚᏦꓗⲔ", "L": "Ꮮꓡ", "M": "МΜᎷꓟⲘ",
-    "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔⲦ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳꓪ", "X": "ХΧꓫⲬ", "Y": "ΥҮꓬⲨ", "Z": "ΖᏃꓜ",
-    "μ": "µ", "ß": "ꞵ", "Г": "Γ", "П": "Π", "Ф": "Φ", "ф": "ɸ",
-}
 # Characters without a look of their own.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-\U000e0fff"
 # The blanks that are a blank of another width.

@@ -75,4 +75,7 @@ RECORDS = "(SELECT DISTINCT 'extractions' AS origin, extraction_id AS record_id,
 P5_FORMS = f"SELECT origin, record_id, {LOOK} AS uniform_text FROM {RECORDS}"
 P5_FOUND = f"WITH r AS (SELECT origin, record_id, text, {LOOK} AS look FROM {RECORDS} WHERE text IS NOT NULL) SELECT DISTINCT a.origin, a.record_id AS id_a, b.record_id AS id_b FROM r a JOIN r b ON a.origin = b.origin AND a.look = b.look AND a.record_id < b.record_id AND a.text <> b.text"
 
-ORACLES = {"p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p2_restored": P2_RESTORED, "p5_found": P5_FOUND, "p5_forms": P5_FORMS, "p6_found": P6_FOUND, "p6_leaks": P6_LEAKS}
+#: Pairs of ids from the same statement as the groups.
+P1_FOUND = P1_GROUPS[: P1_GROUPS.index(",\nreach AS")] + "\nSELECT doc_id AS doc_id_a, other AS doc_id_b FROM pairs WHERE doc_id < other"
+
+ORACLES = {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p2_restored": P2_RESTORED, "p5_found": P5_FOUND, "p5_forms": P5_FORMS, "p6_found": P6_FOUND, "p6_leaks": P6_LEAKS}
