@@ -24,7 +24,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -658,26 +658,27 @@ def train(lexicon: Lexicon, texts: int = 3000, rounds: int = 8, rate: float = 0.
     return {f: round(x, 4) for f, x in w.items() if abs(x) > 1e-3}
 
 
+BEFORE = re.compile(rf"({UP}[^\W\d_]+)(?: {UP}\.)? $")
 #: A family name follows a known given name at least once in so many times that it is written.
 RARELY = 50
 
 
-def evidence_of(text: str) -> Iterator[tuple[str, str, str]]:
-    """What a text tells about names, as (what, given name or word, family name)."""
-    plain = folded(text)[0]
-    for word in LOWER.findall(plain):
-        yield "lower", word, ""
-    for word in TOKEN.findall(plain):
+def evidence_of(texts: Iterable[str]) -> Counter:
+    """What texts tell about names, counted: (what, given name or word, family name). All texts are searched as one."""
+    whole = "\n".join(folded(t)[0] for t in texts)
+    counts: Counter = Counter({("lower", word, ""): n for word, n in Counter(LOWER.findall(whole)).items()})
+    for word, n in Counter(TOKEN.findall(whole)).items():
         for part in word.title().split("-"):
-            yield "written", part, ""
-    for word in COUNTED.findall(plain):
-        yield "counted", word, ""
-    for m in FULL.finditer(plain):
-        yield "pair", m.group(1).title(), m.group(3).title()
-    for m in LISTED.finditer(plain):
-        before = re.search(rf"({UP}[^\W\d_]+)(?: {UP}\.)? $", plain[max(0, m.start() - 30) : m.start()])
+            counts["written", part, ""] += n
+    for word, n in Counter(COUNTED.findall(whole)).items():
+        counts["counted", word, ""] += n
+    for (given, _, family), n in Counter(FULL.findall(whole)).items():
+        counts["pair", given.title(), family.title()] += n
+    for m in LISTED.finditer(whole):
+        before = BEFORE.search(whole, max(0, m.start() - 30), m.start())
         if not before or before.group(1).title() not in GIVEN:
-            yield "listed", m.group(2).title(), m.group(1).title()
+            counts["listed", m.group(2).title(), m.group(1).title()] += 1
+    return counts
 
 
 def evidence(texts: DataFrame) -> DataFrame:
@@ -685,7 +686,7 @@ def evidence(texts: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            counts = Counter(e for t in frame["text"] for e in evidence_of(t))
+            counts = evidence_of(frame["text"])
             yield pd.DataFrame([(*e, n) for e, n in counts.items()], columns=["what", "given", "family", "n"])
 
     return texts.distinct().mapInPandas(run, "what string, given string, family string, n bigint").groupBy("what", "given", "family").agg(F.sum("n").alias("n"))
