@@ -17,7 +17,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from re._parser import parse as sre_parse
 
 import pandas as pd
@@ -103,6 +103,7 @@ NEEDS = {
 }
 
 
+@lru_cache(maxsize=1 << 14)
 def digit_run(regex: str) -> int:
     """A number of digits in a row that every match has; 0 where that isn't plain from the expression."""
     plain = re.sub(r"\(\?:[^()]*\)(?:\?|\*|\{0,\d*\})", "", regex)
@@ -131,6 +132,7 @@ def could(node, digit: bool) -> bool:
     return False
 
 
+@lru_cache(maxsize=1 << 14)
 def whole_token(regex: str) -> tuple[int, int] | None:
     """(least, most) length of an expression that always matches a whole run of letters and digits with a digit in it, else None."""
     if not (regex.startswith(r"\b") and regex.endswith(r"\b")):
@@ -142,23 +144,30 @@ def whole_token(regex: str) -> tuple[int, int] | None:
     return int(least), int(most)
 
 
+compiled = lru_cache(maxsize=1 << 14)(re.compile)
+
+
 class Guarded:
     """An expression with what a text needs to have for it."""
 
     def __init__(self, p: Pattern) -> None:
-        self.pattern, self.expression = p, re.compile(p.regex)
+        self.pattern = p
         self.needs = tuple(NEEDS.get(p.sub_category, "").split("|"))
         self.run, self.wide = RUNS.get(p.sub_category, digit_run(p.regex)), WIDE.get(p.sub_category, 0)
         self.token = whole_token(p.regex)
         self.check = CHECKS.get(p.sub_category)
 
+    @cached_property
+    def expression(self) -> re.Pattern:
+        return compiled(self.pattern.regex)
+
 
 TOKEN = re.compile(r"\b[^\W\d]*+\d\w*+")
 DIGIT_RUN = re.compile("[0-9]+")
 #: Digits in a row of every match, where the expression doesn't tell; least runs of letters and digits of expressions that may have no digit.
 RUNS = {"US Phone Number": 6, "UK Phone Number": 8, "GPS Coordinates": 3, "Hong Kong ID": 6}
-WIDE = {"VIN": 17, "Litecoin Address": 27, "Ripple Address": 25, "Bitcoin Cash Address": 42}
-WIDE_RUN = re.compile(r"\w{17,}")
+WIDE = {"VIN": 17, "Litecoin Address": 27, "Ripple Address": 25, "Bitcoin Cash Address": 42, "MEID": 14, "Twilio API Key": 34}
+WIDE_RUN = re.compile(r"\w{14,}")
 
 
 @dataclass(slots=True)
