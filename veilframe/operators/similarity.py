@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from veilframe.session import in_parts, spread_over, with_parts
+
 # Fixed values of the signature rules.
 VALUES, BAND_COUNT, BAND_ROWS, SEED = 128, 16, 8, 42
 MERSENNE, TOP = (1 << 61) - 1, (1 << 32) - 1
@@ -87,7 +89,10 @@ def lookup(queries: DataFrame, vault: DataFrame, threshold: float = 0.8) -> Data
     sigs = queries.select("query_id", signature_udf("text").alias("q_signature"))
     left = sigs.select("query_id", F.explode(F.array_distinct(band_keys(F.col("q_signature")))).alias("bucket"))
     right = vault.select("doc_id", F.explode(F.array_distinct(band_keys(F.col("signature")))).alias("bucket"))
-    met = left.join(right, "bucket").select("query_id", "doc_id").distinct()
+    # a bucket that holds much of the vault is cut into parts, and its queries go to each of them
+    placed = spread_over(with_parts(right, ["bucket"], 8192, ["doc_id"]), ["doc_id"])
+    parts = placed.groupBy("bucket").agg(F.max("parts").alias("parts"))
+    met = in_parts(left.join(parts, "bucket")).join(placed.select("bucket", "part", "doc_id"), ["bucket", "part"]).select("query_id", "doc_id").distinct()
     both = met.join(sigs, "query_id").join(vault, "doc_id")
     return both.select("query_id", "doc_id", equal_share(F.col("q_signature"), F.col("signature")).alias("similarity"), "sensitivity").where(F.col("similarity") >= threshold)
 

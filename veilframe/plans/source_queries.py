@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe.operators import scan
 from veilframe.session import table
 from veilframe.sources import extract, sinks
 
@@ -35,11 +34,15 @@ def src_vcard(s, d):
 
 
 def src_ics(s, d):
-    return read(s, d, "ics", F.concat(F.lit("BEGIN:VCALENDAR\nBEGIN:VEVENT\nSUMMARY:S"), F.col("extraction_id").cast("string"), F.lit("\nATTENDEE;CN=Jo:mailto:jo@example.com\nEND:VEVENT\nEND:VCALENDAR\n")))
+    """Calendar events that describe themselves with the whole texts, escaped."""
+    plain = F.regexp_replace("text", "\\r\\n?", "\n")
+    escaped = F.replace(F.replace(F.replace(F.replace(plain, F.lit("\\"), F.lit("\\\\")), F.lit(","), F.lit("\\,")), F.lit(";"), F.lit("\\;")), F.lit("\n"), F.lit("\\n"))
+    return read(s, d, "ics", F.concat(F.lit("BEGIN:VCALENDAR\nBEGIN:VEVENT\nSUMMARY:S"), F.col("extraction_id").cast("string"), F.lit("\nATTENDEE;CN=Jo:mailto:jo@example.com\nDESCRIPTION:"), escaped, F.lit("\nEND:VEVENT\nEND:VCALENDAR\n")))
 
 
 def src_ldif(s, d):
-    return read(s, d, "ldif", F.concat(F.lit("dn: x\ncn: C"), F.col("extraction_id").cast("string"), F.lit("\nmail:: "), F.base64(F.lit(b"m@example.com")), F.lit("\npostalAddress: a$b\n")))
+    """Directory entries with the whole texts as encoded values."""
+    return read(s, d, "ldif", F.concat(F.lit("dn: x\ncn: C"), F.col("extraction_id").cast("string"), F.lit("\nmail:: "), F.base64(F.lit(b"m@example.com")), F.lit("\npostalAddress: a$b\ndescription:: "), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", ""), F.lit("\n")))
 
 
 def src_unknown_content(s, d):
@@ -81,8 +84,8 @@ SQL = {
     "src_eml": sql("eml", "eml", "'From: a@example.com' || chr(10) || 'To: b@example.com' || chr(10) || 'Subject: s' || chr(10) || chr(10) || replace(text, chr(13) || chr(10), chr(10))"),
     "src_rtf": sql("rtf", "rtf", "'id ' || extraction_id || chr(10) || 'end'"),
     "src_vcard": sql("vcf", "vcard", "'Name: N' || extraction_id || chr(10) || 'Home: x@example.com'"),
-    "src_ics": sql("ics", "ics", "'Summary: S' || extraction_id || chr(10) || 'Attendee: Jo jo@example.com'"),
-    "src_ldif": sql("ldif", "ldif", "'Name: C' || extraction_id || chr(10) || 'Email: m@example.com' || chr(10) || 'Address: a, b'"),
+    "src_ics": sql("ics", "ics", "'Summary: S' || extraction_id || chr(10) || 'Attendee: Jo jo@example.com' || chr(10) || 'Description: ' || regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g')"),
+    "src_ldif": sql("ldif", "ldif", "'Name: C' || extraction_id || chr(10) || 'Email: m@example.com' || chr(10) || 'Address: a, b' || chr(10) || 'Description: ' || text"),
     "src_unknown_content": sql("bin2", "vcard", "'Name: ' || extraction_id"),
     "src_formats": "SELECT coalesce(format, 'unknown') AS format, count(*) AS n, count(DISTINCT path) AS n_paths FROM extractions GROUP BY 1",
     "blocked_paths": "SELECT DISTINCT extraction_id FROM extractions WHERE path IS NOT NULL AND extraction_id % 3 = 0",

@@ -54,6 +54,11 @@ def unfold(text: str) -> str:
     return re.sub(r"\r?\n[ \t]", "", text)
 
 
+def lines_of(text: str) -> list[str]:
+    """Lines by line breaks only; other separators of Unicode belong to the text."""
+    return re.split(r"\r\n|\n|\r", text)
+
+
 def printable_strings(raw: bytes, least: int = 8) -> str:
     return "\n".join(x.decode("ascii") for x in re.findall(rb"[\x20-\x7e\t]{%d,}" % least, raw))[:STRING_BYTES]
 
@@ -148,7 +153,7 @@ def card_line(key: str, value: str) -> str | None:
 
 def vcard(raw: bytes, name: str) -> Extracted:
     cards, lines = 0, []
-    for line in unfold(decoded(raw)).splitlines():
+    for line in lines_of(unfold(decoded(raw))):
         key, _, value = line.partition(":")
         if key.upper() == "BEGIN":
             cards += 1
@@ -186,11 +191,12 @@ LDIF_LABELS = {"cn": "Name", "sn": "Surname", "givenname": "Given Name", "mail":
 
 def ldif(raw: bytes, name: str) -> Extracted:
     records, lines = 0, []
-    for line in unfold(decoded(raw)).splitlines():
+    for line in lines_of(unfold(decoded(raw))):
         key, _, value = line.partition(":")
         if value.startswith(":"):
             value = base64.b64decode(value[1:].strip()).decode("utf-8", "replace")
-        value = value.strip()
+        else:
+            value = value.strip()
         if key.lower() == "dn":
             records += 1
             lines += ["---"] if records > 1 else []
@@ -199,19 +205,20 @@ def ldif(raw: bytes, name: str) -> Extracted:
     return "\n".join(lines), "ldif", {"record_count": str(records)}, []
 
 
+ICS_ESCAPE = re.compile(r"\\([nN,;\\])")
 ICS_LABELS = {"SUMMARY": "Summary", "DESCRIPTION": "Description", "LOCATION": "Location", "ORGANIZER": "Organizer", "ATTENDEE": "Attendee", "DTSTART": "Start", "DTEND": "End", "COMMENT": "Comment", "CONTACT": "Contact", "URL": "URL", "UID": "UID", "CATEGORIES": "Categories", "X-WR-CALNAME": "Calendar"}
 
 
 def ics(raw: bytes, name: str) -> Extracted:
     events, lines = 0, []
-    for line in unfold(decoded(raw)).splitlines():
+    for line in lines_of(unfold(decoded(raw))):
         key, _, value = line.partition(":")
         base = key.split(";")[0].upper()
         if base == "BEGIN" and value.upper() in ("VEVENT", "VTODO", "VJOURNAL", "VFREEBUSY"):
             events += 1
         elif base in ICS_LABELS:
             who = re.search(r'CN="?([^";:]+)', key)
-            value = re.sub(r"(?i)^mailto:", "", value.replace("\\n", "\n").replace("\\,", ","))
+            value = re.sub(r"(?i)^mailto:", "", ICS_ESCAPE.sub(lambda m: "\n" if m.group(1) in "nN" else m.group(1), value))
             lines.append(f"{ICS_LABELS[base]}: " + (f"{who.group(1)} {value}" if who else value))
     return "\n".join(lines), "ics", {"event_count": str(events)}, []
 
