@@ -329,6 +329,7 @@ def near_duplicate_pairs(entries: DataFrame, threshold: float = 0.6, tile: int =
     form for large collections. The copies of a class are cut into parts on both sides of every join here.
     """
     classes, members = classes_of(entries, **names)
+    members = cut(members)  # keys and ids only, read several times below
     classes_similar = class_pairs(classes, threshold, tile)
     # a class is similar to itself; its copies are pairs
     itself = usable(classes).select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
