@@ -75,7 +75,13 @@ def vault_lookup(s, d):
 
 
 def catalogue_categories(s, d):
-    return patterns.frame(s).groupBy("category").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("sub_category")).alias("sub_categories"))
+    return patterns.frame(s).groupBy("category").agg(F.count("*").alias("n"))
+
+
+def vault_signatures(s, d):
+    """Signatures computed anew for every entry that was registered with one."""
+    entries = table(s, d, "document_entries").where("text is not null and signature is not null")
+    return entries.select("doc_id", F.md5(F.array_join(similarity.signature_udf("text"), ",")).alias("digest")).distinct()
 
 
 def catalogue_keywords(s, d):
@@ -161,7 +167,35 @@ SQL |= {
     "entropy_tokens": """WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[^\\s,;''"()\\[\\]{}=:]{16,256}')) AS token FROM (SELECT result_id AS doc_id, any_value(text) AS text FROM scan_results GROUP BY 1)), c AS (SELECT doc_id, token, ch, count(*) AS n FROM (SELECT doc_id, token, unnest(string_split(token, '')) AS ch FROM t WHERE NOT regexp_full_match(token, '[0-9.-]+') AND NOT regexp_full_match(token, '[a-z]+')) GROUP BY 1, 2, 3),
 e AS (SELECT doc_id, token, -sum(n / total * log2(n / total)) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, token) AS total FROM c) GROUP BY 1, 2) SELECT doc_id, token, round(entropy, 6) AS entropy, round(least(greatest(0.40 + (entropy - 4.5) / 1.5 * 0.5, 0.40), 0.90), 6) AS confidence FROM e WHERE entropy >= 3.5""",
 }
-NAMES = ["scan_answers", "scan_extractions", "scan_severity_counts", "scan_baseline_contact", "guard_redact", "guard_obfuscate", "vault_lookup", "catalogue_categories", "catalogue_keywords"]
+#: Patterns of each category by the blueprint, "category n" by region.
+SIZES = """
+Others: Credit Card Numbers 7; Primary Account Numbers 2; Card Track Data 2; Card Expiration Dates 1; Banking and Financial 5; Wire Transfer Data 6; Check and MICR Data 3; Securities Identifiers 7; Loan and Mortgage Data 4; Regulatory Identifiers 6; Banking Authentication 3; Customer Financial Data 4; Internal Banking References 2; PCI Sensitive Data 1; Contact Information 5; Generic Secrets 6; Cryptocurrency 7; Vehicle Identification 1; Dates 3; URLs with Credentials 2; Personal Identifiers 2; Geolocation 3; Postal Codes 5; Device Identifiers 5; Medical Identifiers 5; Insurance Identifiers 2; Authentication Tokens 1; Social Media Identifiers 2; Education Identifiers 1; Legal Identifiers 2; Employment Identifiers 2; Biometric Identifiers 2; Property Identifiers 2; Supervisory Information 6; Privileged Information 7; Data Classification Labels 8; Corporate Classification 9; Traffic Light Protocol 6; Financial Regulatory Labels 7; Privacy Classification 10; Cloud Provider Secrets 3; Code Platform Secrets 5; Payment Service Secrets 2; Messaging Service Secrets 6
+North America: United States 63; US Generic DL 1; Canada 29; Mexico 7
+Europe: United Kingdom 7; Germany 6; France 5; Italy 5; Netherlands 4; Spain 5; Poland 6; Sweden 4; Portugal 4; Switzerland 4; Turkey 4; Austria 5; Belgium 4; Ireland 4; Denmark 3; Finland 3; Norway 4; Czech Republic 4; Hungary 5; Romania 4; Greece 5; Croatia 4; Bulgaria 4; Slovakia 3; Lithuania 3; Latvia 3; Estonia 3; Slovenia 4; Luxembourg 3; Malta 3; Cyprus 3; Iceland 2; Liechtenstein 2; EU 2
+Asia-Pacific: India 6; China 5; Japan 6; South Korea 3; Singapore 4; Australia 11; New Zealand 4; Philippines 6; Thailand 4; Malaysia 2; Indonesia 3; Vietnam 3; Pakistan 3; Bangladesh 3; Sri Lanka 3
+Latin America: Brazil 6; Argentina 3; Colombia 4; Chile 2; Peru 4; Venezuela 3; Ecuador 3; Uruguay 3; Paraguay 3; Costa Rica 3
+Middle East: Saudi Arabia 2; UAE 3; Israel 2; Qatar 2; Kuwait 2; Bahrain 2; Jordan 2; Lebanon 2; Iraq 2; Iran 2
+Africa: South Africa 3; Nigeria 6; Kenya 4; Egypt 3; Ghana 4; Ethiopia 3; Tanzania 3; Morocco 3; Tunisia 2; Uganda 2
+"""
+LISTED = [(item.rpartition(" ")[0] if region == "Others" else f"{region} - {item.rpartition(' ')[0]}", int(item.rpartition(" ")[2])) for region, _, items in (line.partition(": ") for line in SIZES.strip().splitlines()) for item in items.split("; ")]
+#: The signature rules in SQL: word runs, their 64-bit FNV-1a hashes cut to 32 bits, and 128 linear functions drawn by a recursive generator.
+WRAP = "18446744073709551616::UHUGEINT"
+BYTES = "list_transform(range(0, length(hex(encode(run))) // 2), lambda i: ('0x' || substr(hex(encode(run)), 2 * i + 1, 2))::UHUGEINT)"
+SIGNED = f"""draws AS (SELECT 0 AS i, 42::UHUGEINT AS state UNION ALL SELECT i + 1, (state * 6364136223846793005::UHUGEINT + 1442695040888963407::UHUGEINT) % {WRAP} FROM draws WHERE i < 256),
+drawn AS (SELECT i, (state // 65536::UHUGEINT) % 2305843009213693951::UHUGEINT AS v FROM draws WHERE i > 0),
+functions AS (SELECT a.i // 2 AS j, greatest(a.v, 1::UHUGEINT) AS a, b.v AS b FROM drawn a JOIN drawn b ON b.i = a.i + 1 WHERE a.i % 2 = 1),
+newest AS (SELECT doc_id, arg_max(struct_pack(t := text, s := signature, v := sensitivity), registered_at) AS r FROM document_entries WHERE doc_id IS NOT NULL AND (text IS NOT NULL OR signature IS NOT NULL) GROUP BY 1),
+unsigned AS (SELECT doc_id, regexp_extract_all(lower(r.t), '[^\\s]+') AS w FROM newest WHERE r.s IS NULL),
+runs AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS run FROM unsigned WHERE len(w) >= 3),
+hashed AS (SELECT doc_id, list_reduce(list_prepend(14695981039346656037::UHUGEINT, {BYTES}), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {WRAP}) % 4294967296::UHUGEINT AS h FROM runs),
+smallest AS (SELECT doc_id, j, min((a * h + b) % {WRAP} % 2305843009213693951::UHUGEINT % 4294967295::UHUGEINT)::BIGINT AS value FROM hashed CROSS JOIN functions GROUP BY 1, 2),
+vault AS (SELECT doc_id, unnest(r.s) AS value, generate_subscripts(r.s, 1) - 1 AS j FROM newest WHERE r.s IS NOT NULL UNION ALL SELECT doc_id, value, j FROM smallest)"""
+SQL |= {
+    "catalogue_categories": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {n})" for c, n in LISTED) + ") AS t(category, n)",
+    "vault_signatures": "SELECT DISTINCT doc_id, md5(array_to_string(signature, ',')) AS digest FROM document_entries WHERE text IS NOT NULL AND signature IS NOT NULL",
+    "vault_lookup": f"WITH RECURSIVE {SIGNED} SELECT q.doc_id AS query_id, v.doc_id, count(*) / 128.0::DOUBLE AS similarity, any_value(n.r.v) AS sensitivity FROM vault q JOIN vault v ON q.j = v.j AND q.value = v.value JOIN newest n ON n.doc_id = v.doc_id WHERE try_cast(regexp_extract(q.doc_id, '([0-9]+)$', 1) AS BIGINT) % 20 = 0 AND q.doc_id IN (SELECT doc_id FROM newest WHERE r.t IS NOT NULL) GROUP BY 1, 2 HAVING count(*) >= 0.8 * 128",
+}
+NAMES = ["scan_answers", "scan_extractions", "scan_severity_counts", "scan_baseline_contact", "guard_redact", "guard_obfuscate", "catalogue_keywords"]
 
 
 def queries() -> dict:
