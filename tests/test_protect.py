@@ -36,3 +36,23 @@ def test_lists(spark):
     got = df.select(P.list_predicate("cidr", "198.51.100.0/24", df.ip).alias("c"), P.list_predicate("path", "**/*.pdf", df.path).alias("p"), P.list_predicate("domain", "corp.example", df.host).alias("d")).collect()
     assert [tuple(r) for r in got] == [(True, True, True), (False, False, False)]
     assert P.resolve_categories() is None and "Card Track Data" in P.resolve_categories(["pci_dss"])
+
+
+def test_categories_that_a_summary_leaves_out(spark):
+    from veilframe.operators.findings import lost_categories
+
+    rows = [(1, [("b",), ("a",), ("b",)], ["b"]), (2, [("a",)], ["a"]), (3, None, None), (4, [("c",)], None), (5, [(None,)], [])]
+    df = spark.createDataFrame(rows, "id int, findings array<struct<category:string>>, categories_found array<string>")
+    assert {r.id: r.lost for r in lost_categories(df).collect()} == {1: ["a"], 4: ["c"]}
+
+
+def test_dates_of_documents_and_paths(spark):
+    from pyspark.sql import functions as F
+
+    from veilframe.functions import text as T
+
+    rows = [("D:20240131120000+02'00'", "2024-01-31T10:00:00Z"), ("D:20240131120000-0130", "2024-01-31T13:30:00Z"), ("D:2024", "2024-01-01T00:00:00Z"), ("D:20241399", None), ("no", None), (None, None), ("20240229235959Z", "2024-02-29T23:59:59Z")]
+    df = spark.createDataFrame(rows, "d string, want string").withColumn("got", T.pdf_time(F.col("d")))
+    assert all(r.got == r.want for r in df.collect())
+    paths = spark.createDataFrame([("/data/a.txt", True), ("/data/../etc", False), ("/database/x", False), ("/data/a..b", True), ("/data/a\nb", False), (None, False)], "p string, want boolean")
+    assert all(r.got == r.want for r in paths.withColumn("got", T.safe_path(F.col("p"), "/data")).collect())

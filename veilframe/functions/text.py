@@ -91,3 +91,24 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
 def initials(c: Column) -> Column:
     """First letters of the words, in capitals."""
     return F.upper(F.array_join(F.transform(F.filter(F.split(c, r"\s+"), lambda x: x.rlike("^[A-Za-z]")), lambda x: F.left(x, F.lit(1))), ""))
+
+
+def pdf_time(c: Column) -> Column:
+    """ISO time in UTC of a document date (``D:20240131120000+02'00'``), null where it isn't one; missing parts are the least."""
+    part = lambda i: F.regexp_extract(c, r"^(?:D:)?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:Z|([+-])(\d{2})'?(\d{2})?'?)?", i)
+    number = lambda i, least: F.coalesce(F.nullif(part(i), F.lit("")).try_cast("int"), F.lit(least))
+    local = F.try_make_timestamp(F.nullif(part(1), F.lit("")).try_cast("int"), number(2, 1), number(3, 1), number(4, 0), number(5, 0), number(6, 0).cast("double"))
+    away = F.when(part(7) == "-", -1).when(part(7) == "+", 1).otherwise(0) * (number(8, 0) * 3600 + number(9, 0) * 60)
+    return F.date_format(F.timestamp_micros(F.unix_micros(local) - away.cast("bigint") * 1_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def file_time(c: Column) -> Column:
+    """ISO time in UTC of a count of 100 ns since 1601, null for none."""
+    micros = F.floor(c / 10).cast("bigint") - F.lit(11_644_473_600_000_000)
+    return F.when(c > 0, F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def safe_path(c: Column, root: str) -> Column:
+    """Whether a path lies below ``root``, without parent steps, control characters or a drive."""
+    below = c.startswith(root.rstrip("/") + "/")
+    return F.coalesce(below & ~c.rlike(r"(^|[/\\\\])\.\.([/\\\\]|$)") & ~c.rlike(r"[\x00-\x1f]") & ~c.rlike(r"^[A-Za-z]:"), F.lit(False))

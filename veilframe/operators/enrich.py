@@ -58,6 +58,17 @@ def with_card_prefix(findings: DataFrame, prefixes: DataFrame) -> DataFrame:
     return joined.withColumn("confidence", F.when(F.col("brand").isNotNull(), F.least(F.col("confidence") + 0.05, F.lit(1.0))).otherwise(F.col("confidence")))
 
 
+def known_prefixes(values: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Numbers (``value``) whose first six digits are a known prefix: a semi-join."""
+    return values.withColumn("bin", F.substring(F.regexp_replace("value", "[^0-9]", ""), 1, 6).try_cast("int")).join(prefixes.select("bin"), "bin", "left_semi").drop("bin")
+
+
+def try_pattern(documents: DataFrame, regex: str, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
+    """What an expression would find: (match, n, n_documents), before it becomes part of a catalogue."""
+    found = matches_of(documents, regex, doc_id, column)
+    return found.groupBy("match").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
+
+
 @F.pandas_udf(StringType())
 def compatible(values: pd.Series) -> pd.Series:
     """NFKC of values beyond ASCII, which no built-in function gives."""

@@ -178,6 +178,19 @@ def summed_results(*results: DataFrame) -> DataFrame:
     return every.groupBy("category").agg(F.sum("n_files").alias("n_files"), F.sum("n_findings").alias("n_findings"))
 
 
+def audit_of_scans(scans: DataFrame) -> DataFrame:
+    """Audit events (id, source, action, at) that scans leave: what was done, and whether something was found."""
+    found = F.when(F.coalesce("finding_count", F.lit(0)) > 0, F.lit("scan.findings")).otherwise("scan.clean")
+    return scans.select("id", F.coalesce("source_pod", F.lit("none")).alias("source"), F.concat_ws(":", found, F.lower("action")).alias("action"), F.unix_micros("created_at").alias("at"))
+
+
+def lost_categories(scans: DataFrame) -> DataFrame:
+    """(id, lost): categories of a scan's findings that its own summary leaves out; a set difference per row."""
+    there = F.array_compact(F.transform("findings", lambda f: f["category"]))
+    lost = F.array_sort(F.array_except(there, F.coalesce("categories_found", F.array().cast("array<string>"))))
+    return scans.select("id", lost.alias("lost")).where(F.size("lost") > 0)
+
+
 def audit_list(events: DataFrame, source: str | None = None, action: str | None = None, since=None, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of audit events, newest first, filtered by source, action and time."""
     for condition in (source is not None and F.col("source") == source, action is not None and F.col("action") == action, since is not None and F.col("at") >= F.lit(since)):

@@ -116,6 +116,12 @@ def tokenize(documents: DataFrame, findings: DataFrame, key: bytes, prefix: str
     return documents.join(spans, "doc_id", "left").select("doc_id", put("text", "spans").alias("text")), vault
 
 
+def live_tokens(vault: DataFrame, now_us: int, ttl_us: int, stored_at: str = "stored_at_us") -> DataFrame:
+    """The vault without tokens that are older than their time to live; a token stored again counts from then."""
+    last = vault.groupBy("token").agg(F.max_by(F.struct("value", "category"), stored_at).alias("v"), F.max(stored_at).alias(stored_at))
+    return last.where(F.col(stored_at) + ttl_us > now_us).select("token", "v.value", "v.category", stored_at)
+
+
 def detokenize(documents: DataFrame, vault: DataFrame, prefix: str = "TOK") -> DataFrame:
     """Tokens replaced by their values in one pass, unknown tokens kept: split, join, put together again."""
     shape = prefix + r"_[A-Z]*_[0-9a-f]{32}"

@@ -61,3 +61,16 @@ def compliance_html(rows: list[tuple[str, int, bool]]) -> str:
 
     body = "".join(f"<tr><td>{html.escape(name)}</td><td>{n}</td><td>{'PASS' if ok else 'FAIL'}</td></tr>" for name, n, ok in sorted(rows))
     return f"<table><tr><th>Framework</th><th>Findings</th><th>Status</th></tr>{body}</table>"
+
+
+def metric_lines(counts: DataFrame, name: str, labels: list[str], value: str = "n") -> DataFrame:
+    """One column ``line`` in the text format of metric collectors: name{label="value",...} number."""
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    shown = F.concat_ws(",", *[F.concat(F.lit(f'{label}="'), escape(F.coalesce(F.col(label).cast("string"), F.lit(""))), F.lit('"')) for label in labels])
+    return counts.select(F.concat(F.lit(name + "{"), shown, F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+def webhook(findings: DataFrame, event_name: str = "findings") -> DataFrame:
+    """(scan_id, payload): a notice per scan with its number of findings, kinds and highest confidence; no texts leave."""
+    per = findings.groupBy("scan_id").agg(F.count("*").alias("count"), F.array_sort(F.collect_set("category")).alias("categories"), F.max(F.col("confidence").cast("double")).alias("highest"))
+    return per.select("scan_id", F.to_json(F.struct(F.lit(event_name).alias("event"), "scan_id", "count", "categories", F.round("highest", 2).alias("highest"))).alias("payload"))

@@ -110,6 +110,12 @@ def sliding_admission_batch(requests: DataFrame, most: int, window_us: int) -> D
     return folded(with_island(requests, "client_id", window_us), "client_id", fold, f"client_id string, id {kind}, admitted boolean")
 
 
+def remaining(admitted: DataFrame, most: int, window_us: int, now_us: int) -> DataFrame:
+    """(client_id, left): requests that each client may still make now; clients without a request in the window have all."""
+    live = (F.col("at_us") > now_us - window_us) & (F.col("at_us") <= now_us) & F.col("admitted")
+    return admitted.groupBy("client_id").agg(F.greatest(F.lit(most) - F.count_if(live), F.lit(0)).alias("left"))
+
+
 def fixed_window_admission(requests: DataFrame, most: int, window_us: int) -> DataFrame:
     """Requests with ``admitted``: the first ``most`` of each client and window, ties by id."""
     bucket = F.floor(F.col("at_us") / window_us)
