@@ -112,3 +112,36 @@ def test_copies_do_not_fill_the_training_sample(spark, monkeypatch):
     for hot in texts:
         df = spark.createDataFrame([(t,) for t in texts + [hot] * 20], "text string")
         assert len(set(M.fit(df, train_lines=4)["texts"])) == 4
+
+
+def test_every_line_of_a_large_table_is_counted(spark):
+    """A pair of letters that one line of 20,400 has is in the model, whichever line that is."""
+    lines = ["中" + chr(0x4E00 + n) for n in range(20_400)]
+    model = M.fit(spark.createDataFrame([(x,) for x in lines], "text string").repartition(3))
+    want = {int(M.char_bigrams(x)[0]) for x in lines}
+    assert want <= set(model["language"]["held"].tolist())
+
+
+def test_chains_are_counted_over_all_sentences():
+    texts = [*CLEAN, "漢字", "ß", "ﬁ—x ’s", "Ω мир " * 3, *(f"Größe {n}, café {n}: là-bas" for n in range(4_200))]
+    kept = [m.group().strip() for text in texts for m in M.PIECE.finditer(text) if M.NON_ASCII.search(m.group())]
+    counts, _, sizes = M.derived(M.tally(texts))
+    assert sizes[0] == len(kept) > 4_200
+    for k, chain in enumerate(M.chains(), 1):
+        fit = [x for x in kept if x.encode(chain[0][0], "replace").count(b"?") - x.count("?") <= 0.5 * len(M.NON_ASCII.findall(x))]
+        want = M.np.bincount(M.bigrams("\n" + "\n".join(M.again(x, chain) for x in fit) + "\n"), minlength=M.BUCKETS)
+        assert (counts[k] == want).all(), chain
+
+
+def test_parts_add_up_to_the_whole(spark):
+    parts = M.summed([M.tally(CLEAN[:2]), M.tally(CLEAN[2:5]), M.tally(CLEAN[5:6])])
+    assert all((x == y).all() for x, y in zip(parts, M.tally(CLEAN[:6])))
+    whole, spread = M.train(CLEAN[:6]), M.fit(spark.createDataFrame([(x,) for x in CLEAN], "text string").repartition(4))
+    assert (whole["used"] == spread["used"]).all() and M.np.allclose(whole["log"], spread["log"]) and M.np.allclose(whole["language"]["log"], spread["language"]["log"])
+
+
+@pytest.mark.parametrize("texts", [[], [""], ["漢"], ["plain"]])
+def test_little_to_train_on(spark, texts):
+    model = M.fit(spark.createDataFrame([(x,) for x in texts], "text string"))
+    assert M.np.allclose(model["log"], M.train(texts)["log"])
+    assert M.Reader(model).text("café") == (False, True, "café")

@@ -1,7 +1,9 @@
 """Text that was decoded with the wrong encoding: found by a classifier on byte bigrams, restored by inversion.
 
-A multinomial classifier over hashed byte bigrams is trained on clean sentences and on the same
-sentences after every known *chain* (true encoding, wrong decoder, possibly twice).  Every sentence of
+A multinomial classifier over hashed byte bigrams is trained on all clean sentences and on the same
+sentences after every known *chain* (true encoding, wrong decoder, possibly twice).  A single-byte
+decoder reads every character by itself, so the bigrams after such a chain follow exactly from the pairs of
+neighbouring characters, which are counted once; other chains are counted on the garbled text.  Every sentence of
 every text is classified.  Where a chain beats clean text, all such chains are inverted, each alone, on the
 whole sentence or else on those of its words that it explains; only a strict inversion counts (every
 character encodable, every byte sequence decodable, the same garbled text when garbled again) that
@@ -17,10 +19,11 @@ loss.  Repeated rows count once.  Long texts are taken whole.
 from __future__ import annotations
 
 import codecs
-import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain as chain_of
 
 import numpy as np
 import pandas as pd
@@ -148,73 +151,319 @@ def pieces(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(), m.end()
 
 
-EXTRAS = ["café", "naïve", "№ 7", "5 °C", "…", "½", "±3", "§ 4", "™", "©", "résumé", "Zoë", "São", "x²", "10³", "7‰", "a·b"]
+LINE = re.compile(r"[^\r\n]+")
+END = re.compile(r"[.!?][\"'”’»)]*(?=[ \t])|[。！？]")
 
 
-def variants(text: str, rnd: random.Random) -> Iterator[str]:
-    """Clean forms of a clean sentence: as it is, in capitals, with ligatures, look-alike letters, other blanks and typographic signs."""
-    yield text
-    if rnd.random() < 0.4:
-        yield text.upper()
-    roll = rnd.random()
-    if roll < 0.3:
-        yield "".join(rnd.choice(ALIKE[c]) if c in ALIKE and rnd.random() < 0.4 else c for c in text)
-    elif roll < 0.4:
-        yield text.replace(" ", rnd.choice("\xa0\u2002\u2009\u202f\u2007\u205f\u3000"))
-        yield text.replace("fi", "\ufb01").replace("fl", "\ufb02").replace("ff", "\ufb00")
-        yield "".join(c + rnd.choice("\xad\u200b\u200c\u200d\u2060\ufeff") if rnd.random() < 0.1 else c for c in text)
-    elif roll < 0.5:
-        yield "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" and rnd.random() < 0.5 else c for c in text)
-        yield "".join("⁰¹²³⁴⁵⁶⁷⁸⁹"[int(c)] if c in "0123456789" and rnd.random() < 0.1 else c for c in text)
-    words = text.split(" ")
-    if len(words) > 3:
-        at = rnd.randrange(1, len(words))
-        extra = rnd.choice(["€" + str(rnd.randrange(9, 900)), "—", "–", "“" + words[at] + "”", words[at] + "’s", "£20", *EXTRAS])
-        yield " ".join([*words[:at], extra, *words[at:]])
-        yield rnd.choice(["“" + text + "”", text.replace("'", "’"), words[0] + "’s " + " ".join(words[1:])])
+def sentences_of(text: str) -> Iterator[str]:
+    """The pieces of a text without outer blanks, those without a character beyond ASCII too; faster than ``PIECE`` on whole collections."""
+    for line in LINE.findall(text):
+        at = 0
+        for m in END.finditer(line):
+            if m.start() > at:
+                yield line[at : m.end()].strip()
+                at = m.end()
+        yield line[at:].strip()
 
 
-def tree_lines(rnd: random.Random) -> Iterator[str]:
-    """Clean text that draws with box characters."""
-    for _ in range(3000):
-        yield rnd.choice(["├── ", "└── ", "│   ├── ", "│ ", "─────", "═════ ", "│   └── ", "┌──┐", "└──┘", "╔══╗", "║ ", "█▓▒░ ", "• ", "→ ", "■ "]) + rnd.choice(["srv/archive/batch_3.log", "data", "notes", ""])
+EXTRAS = [*(f"€{n}0" for n in range(1, 10)), *["—", "–", "£20", "café", "naïve", "№ 7", "5 °C", "…", "½", "±3", "§ 4", "™", "©", "résumé", "Zoë", "São", "x²", "10³", "7‰", "a·b"] * 9]
+ALWAYS = "Selon l’équipe, la clé reste à l’été."
+ENGLISH = ["café", "“x”", "it’s a", "a — b", "€25", "naïve", "résumé", "…"]
+TREES = [a + b for a in ("├── ", "└── ", "│   ├── ", "│ ", "─────", "═════ ", "│   └── ", "┌──┐", "└──┘", "╔══╗", "║ ", "█▓▒░ ", "• ", "→ ", "■ ") for b in ("srv/archive/batch_3.log", "data", "notes", "")]
 
+NEWLINE, BLANK = 10, 32
+CODE = 21  # bits of a character
+ASCII, ASCII_WORDY, LIGATURES, SIZES, DIRECT = -1, -2, -3, -4, -10  # kinds of counts beside the masks of sentences; DIRECT - k: bytes of chain k
+PART = 1 << 21  # characters that are counted at once
+HELD = 1 << 19  # counts that a task holds before it passes them on
+LOSSY = sorted({chain[0][0] for chain in chains()} - {"utf-8"})
+WORDY = 1 << len(LOSSY)  # bit of the mask of a sentence of more than three words; those below tell the encodings that hold it
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]  # kind, key, number
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]  # character, next character, number
 
-def train(texts: list[str], seed: int = 7, prior: float = 0.02, chain_sentences: int = 4000) -> dict:
+
+def direct(chain: Chain) -> bool:
+    """Whether a character's reading depends on its neighbours."""
+    return any(wrong in MULTI_BYTE for _, wrong in chain)
+
+
+@cache
+def losses() -> np.ndarray:
+    """By character, the encodings of ``LOSSY`` that lack it as bits; the topmost bit where that is known."""
+    return np.zeros(1 << CODE, np.uint32)
+
+
+def lost_in(codes: np.ndarray) -> np.ndarray:
+    """The bits of ``losses`` of some characters."""
+    table = losses()
+    for code in np.unique(codes[table[codes] == 0]).tolist():
+        bits = 1 << 31
+        for e, name in enumerate(LOSSY):
+            if chr(code).encode(name, "replace") == b"?":
+                bits |= 1 << e
+        table[code] = bits
+    return table[codes]
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+
+
+def byte_pairs(raw: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of the byte bigrams that touch a byte beyond ASCII."""
+    found = np.bincount((raw[:-1].astype(np.uint16) << 8) | raw[1:], weights, BUCKETS).astype(np.float64)
+    found.reshape(256, 256)[:128, :128] = 0
+    return found
+
+
+def summed(parts: list[Counts]) -> Counts:
+    """Equal keys of a kind once, with their sum."""
+    kind, key, number = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((key, kind))
+    kind, key, number = kind[order], key[order], number[order]
+    starts = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])]) if len(kind) else np.zeros(0, np.int64)
+    return kind[starts], key[starts], np.add.reduceat(number, starts) if len(starts) else number
+
+
+def tally(texts: list[str]) -> Counts:
+    """How often one character follows another in the sentences of the texts, by the encodings that hold a sentence.
+
+    Every sentence stands between line feeds, so the counts of any parts of a collection add up to those of the whole.
+    """
+    parts: list[Counts] = [(np.zeros(0, np.int64),) * 3]
+    sentences, size = [], 0
+    for text in texts:
+        for sentence in sentences_of(text):
+            if sentence:
+                sentences.append(sentence)
+                size += len(sentence)
+                if size >= PART:
+                    parts = [summed([*parts, *counted(sentences)])]
+                    sentences, size = [], 0
+    return summed([*parts, *counted(sentences)]) if sentences else parts[0]
+
+
+def counted(sentences: list[str]) -> Iterator[Counts]:
+    """The counts of some sentences, kind by kind."""
+
+    def of(kind: int | np.ndarray, keys: np.ndarray, numbers: np.ndarray) -> Counts:
+        return np.broadcast_to(np.asarray(kind, np.int64), keys.shape), keys.astype(np.int64), numbers.astype(np.int64)
+
+    text = "\n" + "\n".join(sentences) + "\n"
+    codes = codes_of(text)
+    first, second = codes[:-1], codes[1:]
+    beyond = (first >= 128) | (second >= 128)
+    owner = np.cumsum(codes == NEWLINE) - 1  # the sentence of the pair that begins here
+    wordy = np.bincount(owner[codes == BLANK], minlength=len(sentences)) >= 3
+    plain = np.bincount((first * 128 + second + (wordy[owner[:-1]] << 14))[~beyond], minlength=1 << 15)
+    for kind, numbers in zip((ASCII, ASCII_WORDY), plain.reshape(2, -1)):
+        at = np.flatnonzero(numbers)
+        yield of(kind, (at >> 7 << CODE) | (at & 127), numbers[at])
+
+    tied = codes_of(text.replace("fi", "\ufb01").replace("fl", "\ufb02").replace("ff", "\ufb00"))
+    near = np.flatnonzero((tied >= 0xFB00) & (tied <= 0xFB02))
+    near = np.unique(np.r_[near - 1, near])
+    pairs, numbers = np.unique((tied[near] << CODE) | tied[near + 1], return_counts=True)
+    yield of(LIGATURES, pairs, numbers)
+
+    wide = np.flatnonzero(codes >= 128)
+    clean, starts, signs = np.unique(owner[wide], return_index=True, return_counts=True)
+    yield of(SIZES, np.arange(2), np.array([len(clean), len(sentences)]))
+    if not len(clean):
+        return
+    lost = lost_in(codes[wide])
+    masks = np.where(wordy, WORDY, 0)
+    for e in range(len(LOSSY)):
+        gone = np.add.reduceat(((lost >> e) & 1).astype(np.int64), starts)
+        masks[clean[gone <= 0.5 * signs]] |= 1 << e
+    distinct, place = np.unique(masks, return_inverse=True)
+    pairs, numbers = np.unique((place[owner[:-1][beyond]] << 2 * CODE) | (first[beyond] << CODE) | second[beyond], return_counts=True)
+    yield of(distinct[pairs >> 2 * CODE], pairs & ((1 << 2 * CODE) - 1), numbers)
+
+    for k, chain in enumerate(chains(), 1):
+        if direct(chain):
+            true = chain[0][0]
+            held = clean if true == "utf-8" else clean[(masks[clean] >> LOSSY.index(true)) & 1 == 1]
+            garbled = again("\n" + "\n".join(sentences[i] for i in held) + "\n", chain) if len(held) else ""
+            found = byte_pairs(np.frombuffer(garbled.encode("utf-8", "replace"), np.uint8))
+            at = np.flatnonzero(found)
+            yield of(DIRECT - k, at, found[at])
+
+
+def formed(pairs: Pairs, form: dict[str, list[tuple[str, float]]], weight: float) -> Pairs:
+    """The expected pairs where every character becomes one of some strings, each with its probability."""
+    a, b, n = pairs
+    codes, place = np.unique(np.r_[a, b], return_inverse=True)
+    a_at, b_at = place[: len(a)], place[len(a) :]
+    choice = [form.get(chr(c)) or [(chr(c), 1.0)] for c in codes.tolist()]
+    sides = []
+    for end in (-1, 0):
+        shares: list[dict[int, float]] = [{} for _ in choice]
+        for share, strings in zip(shares, choice):
+            for x, p in strings:
+                share[ord(x[end])] = share.get(ord(x[end]), 0.0) + p
+        width = np.array([len(x) for x in shares])
+        sides.append((width, np.cumsum(width) - width, np.array([c for x in shares for c in x]), np.array([p for x in shares for p in x.values()])))
+    (a_width, a_start, tail, a_share), (b_width, b_start, head, b_share) = sides
+    many = a_width[a_at] * b_width[b_at]
+    row = np.repeat(np.arange(len(a)), many)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    width = b_width[b_at[row]]
+    left, right = a_start[a_at[row]] + k // width, b_start[b_at[row]] + k % width
+    inner = [(ord(x), ord(y), i, p) for i, strings in enumerate(choice) for s, p in strings for x, y in zip(s, s[1:])]
+    times = np.bincount(a_at, n, len(codes))
+    return (
+        np.r_[tail[left], np.array([x for x, *_ in inner], np.int64)],
+        np.r_[head[right], np.array([y for _, y, *_ in inner], np.int64)],
+        weight * np.r_[n[row] * a_share[left] * b_share[right], np.array([times[i] * p for *_, i, p in inner], np.float64)],
+    )
+
+
+@cache
+def clean_forms() -> list[tuple[dict[str, list[tuple[str, float]]], float]]:
+    """Forms of every clean sentence as (what becomes of a character, number of such forms)."""
+    printed = [chr(c) for c in range(0x21, 0x7F)]
+    blanks = "\xa0\u2002\u2009\u202f\u2007\u205f\u3000"
+    alike = {c: [(c, 0.6), *((x, 0.4 / len(xs)) for x in xs)] for c, xs in ALIKE.items()}
+    wide = {c: [(c, 0.5), (chr(ord(c) + 0xFEE0), 0.5)] for c in printed}
+    raised = {c: [(c, 0.9), (x, 0.1)] for c, x in zip("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")}
+    return [({}, 1.0), (alike, 0.3), (wide, 0.1), (raised, 0.1), *(({" ": [(x, 1.0)]}, 0.1 / len(blanks)) for x in blanks)]
+
+
+UPPER, UNSEEN = 0.4, 0.1  # numbers of sentences in capitals and with invisible signs, to each as it is
+AGAIN, CURLED = 1.67, 0.33  # wordy sentences with typographic signs, and with other apostrophes
+EXTRA, QUOTED, OWNED, SPOKEN = 0.1, 0.005, 0.04, 0.33  # shares of their blanks with an extra word, of their words in quotation marks and with 's, of such sentences in quotation marks
+TIED, DRAWN, SAID = 0.1, 0.06, 0.005  # ligatures; lines of trees and English phrases to each sentence
+SMOOTH, SMOOTH_CHAIN = 50_000, 4_000  # sentences of clean text and of a chain from which on smoothing has a fixed share of the counts
+
+
+def forms(pairs: Pairs, wordy: Pairs) -> Iterator[Pairs]:
+    """The expected pairs of clean forms of clean sentences: as they are, in capitals, with look-alike letters, other blanks and typographic signs."""
+    if not len(pairs[0]):
+        return
+    for form, weight in clean_forms():
+        yield formed(pairs, form, weight)
+    a, b, n = pairs
+    codes = np.unique(np.r_[a, b]).tolist()
+    yield formed(pairs, {chr(c): [(chr(c).upper(), 1.0)] for c in codes}, UPPER)
+    yield formed(pairs, {chr(c): [(chr(c), 0.9), *((chr(c) + x, 0.1 / 6) for x in "\xad\u200b\u200c\u200d\u2060\ufeff")] for c in codes if c != NEWLINE}, UNSEEN)
+
+    if not len(wordy[0]):
+        return
+    yield formed(wordy, {}, AGAIN)
+    yield formed(wordy, {"'": [("’", 1.0)]}, CURLED)
+    a, b, n = wordy
+    made: list[Pairs] = []
+
+    def put(x: np.ndarray | int, y: np.ndarray | int, number: np.ndarray) -> None:
+        made.append((np.broadcast_to(np.asarray(x, np.int64), number.shape), np.broadcast_to(np.asarray(y, np.int64), number.shape), number))
+
+    blank = n[a == BLANK].sum()
+    for extra, many in Counter(EXTRAS).items():
+        x = codes_of(" " + extra + " ")
+        put(x[:-1], x[1:], np.full(len(x) - 1, blank * EXTRA * many / len(EXTRAS)))
+    before, behind = (a == BLANK) | (a == NEWLINE), (b == BLANK) | (b == NEWLINE)
+    for begins, ends, share in ((before & ~behind, behind & ~before, QUOTED), ((a == NEWLINE) & ~behind, (b == NEWLINE) & ~before, SPOKEN)):
+        put(a[begins], ord("“"), share * n[begins])
+        put(ord("“"), b[begins], share * n[begins])
+        put(a[ends], ord("”"), share * n[ends])
+        put(ord("”"), b[ends], share * n[ends])
+    ends = (b == BLANK) & ~before
+    put(a[ends], ord("’"), OWNED * n[ends])
+    for x, y in ("’s", "s "):
+        put(ord(x), ord(y), OWNED * n[ends])
+    x, y, number = (np.concatenate(z) for z in zip(*made))
+    yield x, y, number
+
+
+def images(codes: np.ndarray, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 of characters after a chain of single-byte decoders: all bytes, and where each character begins and ends."""
+    texts = "\n".join("" if c == NEWLINE else chr(c) for c in codes.tolist())
+    raw = np.frombuffer((again(texts, chain) + "\n").encode("utf-8", "replace"), np.uint8)
+    ends = np.flatnonzero(raw == NEWLINE)
+    starts = np.r_[0, ends[:-1] + 1]
+    return raw, starts, np.where(starts == ends, ends + 1, ends)
+
+
+def garbled_pairs(pairs: Pairs, chain: Chain) -> np.ndarray:
+    """Numbers of the byte bigrams of a text after a chain, from its pairs of characters."""
+    a, b, n = pairs
+    if not len(a):
+        return np.zeros(BUCKETS)
+    codes, place = np.unique(np.r_[a, b], return_inverse=True)
+    a_at, b_at = place[: len(a)], place[len(a) :]
+    raw, starts, ends = images(codes, chain)
+    times = np.zeros(len(raw) + 1)
+    inside = np.bincount(a_at, n, len(codes))
+    np.add.at(times, starts, inside)
+    np.add.at(times, ends - 1, -inside)
+    out = byte_pairs(raw, np.cumsum(times)[: len(raw) - 1])
+    out += np.bincount(raw[ends[a_at] - 1].astype(np.int64) * 256 + raw[starts[b_at]], n, BUCKETS)
+    out.reshape(256, 256)[:128, :128] = 0
+    return out
+
+
+def letter_pairs(pairs: Pairs) -> np.ndarray:
+    """Numbers of the hashed character bigrams that touch a character beyond ASCII."""
+    a, b, n = pairs
+    beyond = (a >= 128) | (b >= 128)
+    return np.bincount(((a * 1_000_003 + b * 8191) % CHAR_BUCKETS)[beyond], n[beyond], CHAR_BUCKETS)
+
+
+def derived(counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of byte bigrams by class, of clean character bigrams, of sentences beyond ASCII and of all) that follow from the counts."""
+    kind, key, number = counts
+    every, sizes = chains(), np.zeros(2)
+    out = np.zeros((len(every) + 1, BUCKETS))
+    letters = np.zeros(CHAR_BUCKETS)
+
+    def pairs(which: np.ndarray) -> Pairs:
+        both, place = np.unique(key[which], return_inverse=True)
+        return both >> CODE, both & ((1 << CODE) - 1), np.bincount(place, number[which], len(both))
+
+    np.add.at(sizes, key[kind == SIZES], number[kind == SIZES])
+    beyond, wordy = kind >= 0, (kind == ASCII_WORDY) | (kind >= 0) & (kind & WORDY > 0)
+    a, b, n = pairs(kind == LIGATURES)
+    for form in chain_of(forms(pairs(kind >= ASCII_WORDY), pairs(wordy)), [(a, b, n * TIED)]):
+        out[0] += garbled_pairs(form, ())
+        letters += letter_pairs(form)
+    for k, chain in enumerate(every, 1):
+        if direct(chain):
+            out[k] += np.bincount(key[kind == DIRECT - k], number[kind == DIRECT - k], BUCKETS)
+        else:
+            true = chain[0][0]
+            out[k] += garbled_pairs(pairs(beyond if true == "utf-8" else beyond & ((kind >> LOSSY.index(true)) & 1 == 1)), chain)
+    return out, letters, sizes
+
+
+def model_of(counts: np.ndarray, letters: np.ndarray, sizes: np.ndarray, prior: float = 0.02) -> dict:
     """The classifier: log probabilities of every bigram bucket by class; class 0 is clean text.
 
-    Clean text is counted over all sentences, every chain over at most ``chain_sentences`` of them.
+    Drawn lines and phrases that any text may have are added in proportion to the sentences, and so is ``prior``: were it
+    fixed, what a class hasn't would count for ever less as the texts grow.
     """
-    rnd = random.Random(seed)
-    all_chains = chains()
-    counts = np.zeros((len(all_chains) + 1, BUCKETS), np.float64)
-    sentences = [m.group().strip() for text in texts for m in PIECE.finditer(text)] + ["Selon l’équipe, la clé reste à l’été."]
-    clean = [x for x in sentences if NON_ASCII.search(x)]
-    forms = [form for sentence in sentences for form in variants(sentence, rnd)]
-    letters = np.bincount(char_bigrams("\n".join([*forms, *tree_lines(rnd)])), minlength=CHAR_BUCKETS)
-    counts[0] += np.bincount(bigrams("\n".join([*forms, *tree_lines(rnd)])), minlength=BUCKETS)
-    part = clean if len(clean) <= chain_sentences else rnd.sample(clean, chain_sentences)
-    english = ["café", "“x”", "it’s a", "a — b", "€25", "naïve", "résumé", "…"]
-    for k, chain in enumerate(all_chains, 1):
-        joined = []
-        for sentence in [*part, *english * 20]:
-            lost = sentence.encode(chain[0][0], "replace").count(b"?") - sentence.count("?")
-            if lost > 0.5 * len(NON_ASCII.findall(sentence)):
-                continue
-            for true, wrong in chain:
-                sentence = misread(sentence, true, wrong)
-            if NON_ASCII.search(sentence):
-                joined.append(sentence)
-        if joined:
-            counts[k] += np.bincount(bigrams("\n".join(joined)), minlength=BUCKETS)
+    always, drawn, said = derived(tally([ALWAYS])), codes_of("\n" + "\n".join(TREES) + "\n"), derived(tally(ENGLISH))
+    trees = drawn[:-1], drawn[1:], np.full(len(drawn) - 1, max(3000.0, DRAWN * sizes[1]) / len(TREES))
+    counts, letters = counts + always[0], letters + always[1]
+    counts[0] += garbled_pairs(trees, ())
+    letters = letters + letter_pairs(trees)
+    counts[1:] += said[0][1:] * max(20.0, SAID * sizes[0])
     used = np.flatnonzero(counts.sum(axis=0))
+    grown = max(1.0, sizes[1] / SMOOTH)
+    priors = prior * np.r_[grown, np.full(len(counts) - 1, max(1.0, sizes[0] / SMOOTH_CHAIN))][:, None]
     total = counts.sum(axis=1, keepdims=True)
-    log = np.log((counts[:, used] + prior) / (total + prior * BUCKETS)).astype(np.float32)
-    rest = np.log(prior / (total[:, 0] + prior * BUCKETS)).astype(np.float32)
+    log = np.log((counts[:, used] + priors) / (total + priors * BUCKETS)).astype(np.float32)
+    rest = np.log(priors / (total + priors * BUCKETS))[:, 0].astype(np.float32)
     active = np.flatnonzero(np.r_[True, total[1:, 0] > 0])
-    held = np.flatnonzero(letters)
-    language = {"held": held, "log": np.log((letters[held] + 0.1) / (letters.sum() + 0.1 * CHAR_BUCKETS)).astype(np.float32), "rest": float(np.log(0.1 / (letters.sum() + 0.1 * CHAR_BUCKETS)))}
-    return {"language": language, "used": used, "log": log[active], "rest": rest[active], "chains": [(), *all_chains], "active": active}
+    held, least = np.flatnonzero(letters), 0.1 * grown
+    every = letters.sum() + least * CHAR_BUCKETS
+    language = {"held": held, "log": np.log((letters[held] + least) / every).astype(np.float32), "rest": float(np.log(least / every))}
+    return {"language": language, "used": used, "log": log[active], "rest": rest[active], "chains": [(), *chains()], "active": active}
+
+
+def train(texts: list[str]) -> dict:
+    """The classifier of texts at hand: every sentence counts for clean text and for every chain."""
+    return model_of(*derived(tally(texts)))
 
 
 MARGIN = 7.0  # nats by which a chain must beat clean text, and restored text the stretch
@@ -491,10 +740,50 @@ class Reader:
         return self.texts([text])[0]
 
 
-def fit(clean_texts: DataFrame, text: str = "text", train_lines: int = 20_000) -> dict:
-    """The classifier, fitted on at most ``train_lines`` distinct lines of clean texts of any length."""
+def fit(clean_texts: DataFrame, text: str = "text", train_lines: int | None = None) -> dict:
+    """The classifier, fitted on all distinct lines of clean texts of any length, or on at most ``train_lines`` of them.
+
+    Executors count pairs of characters and work out every class from the summed pairs; the driver gets a row for each
+    bucket of the model that isn't empty, however many texts there are.
+    """
     lines = clean_texts.select(F.explode(F.split(F.col(text), "[\\r\\n]+")).alias("text")).where("trim(text) <> ''")
-    return train(sample_of(lines, train_lines))
+    if train_lines is not None:
+        return train(sample_of(lines, train_lines))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[Counts] = []
+        for frame in frames:
+            held.append(tally(frame["text"].tolist()))
+            if sum(len(x[0]) for x in held) >= HELD:
+                held = [summed(held)]
+                if len(held[0][0]) >= HELD // 2:
+                    yield pd.DataFrame(dict(zip(("kind", "key", "number"), held.pop())))
+        if held:
+            yield pd.DataFrame(dict(zip(("kind", "key", "number"), summed(held))))
+
+    def derive(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, held, size = None, [], 0
+        for frame in chain_of(frames, [None]):
+            if frame is not None:
+                held.append(frame)
+                size += len(frame)
+            if held and (frame is None or size >= HELD // 4):
+                made = derived(tuple(pd.concat(held)[name].to_numpy() for name in ("kind", "key", "number")))
+                total = made if total is None else tuple(x + y for x, y in zip(total, made))
+                held, size = [], 0
+        if total is not None:
+            for k, numbers in enumerate([*total[0], *total[1:]]):
+                at = np.flatnonzero(numbers)
+                yield pd.DataFrame({"class": k, "bucket": at, "number": numbers[at]})
+
+    pairs = lines.distinct().mapInPandas(count, "kind bigint, key bigint, number bigint").groupBy("kind", "key").agg(F.sum("number").alias("number"))
+    found = pairs.mapInPandas(derive, "class bigint, bucket bigint, number double").groupBy("class", "bucket").agg(F.sum("number").alias("number")).toPandas()
+    classes = len(chains()) + 1
+    counts, letters, sizes = np.zeros((classes, BUCKETS)), np.zeros(CHAR_BUCKETS), np.zeros(2)
+    for k, target in enumerate([*counts, letters, sizes]):
+        rows = found[found["class"] == k]
+        target[rows["bucket"].to_numpy()] = rows["number"].to_numpy()
+    return model_of(counts, letters, sizes)
 
 
 def repair(records: DataFrame, model: dict, record_id: str = "extraction_id", text: str = "text") -> DataFrame:
